@@ -35,3 +35,33 @@ def odds_history(spark: SparkSession, d: str) -> DataFrame:
 
 def behaviour_log(spark: SparkSession, d: str) -> DataFrame:
     return tm.behaviour_log(spark, d)
+
+
+def hierarchy(spark: SparkSession, d: str, stage: str = "full") -> DataFrame:
+    """F21 and its stages over the mapped tables."""
+    from oddsforge.operators import hierarchy as H
+
+    ev, mk, oc = events(spark, d), markets(spark, d), outcomes(spark, d)
+    bt, us = bets(spark, d), users(spark, d)
+    mk = H.clean_text_keys(mk, H.TEXT_KEYS["markets"])
+    oc = H.clean_text_keys(oc, H.TEXT_KEYS["outcomes"])
+    bt = H.clean_text_keys(bt, H.TEXT_KEYS["bets"])
+    cat = H.events_markets_outcomes(ev, mk, oc)
+    if stage == "catalogue":
+        return cat
+    classic = H.with_users(H.classic_view(cat, bt), us)
+    if stage == "classic":
+        return classic
+    direct = H.with_users(H.direct_view(ev, bt), us)
+    if stage == "direct":
+        return direct
+    comb = H.combine_views(classic, direct)
+    if stage == "combined":
+        return comb
+    comb = H.temporal_features(comb, tm.BETS_AS_OF)
+    if stage == "temporal":
+        return comb
+    comb = H.with_odds(comb, odds_history(spark, d))
+    if stage == "odds":
+        return comb
+    return H.with_hierarchy_aggregates(comb)

@@ -213,3 +213,93 @@ sc AS (SELECT ut.*, {', '.join(bins)} FROM ut, st),
 rf AS (SELECT sc.*, CAST(recency_score AS VARCHAR) || CAST(frequency_score AS VARCHAR)
                     || CAST(monetary_score AS VARCHAR) AS rfm_score FROM sc)
 SELECT rf.*, {seg} AS user_segment FROM rf"""
+
+
+# ---------------------------------------------------------------------------
+# F21 hierarchy
+
+TWO_PI = "6.283185307179586"
+CTE["mk"] = "SELECT market_id, event_id, lower(trim(market_name)) AS market_name FROM markets_raw"
+CTE["oc"] = "SELECT outcome_id, market_id, lower(trim(outcome_name)) AS outcome_name FROM outcomes_raw"
+CTE["bt"] = """
+  SELECT bet_id, user_id, event_id, outcome_id AS bet_outcome_id, bet_amount, odds_used, bet_timestamp,
+         settlement_timestamp, lower(trim(outcome_label)) AS outcome_label, lower(trim(market)) AS market,
+         bet_result, outcome, is_live_bet
+  FROM bets"""
+BET_COLS = ("bet_id, user_id, bet_outcome_id, bet_amount, odds_used, bet_timestamp, settlement_timestamp, "
+            "outcome_label, market, bet_result, outcome, is_live_bet")
+USER_COLS = "registration_date, total_deposits, vip_status, user_country, days_since_registration"
+CTE["cat"] = """
+  SELECT e.*, m.market_id, m.market_name, o.outcome_id, o.outcome_name
+  FROM events_l e LEFT JOIN mk m ON e.event_id = m.event_id LEFT JOIN oc o ON m.market_id = o.market_id"""
+CTE["classic"] = f"""
+  SELECT x.*, {', '.join('u.' + c.strip() for c in USER_COLS.split(','))}
+  FROM (SELECT c.*, {', '.join('b.' + c.strip() for c in BET_COLS.split(','))}
+        FROM cat c LEFT JOIN bt b
+          ON c.event_id = b.event_id AND c.market_name = b.market AND c.outcome_name = b.outcome_label) x
+  LEFT JOIN users u ON x.user_id = u.user_id"""
+CTE["direct"] = f"""
+  SELECT x.*, {', '.join('u.' + c.strip() for c in USER_COLS.split(','))}
+  FROM (SELECT e.*, {', '.join('b.' + c.strip() for c in BET_COLS.split(','))}
+        FROM events_l e LEFT JOIN bt b ON e.event_id = b.event_id) x
+  LEFT JOIN users u ON x.user_id = u.user_id"""
+_ORDER = ("_view, event_id, market_id, outcome_id, bet_outcome_id, user_id, bet_timestamp, bet_amount, "
+          "odds_used, settlement_timestamp, market, outcome_label, bet_result")
+CTE["combined"] = f"""
+  SELECT * EXCLUDE (_view, _rn) REPLACE (COALESCE(outcome_id, bet_outcome_id) AS outcome_id)
+  FROM (SELECT *, row_number() OVER (PARTITION BY bet_id ORDER BY
+               {', '.join(c.strip() + ' ASC NULLS FIRST' for c in _ORDER.split(','))}) AS _rn
+        FROM (SELECT *, 0 AS _view FROM classic UNION ALL BY NAME SELECT *, 1 AS _view FROM direct))
+  WHERE _rn = 1"""
+
+
+def temporal_select(src: str, as_of_lit: str) -> str:
+    st, bt = "event_start_time", "bet_timestamp"
+    return f"""
+  SELECT * REPLACE (COALESCE(CAST(bet_timing_hours_before <= 0 AS INTEGER), 0) AS is_live_bet)
+  FROM (SELECT * EXCLUDE (hours_until_event_f) REPLACE (hours_until_event_f AS hours_until_event)
+  FROM (SELECT s.*,
+         CAST(floor(date_diff('microsecond', {as_of_lit}, {st}) / 86400000000.0) AS BIGINT) AS days_until_event,
+         date_diff('microsecond', {as_of_lit}, {st}) / 3600000000.0 AS hours_until_event_f,
+         month({st}) AS event_month, isodow({st}) - 1 AS event_day_of_week, hour({st}) AS event_hour,
+         COALESCE(CAST(isodow({st}) - 1 >= 5 AS INTEGER), 0) AS is_weekend_event,
+         sin({TWO_PI} * hour({st}) / 24) AS event_hour_sin, cos({TWO_PI} * hour({st}) / 24) AS event_hour_cos,
+         sin({TWO_PI} * month({st}) / 12) AS event_month_sin, cos({TWO_PI} * month({st}) / 12) AS event_month_cos,
+         hour({bt}) AS bet_hour, isodow({bt}) - 1 AS bet_day_of_week,
+         COALESCE(CAST(isodow({bt}) - 1 >= 5 AS INTEGER), 0) AS is_bet_weekend,
+         date_diff('microsecond', {bt}, {st}) / 3600000000.0 AS bet_timing_hours_before
+  FROM {src} s))"""
+
+
+CTE["hier_t"] = temporal_select("combined", BETS_AS_OF)
+CTE["odds_stats"] = f"""
+  SELECT *, CASE WHEN odds_mean = 0 OR odds_std = 0 THEN 0.0 ELSE odds_std / odds_mean END AS odds_volatility,
+         odds_max - odds_min AS odds_range,
+         CASE WHEN odds_min = 0 THEN 0.0 ELSE (odds_max - odds_min) / odds_min END AS odds_drift
+  FROM (SELECT outcome_id, MIN(odds_value) AS odds_min, MAX(odds_value) AS odds_max,
+               {xavg('odds_value')} AS odds_mean, STDDEV_SAMP(odds_value) AS odds_std,
+               COUNT(odds_value) AS odds_updates_count, MIN("timestamp") AS first_odds_time,
+               MAX("timestamp") AS last_odds_time
+        FROM odds_raw WHERE outcome_id IS NOT NULL GROUP BY outcome_id)"""
+CTE["hier_o"] = "SELECT * FROM hier_t LEFT JOIN odds_stats USING (outcome_id)"
+CTE["event_agg"] = f"""
+  SELECT *, total_bets AS event_popularity, total_volume AS event_liquidity
+  FROM (SELECT event_id, COUNT(DISTINCT market_id) AS num_markets, COUNT(DISTINCT outcome_id) AS num_outcomes,
+               COUNT(bet_amount) AS total_bets, COALESCE({xsum('bet_amount')}, 0) AS total_volume,
+               {xavg('bet_amount')} AS avg_bet_amount, {xavg('odds_used')} AS avg_odds,
+               STDDEV_SAMP(odds_used) AS event_odds_std
+        FROM hier_o WHERE event_id IS NOT NULL GROUP BY event_id)"""
+CTE["market_agg"] = f"""
+  SELECT market_id, COUNT(DISTINCT outcome_id) AS market_num_outcomes, COUNT(bet_amount) AS market_bet_count,
+         COALESCE({xsum('bet_amount')}, 0) AS market_volume, {xavg('bet_amount')} AS market_avg_bet,
+         {xavg('odds_used')} AS market_avg_odds, STDDEV_SAMP(odds_used) AS market_odds_std
+  FROM hier_o WHERE market_id IS NOT NULL GROUP BY market_id"""
+CTE["hier"] = """
+  SELECT * FROM hier_o LEFT JOIN event_agg USING (event_id) LEFT JOIN market_agg USING (market_id)"""
+DEPS.update({
+    "mk": ["markets_raw"], "oc": ["outcomes_raw"], "bt": ["bets"], "cat": ["events_l", "mk", "oc"],
+    "classic": ["cat", "bt", "users"], "direct": ["events_l", "bt", "users"],
+    "combined": ["classic", "direct"], "hier_t": ["combined"], "odds_stats": ["odds_raw"],
+    "hier_o": ["hier_t", "odds_stats"], "event_agg": ["hier_o"], "market_agg": ["hier_o"],
+    "hier": ["hier_o", "event_agg", "market_agg"],
+})

@@ -94,3 +94,73 @@ def f20_bets_rfm(spark, d):
     e = tm.raw_events(spark, d).select("event_id", "sport")
     log = b.join(e, "event_id", "left").withColumn("market_name", F.col("market"))
     return B.user_behavioural_features(log, tm.BETS_AS_OF)
+
+
+# ------------------------------------------------------------- hierarchy F21
+from oddsforge.operators import hierarchy as H  # noqa: E402
+
+_T6 = ["hours_until_event", "event_hour_sin", "event_hour_cos", "event_month_sin", "event_month_cos",
+       "bet_timing_hours_before"]
+_O6 = ["odds_min", "odds_max", "odds_mean", "odds_std", "odds_volatility", "odds_range", "odds_drift"]
+_A6 = ["avg_bet_amount", "avg_odds", "event_odds_std", "market_avg_bet", "market_avg_odds", "market_odds_std"]
+_A2 = ["total_volume", "event_liquidity", "market_volume"]
+
+
+@register("j1_j2_catalogue", W(["cat"], "SELECT * FROM cat"))
+def j1_j2_catalogue(spark, d):
+    """P1 + J1 + J2: events ⟕ markets ⟕ outcomes."""
+    return D.hierarchy(spark, d, "catalogue")
+
+
+@register("j3_j5_classic_view", W(["classic"], "SELECT * FROM classic"))
+def j3_j5_classic_view(spark, d):
+    """J3 + J5: catalogue ⟕ bets on the 3-part key, ⟕ users."""
+    return D.hierarchy(spark, d, "classic")
+
+
+@register("j4_j5_direct_view", W(["direct"], "SELECT * FROM direct"))
+def j4_j5_direct_view(spark, d):
+    """J4 + J5: events ⟕ bets on event_id, ⟕ users."""
+    return D.hierarchy(spark, d, "direct")
+
+
+@register("u1_w1_combined_dedup", W(["combined"], "SELECT * FROM combined"))
+def u1_w1_combined_dedup(spark, d):
+    """U1 + W1: union of both views, first row per bet id (classic first)."""
+    return D.hierarchy(spark, d, "combined")
+
+
+@register("p2_p4_temporal", W(["hier_t"], "SELECT * FROM hier_t"), cols6=_T6)
+def p2_p4_temporal(spark, d):
+    """P2 + P3 + P4: calendar and bet-timing features on the combined view."""
+    return D.hierarchy(spark, d, "temporal")
+
+
+@register("a1_odds_statistics", W(["odds_stats"], "SELECT * FROM odds_stats"), cols6=_O6)
+def a1_odds_statistics(spark, d):
+    """A1: per-outcome odds statistics."""
+    return H.odds_statistics(D.odds_history(spark, d))
+
+
+@register("j8_with_odds", W(["hier_o"], "SELECT * FROM hier_o"), cols6=_T6 + _O6)
+def j8_with_odds(spark, d):
+    """Hierarchy ⟕ odds statistics."""
+    return D.hierarchy(spark, d, "odds")
+
+
+@register("a2_event_aggregates", W(["event_agg"], "SELECT * FROM event_agg"), cols6=_A6[:3], cols2=_A2[:2])
+def a2_event_aggregates(spark, d):
+    """A2: per-event aggregates over the hierarchy."""
+    return H.event_aggregates(D.hierarchy(spark, d, "odds"))
+
+
+@register("a3_market_aggregates", W(["market_agg"], "SELECT * FROM market_agg"), cols6=_A6[3:], cols2=_A2[2:])
+def a3_market_aggregates(spark, d):
+    """A3: per-market aggregates over the hierarchy."""
+    return H.market_aggregates(D.hierarchy(spark, d, "odds"))
+
+
+@register("f21_hierarchy", W(["hier"], "SELECT * FROM hier"), cols6=_T6 + _O6 + _A6, cols2=_A2)
+def f21_hierarchy(spark, d):
+    """F21 (J9 included): the full enriched hierarchy."""
+    return D.hierarchy(spark, d, "full")
