@@ -83,34 +83,34 @@ def coerce_timestamps(df: DataFrame, cols=("event_start_time", "bet_timestamp",
 
 
 def temporal_features(df: DataFrame, as_of: str) -> DataFrame:
-    """P3 + P4: event calendar and bet timing features."""
+    """P3 + P4: event calendar and bet timing features (one projection)."""
     df = coerce_timestamps(df)
     now = lit_ts(as_of)
     cols = set(df.columns)
+    new: dict = {}
     if "event_start_time" in cols:
         st = F.col("event_start_time")
-        df = (df.withColumn("days_until_event", floor_days_between(now, st))
-              .withColumn("hours_until_event", hours_between(now, st))
-              .withColumn("event_month", F.month(st))
-              .withColumn("event_day_of_week", weekday_mon0(st))
-              .withColumn("event_hour", F.hour(st))
-              .withColumn("is_weekend_event", null_safe_flag(F.col("event_day_of_week") >= 5))
-              .withColumn("event_hour_sin", cyclic_sin(F.col("event_hour"), 24))
-              .withColumn("event_hour_cos", cyclic_cos(F.col("event_hour"), 24))
-              .withColumn("event_month_sin", cyclic_sin(F.col("event_month"), 12))
-              .withColumn("event_month_cos", cyclic_cos(F.col("event_month"), 12)))
+        month, dow, hour = F.month(st), weekday_mon0(st), F.hour(st)
+        new.update({
+            "days_until_event": floor_days_between(now, st),
+            "hours_until_event": hours_between(now, st),
+            "event_month": month, "event_day_of_week": dow, "event_hour": hour,
+            "is_weekend_event": null_safe_flag(dow >= 5),
+            "event_hour_sin": cyclic_sin(hour, 24), "event_hour_cos": cyclic_cos(hour, 24),
+            "event_month_sin": cyclic_sin(month, 12), "event_month_cos": cyclic_cos(month, 12),
+        })
     if "bet_timestamp" in cols:
         bt = F.col("bet_timestamp")
-        df = (df.withColumn("bet_hour", F.hour(bt))
-              .withColumn("bet_day_of_week", weekday_mon0(bt))
-              .withColumn("is_bet_weekend", null_safe_flag(F.col("bet_day_of_week") >= 5)))
+        bdow = weekday_mon0(bt)
+        new.update({"bet_hour": F.hour(bt), "bet_day_of_week": bdow, "is_bet_weekend": null_safe_flag(bdow >= 5)})
         if "event_start_time" in cols:
-            df = (df.withColumn("bet_timing_hours_before", hours_between(bt, F.col("event_start_time")))
-                  .withColumn("is_live_bet", null_safe_flag(F.col("bet_timing_hours_before") <= 0)))
+            timing = hours_between(bt, F.col("event_start_time"))
+            new.update({"bet_timing_hours_before": timing, "is_live_bet": null_safe_flag(timing <= 0)})
         else:
-            df = (df.withColumn("bet_timing_hours_before", F.lit(None).cast("double"))
-                  .withColumn("is_live_bet", F.lit(None).cast("int")))
-    return df
+            new.update({"bet_timing_hours_before": F.lit(None).cast("double"),
+                        "is_live_bet": F.lit(None).cast("int")})
+    keep = [F.col(c) if c not in new else new[c].alias(c) for c in df.columns]
+    return df.select(*keep, *[e.alias(n) for n, e in new.items() if n not in cols])
 
 
 def odds_statistics(odds_history: DataFrame) -> DataFrame:

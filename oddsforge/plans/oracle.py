@@ -303,3 +303,72 @@ DEPS.update({
     "hier_o": ["hier_t", "odds_stats"], "event_agg": ["hier_o"], "market_agg": ["hier_o"],
     "hier": ["hier_o", "event_agg", "market_agg"],
 })
+
+
+# ---------------------------------------------------------------------------
+# Ratings (P5, P6, A9, A10, F10, F12, W6, F13, A11)
+
+CTE["inter"] = """
+  SELECT * FROM (
+    SELECT user_id, event_id,
+           COALESCE(TRY_CAST(bet_amount AS DOUBLE), 0.0) AS bet_amount,
+           COALESCE(TRY_CAST(odds_used AS DOUBLE), 1.0) AS odds_used,
+           CAST(COALESCE(TRY_CAST(outcome AS DOUBLE), 0.0) AS INTEGER) AS outcome,
+           COALESCE(TRY_CAST(bet_timing_hours_before AS DOUBLE), 24.0) AS bet_timing_hours_before,
+           COALESCE(TRY_CAST(is_live_bet AS DOUBLE), 0.0) <> 0 AS is_live_bet
+    FROM hier WHERE bet_amount IS NOT NULL AND user_id IS NOT NULL AND event_id IS NOT NULL)
+  WHERE bet_amount > 0"""
+CTE["ues"] = f"""
+  SELECT user_id, event_id, COUNT(bet_amount) AS bet_frequency, {xsum('bet_amount')} AS total_stake,
+         {xavg('bet_amount')} AS avg_stake, {xavg('odds_used')} AS avg_odds,
+         COALESCE(STDDEV_SAMP(odds_used), 0) AS odds_std, CAST(SUM(outcome) AS BIGINT) AS wins,
+         COUNT(outcome) AS total_bets,
+         CAST(SUM(CAST(is_live_bet AS BIGINT)) AS DOUBLE) / COUNT(is_live_bet) AS live_bet_ratio,
+         {xavg('bet_timing_hours_before')} AS avg_timing
+  FROM inter GROUP BY user_id, event_id"""
+
+
+def _clean(x: str) -> str:
+    return f"CASE WHEN ({x}) IS NULL OR isnan({x}) OR isinf({x}) THEN 0.0 ELSE ({x}) END"
+
+
+_FREQ = ("CASE WHEN ss.n > 1 AND ss.fstd > 0 THEN (CAST(bet_frequency AS DOUBLE) - ss.fmin) / (ss.fmax - ss.fmin) "
+         "ELSE 1.0 END")
+_MON = ("CASE WHEN ss.n > 1 AND ss.mstd > 0 THEN (CAST(total_stake AS DOUBLE) - ss.mmin) / (ss.mmax - ss.mmin) "
+        "ELSE 1.0 END")
+CTE["scored"] = f"""
+  SELECT *, least(greatest((0.25 * frequency_score + 0.25 * monetary_score + 0.3 * success_score
+                            + 0.1 * engagement_score + 0.1 * timing_score) * 5.0, 0.0), 5.0) AS composite_rating
+  FROM (SELECT ues.*, {_clean(_FREQ)} AS frequency_score, {_clean(_MON)} AS monetary_score,
+               {_clean('CASE WHEN total_bets > 0 THEN CAST(wins AS DOUBLE) / CAST(total_bets AS DOUBLE) ELSE 0.0 END')}
+                 AS success_score,
+               {_clean('CAST(live_bet_ratio AS DOUBLE)')} AS engagement_score,
+               {_clean('1.0 / (1.0 + abs(CAST(avg_timing AS DOUBLE)))')} AS timing_score
+        FROM ues, (SELECT COUNT(*) AS n, MIN(bet_frequency) AS fmin, MAX(bet_frequency) AS fmax,
+                          STDDEV_SAMP(bet_frequency) AS fstd, MIN(total_stake) AS mmin, MAX(total_stake) AS mmax,
+                          STDDEV_SAMP(total_stake) AS mstd FROM ues) ss)"""
+CTE["coo"] = """
+  SELECT user_id, event_id, dense_rank() OVER (ORDER BY user_id) - 1 AS user_idx,
+         dense_rank() OVER (ORDER BY event_id) - 1 AS event_idx, composite_rating AS rating
+  FROM scored"""
+CTE["simple_scores"] = f"""
+  SELECT g.*, (0.4 * CASE WHEN s.fmax = s.fmin THEN 0.0 ELSE (CAST(frequency AS DOUBLE) - s.fmin) / (s.fmax - s.fmin) END
+             + 0.3 * CASE WHEN s.amax = s.amin THEN 0.0 ELSE (total_amount - s.amin) / (s.amax - s.amin) END
+             + 0.3 * COALESCE(success_rate, 0.0)) * 5.0 AS interaction_score
+  FROM (SELECT user_id, event_id, COUNT(bet_amount) AS frequency, {xsum('bet_amount')} AS total_amount,
+               CAST(SUM(outcome) AS DOUBLE) / COUNT(outcome) AS success_rate, CAST(SUM(outcome) AS BIGINT) AS wins
+        FROM hier WHERE bet_amount IS NOT NULL AND bet_amount > 0 AND user_id IS NOT NULL AND event_id IS NOT NULL
+        GROUP BY user_id, event_id) g,
+       (SELECT MIN(frequency) AS fmin, MAX(frequency) AS fmax, MIN(total_amount) AS amin, MAX(total_amount) AS amax
+        FROM (SELECT COUNT(bet_amount) AS frequency, {xsum('bet_amount')} AS total_amount
+              FROM hier WHERE bet_amount IS NOT NULL AND bet_amount > 0 AND user_id IS NOT NULL
+                AND event_id IS NOT NULL GROUP BY user_id, event_id)) s"""
+DEPS.update({"inter": ["hier"], "ues": ["inter"], "scored": ["ues"], "coo": ["scored"],
+             "simple_scores": ["hier"]})
+
+# ---------------------------------------------------------------------------
+# Profiling (Q1-Q9)
+BET_SINCE = f"({BETS_AS_OF} - INTERVAL {tm.BETS_DAYS_BACK} DAY)"
+RECENT_SINCE = f"({BETS_AS_OF} - INTERVAL 365 DAY)"
+RAW_BET_COLS = ["bet_id", "user_id", "event_id", "outcome_id", "bet_amount", "odds", "bet_timestamp",
+                "settlement_timestamp", "outcome", "market", "bet_result"]

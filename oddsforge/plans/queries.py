@@ -164,3 +164,167 @@ def a3_market_aggregates(spark, d):
 def f21_hierarchy(spark, d):
     """F21 (J9 included): the full enriched hierarchy."""
     return D.hierarchy(spark, d, "full")
+
+
+# ------------------------------------------------------------------ ratings
+from oddsforge.operators import ratings as R  # noqa: E402
+from oddsforge.operators import quality as Q  # noqa: E402
+from oddsforge.functions.expressions import days_ago  # noqa: E402
+
+_UES6 = ["total_stake", "avg_stake", "avg_odds", "odds_std", "live_bet_ratio", "avg_timing"]
+_SC6 = _UES6 + ["frequency_score", "monetary_score", "success_score", "engagement_score", "timing_score",
+                "composite_rating"]
+
+
+def _ues(spark, d):
+    return R.user_event_stats(R.valid_interactions(D.hierarchy(spark, d)))
+
+
+@register("p5_p6_valid_interactions", W(["inter"], "SELECT * FROM inter"), cols6=["bet_amount", "odds_used",
+                                                                                 "bet_timing_hours_before"])
+def p5_p6_valid_interactions(spark, d):
+    """P5 + P6: typed, defaulted, positive-amount interactions."""
+    h = D.hierarchy(spark, d)
+    return R.valid_interactions(h).select("user_id", "event_id", "bet_amount", "odds_used", "outcome",
+                                          "bet_timing_hours_before", "is_live_bet")
+
+
+@register("a9_user_event_stats", W(["ues"], "SELECT * FROM ues"), cols6=_UES6)
+def a9_user_event_stats(spark, d):
+    """Per (user, event) statistics."""
+    return _ues(spark, d)
+
+
+@register("f12_composite_ratings", W(["scored"], "SELECT * FROM scored"), cols6=_SC6)
+def f12_composite_ratings(spark, d):
+    """F10 + F12: guarded min–max and the weighted composite rating."""
+    return R.composite_scores(_ues(spark, d))
+
+
+@register("f13_w6_rating_matrix", W(["coo"], "SELECT * FROM coo"), cols6=["rating"])
+def f13_w6_rating_matrix(spark, d):
+    """W6 + F13: COO rating matrix with dense sorted indices."""
+    return R.rating_matrix(R.composite_scores(_ues(spark, d)))
+
+
+@register("a11_matrix_statistics", W(["coo"], """
+  SELECT COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT event_id) AS n_events, COUNT(*) AS nnz,
+         MIN(rating) AS rating_min, MAX(rating) AS rating_max, AVG(rating) AS rating_mean,
+         1.0 - COUNT(*) / (COUNT(DISTINCT user_id) * COUNT(DISTINCT event_id)) AS sparsity FROM coo"""),
+          cols6=["rating_min", "rating_max", "rating_mean", "sparsity"])
+def a11_matrix_statistics(spark, d):
+    """Rating-matrix statistics."""
+    return R.matrix_statistics(R.rating_matrix(R.composite_scores(_ues(spark, d))))
+
+
+@register("a10_simple_interaction_scores", W(["simple_scores"], "SELECT * FROM simple_scores"),
+          cols6=["success_rate", "interaction_score"], cols2=["total_amount"])
+def a10_simple_interaction_scores(spark, d):
+    """A10: simplified (user, event) interaction score."""
+    return R.simple_interaction_scores(D.hierarchy(spark, d))
+
+
+# ---------------------------------------------------------------- profiling
+def _since():
+    return days_ago(tm.BETS_AS_OF, tm.BETS_DAYS_BACK)
+
+
+@register("q1_bet_quality_profile", W(["bets_raw"], """
+  SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE bet_amount IS NOT NULL AND bet_amount > 0) AS valid_bet_amounts,
+         COUNT(*) FILTER (WHERE user_id IS NOT NULL) AS valid_user_ids,
+         COUNT(*) FILTER (WHERE event_id IS NOT NULL) AS valid_event_ids,
+         COUNT(*) FILTER (WHERE outcome_id IS NOT NULL) AS valid_outcome_ids,
+         MIN(bet_timestamp) AS oldest_bet, MAX(bet_timestamp) AS newest_bet,
+         COUNT(DISTINCT user_id) AS unique_users, COUNT(DISTINCT event_id) AS unique_events FROM bets_raw"""))
+def q1_bet_quality_profile(spark, d):
+    """Q1: one-row bet-table profile."""
+    return Q.bet_quality_profile(tm.raw_bets(spark, d))
+
+
+@register("q2_daily_activity", W(["bets_raw"], f"""
+  SELECT CAST(bet_timestamp AS DATE) AS bet_date, COUNT(*) AS daily_bets FROM bets_raw
+  WHERE bet_timestamp >= {O.BET_SINCE} GROUP BY 1 ORDER BY bet_date DESC LIMIT 10"""))
+def q2_daily_activity(spark, d):
+    """Q2: latest ten active days (a top-k report)."""
+    return Q.daily_activity(tm.raw_bets(spark, d), _since(), 10)
+
+
+_Q3_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {c}"
+    for n, c in [("users", "users"), ("events", "events_l"), ("markets", "markets_raw"),
+                 ("outcomes", "outcomes_raw"), ("bets", "bets"), ("odds_history", "odds_raw")])
+
+
+def _tables(spark, d):
+    return {"users": D.users(spark, d), "events": D.events(spark, d), "markets": D.markets(spark, d),
+            "outcomes": D.outcomes(spark, d), "bets": D.bets(spark, d), "odds_history": D.odds_history(spark, d)}
+
+
+@register("q3_table_row_counts", W(["users", "events_l", "markets_raw", "outcomes_raw", "bets", "odds_raw"],
+                                   _Q3_SQL))
+def q3_table_row_counts(spark, d):
+    """Q3: row counts per domain table."""
+    return Q.table_row_counts(_tables(spark, d))
+
+
+@register("q4_bets_in_period", W(["bets_raw"], f"SELECT COUNT(*) AS total_bets FROM bets_raw "
+                                               f"WHERE bet_timestamp >= {O.BET_SINCE}"))
+def q4_bets_in_period(spark, d):
+    """Q4: bets in the analysed period."""
+    return Q.bets_in_period(tm.raw_bets(spark, d), _since())
+
+
+@register("q5_debug_counts", W(["bets_raw"], f"""
+  SELECT COUNT(*) AS total_bets, COUNT(*) FILTER (WHERE bet_amount > 0) AS valid_amounts,
+         COUNT(*) FILTER (WHERE bet_timestamp >= {O.RECENT_SINCE}) AS recent_bets FROM bets_raw"""))
+def q5_debug_counts(spark, d):
+    """Q5: debug counts."""
+    return Q.debug_counts(tm.raw_bets(spark, d), days_ago(tm.BETS_AS_OF, 365))
+
+
+@register("q5_latest_bets", W(["bets_raw"], "SELECT * FROM bets_raw ORDER BY bet_timestamp DESC, bet_id DESC, "
+                                            "outcome_id DESC, bet_amount DESC LIMIT 5"))
+def q5_latest_bets(spark, d):
+    """Q5: the five latest bets (a top-k report)."""
+    return Q.latest_bets(tm.raw_bets(spark, d), 5)
+
+
+def _q6_sql():
+    nulls = ", ".join(f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) AS \"nulls__{c}\"" for c in O.RAW_BET_COLS)
+    agg = (f"SELECT CAST(COUNT(*) AS DOUBLE) AS \"rows\", {nulls}, CAST(COUNT(bet_amount) AS DOUBLE) AS amount_count, "
+           f"{O.xavg('bet_amount')} AS amount_mean, STDDEV_SAMP(bet_amount) AS amount_std, "
+           f"CAST(MIN(bet_amount) AS DOUBLE) AS amount_min, quantile_cont(bet_amount, 0.25) AS \"amount_25%\", "
+           f"quantile_cont(bet_amount, 0.5) AS \"amount_50%\", quantile_cont(bet_amount, 0.75) AS \"amount_75%\", "
+           f"CAST(MAX(bet_amount) AS DOUBLE) AS amount_max, "
+           f"CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS distinct__user_id, "
+           f"CAST(COUNT(DISTINCT event_id) AS DOUBLE) AS distinct__event_id, "
+           f"{float(len(O.RAW_BET_COLS))} AS \"columns\" FROM bets_raw")
+    return f"UNPIVOT ({agg}) ON COLUMNS(*) INTO NAME metric VALUE value"
+
+
+@register("q6_table_profile", W(["bets_raw"], _q6_sql()), cols6=["value"])
+def q6_table_profile(spark, d):
+    """Q6: long-form table profile of the bet table."""
+    return Q.table_profile(tm.raw_bets(spark, d))
+
+
+@register("q8_pipeline_gates", W(["users", "events_l", "markets_raw", "outcomes_raw", "bets"], """
+  , c AS (SELECT 'users' AS table_name, COUNT(*) AS row_count FROM users UNION ALL
+          SELECT 'events', COUNT(*) FROM events_l UNION ALL SELECT 'markets', COUNT(*) FROM markets_raw UNION ALL
+          SELECT 'outcomes', COUNT(*) FROM outcomes_raw UNION ALL SELECT 'bets', COUNT(*) FROM bets)
+  SELECT table_name, row_count, 'non_empty' AS check_name, CAST(1 AS BIGINT) AS threshold,
+         CAST(row_count >= 1 AS INTEGER) AS passed FROM c
+  UNION ALL
+  SELECT table_name, row_count, 'min_rows', CAST(CASE WHEN table_name = 'bets' THEN 1000 ELSE 100 END AS BIGINT),
+         CAST(row_count >= CASE WHEN table_name = 'bets' THEN 1000 ELSE 100 END AS INTEGER)
+  FROM c WHERE table_name IN ('bets', 'users')"""))
+def q8_pipeline_gates(spark, d):
+    """Q8: pipeline gates."""
+    t = _tables(spark, d)
+    return Q.pipeline_gates(t)
+
+
+@register("q7_contract_check")
+def q7_contract_check(spark, d):
+    """Q7: required-column contract per table (schema check, rows-only)."""
+    return Q.contract_check(_tables(spark, d))
