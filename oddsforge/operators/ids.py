@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsforge.operators.ranking import range_buckets
+
 
 def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """Map each distinct non-null ``col`` value to its 0-based rank in ascending order.
 
-    Distinct keys are range-partitioned and sorted inside partitions; each row's
-    index is (rows in earlier partitions) + (position inside its partition). Only
-    the per-partition counts — one row per partition, a proven-small table — are
-    broadcast. Returns ``(col, out)``.
+    Distinct keys get a data-derived range bucket; index = (keys in earlier
+    buckets) + (row_number inside the bucket). Only the per-bucket counts — one
+    row per bucket — are broadcast. Returns ``(col, out)``.
     """
-    keys = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    ranged = (keys.repartitionByRange(col).sortWithinPartitions(col)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")
-                                                     .rowsBetween(Window.unboundedPreceding, -1)))
-                            .alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(F.col(col), (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long").alias(out)))
+    keys = range_buckets(df.select(col).filter(F.col(col).isNotNull()).distinct(), col)
+    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(col)) - 1
+    return (keys.join(F.broadcast(offsets), "_bucket")
+            .select(F.col(col), (F.col("_off") + local).cast("long").alias(out)))

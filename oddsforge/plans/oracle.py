@@ -372,3 +372,66 @@ BET_SINCE = f"({BETS_AS_OF} - INTERVAL {tm.BETS_DAYS_BACK} DAY)"
 RECENT_SINCE = f"({BETS_AS_OF} - INTERVAL 365 DAY)"
 RAW_BET_COLS = ["bet_id", "user_id", "event_id", "outcome_id", "bet_amount", "odds", "bet_timestamp",
                 "settlement_timestamp", "outcome", "market", "bet_result"]
+
+
+# ---------------------------------------------------------------------------
+# Evaluation
+CTE["lscores"] = """
+  SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_quantity / 10.0 AS rating,
+         l_extendedprice / 20000.0 AS prediction FROM lineitem"""
+CTE["recs"] = """
+  SELECT user_id, event_id AS item_id, rank FROM (
+    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY timing_score DESC, event_id ASC) AS rank
+    FROM scored) WHERE rank <= 20"""
+CTE["test_i"] = "SELECT user_id, event_id AS item_id, composite_rating AS rating FROM scored"
+DEPS.update({"recs": ["scored"], "test_i": ["scored"]})
+
+AUC_SQL = """
+  , d AS (SELECT rating, CASE WHEN prediction IS NULL OR isnan(prediction) THEN 0.5
+                              WHEN prediction = 'inf'::DOUBLE THEN 1.0 WHEN prediction = '-inf'::DOUBLE THEN 0.0
+                              ELSE prediction END AS prediction FROM lscores),
+  t AS (SELECT quantile_cont(rating, 0.5) AS thr FROM d),
+  g AS (SELECT prediction AS score, SUM(CASE WHEN rating > thr THEN 1 ELSE 0 END) AS pos,
+               SUM(CASE WHEN rating > thr THEN 0 ELSE 1 END) AS neg FROM d, t GROUP BY prediction),
+  c AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+               SUM(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+               SUM(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM g)
+  SELECT CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN 0.5
+              ELSE SUM(pos * (neg_below + 0.5 * neg)) / (SUM(pos) * SUM(neg)) END AS auc,
+         CASE WHEN SUM(pos) = 0 THEN 0.5
+              ELSE COALESCE(SUM(CASE WHEN pos > 0 THEN pos * tp / (tp + fp) END), 0) / SUM(pos) END AS avg_precision
+  FROM c"""
+
+RANKING_SQL = """
+  , rel AS (SELECT DISTINCT t.user_id, t.item_id FROM test_i t
+            JOIN (SELECT user_id, CAST(SUM(CAST(rating AS DECIMAL(38,9))) AS DOUBLE) / COUNT(rating) AS m
+                  FROM test_i GROUP BY user_id) mm ON t.user_id = mm.user_id WHERE t.rating > mm.m),
+  nrel AS (SELECT user_id, COUNT(*) AS nrel FROM rel GROUP BY user_id),
+  ks AS (SELECT unnest([5, 10, 20]) AS k),
+  pu AS (SELECT ks.k, r.user_id, COUNT(*) AS len, SUM(CASE WHEN rel.item_id IS NOT NULL THEN 1 ELSE 0 END) AS hits,
+                SUM(CASE WHEN rel.item_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END) AS dcg
+         FROM ks JOIN recs r ON r.rank <= ks.k
+         LEFT JOIN rel ON r.user_id = rel.user_id AND r.item_id = rel.item_id GROUP BY ks.k, r.user_id),
+  pm AS (SELECT pu.k, AVG(CAST(hits AS DOUBLE) / len) AS p, AVG(CAST(hits AS DOUBLE) / nrel) AS r,
+                AVG(dcg / (SELECT SUM(1.0 / log2(i + 2)) FROM range(0, least(nrel, pu.k)) t(i))) AS n
+         FROM pu JOIN nrel ON pu.user_id = nrel.user_id GROUP BY pu.k)
+  SELECT ks.k, COALESCE(p, 0.0) AS precision, COALESCE(r, 0.0) AS recall, COALESCE(n, 0.0) AS ndcg,
+         CASE WHEN COALESCE(p, 0.0) + COALESCE(r, 0.0) > 0
+              THEN 2.0 * COALESCE(p, 0.0) * COALESCE(r, 0.0) / (COALESCE(p, 0.0) + COALESCE(r, 0.0)) ELSE 0.0 END AS f1
+  FROM ks LEFT JOIN pm ON ks.k = pm.k"""
+
+DIVERSITY_SQL = """
+  , recs10 AS (SELECT * FROM recs WHERE rank <= 10), pop AS (SELECT item_id, COUNT(*) AS pop FROM test_i GROUP BY item_id),
+  su AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM recs10)
+         ORDER BY ((user_id % 2147483648) * 2654435761 + 42) % 4294967296, user_id LIMIT 10),
+  sets AS (SELECT user_id, list(DISTINCT item_id) AS s FROM recs10 WHERE user_id IN (SELECT user_id FROM su) GROUP BY user_id),
+  iud AS (SELECT AVG(1.0 - CAST(len(list_intersect(a.s, b.s)) AS DOUBLE)
+                     / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE)) AS iud
+          FROM sets a JOIN sets b ON a.user_id < b.user_id)
+  SELECT CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(DISTINCT item_id) AS DOUBLE) / COUNT(*) ELSE 0.0 END AS diversity,
+         CAST(COUNT(DISTINCT item_id) AS DOUBLE) / (SELECT COUNT(DISTINCT item_id) FROM test_i) AS coverage,
+         COALESCE((SELECT iud FROM iud), 0.0) AS inter_user_diversity,
+         greatest(0.0, 1.0 - (SELECT AVG(CAST(COALESCE(p.pop, 0) AS DOUBLE))
+                               FROM (SELECT DISTINCT item_id FROM recs10) x LEFT JOIN pop p ON x.item_id = p.item_id)
+                              / (SELECT MAX(pop) FROM pop)) AS novelty
+  FROM recs10"""

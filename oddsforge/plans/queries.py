@@ -328,3 +328,67 @@ def q8_pipeline_gates(spark, d):
 def q7_contract_check(spark, d):
     """Q7: required-column contract per table (schema check, rows-only)."""
     return Q.contract_check(_tables(spark, d))
+
+
+# --------------------------------------------------------------- evaluation
+from oddsforge.operators import evaluation as E  # noqa: E402
+from oddsforge.operators.ranking import top_n  # noqa: E402
+
+
+def _scored(spark, d):
+    return R.composite_scores(_ues(spark, d))
+
+
+def _test_and_recs(spark, d, n=20):
+    sc = _scored(spark, d)
+    test = sc.select("user_id", F.col("event_id").alias("item_id"), F.col("composite_rating").alias("rating"))
+    recs = top_n(sc.select("user_id", F.col("event_id").alias("item_id"), "timing_score"),
+                 "user_id", "timing_score", n, tie="item_id").select("user_id", "item_id", "rank")
+    return test, recs
+
+
+@register("e1_e2_regression_metrics", W(["lscores"], """
+  SELECT AVG((p - rating) * (p - rating)) AS mse, AVG(abs(p - rating)) AS mae,
+         sqrt(AVG((p - rating) * (p - rating))) AS rmse,
+         CASE WHEN corr(rating, p) IS NULL OR isnan(corr(rating, p)) THEN 0.0 ELSE corr(rating, p) END AS correlation
+  FROM (SELECT rating, CASE WHEN prediction IS NULL OR isnan(prediction) THEN 0.5 ELSE prediction END AS p FROM lscores)"""),
+          cols6=["mse", "mae", "rmse", "correlation"])
+def e1_e2_regression_metrics(spark, d):
+    """E1 + E2: MSE, MAE, RMSE and correlation of predicted vs true ratings."""
+    return E.regression_metrics(tm.labelled_scores(spark, d))
+
+
+@register("e3_e4_auc_average_precision", W(["lscores"], O.AUC_SQL), cols6=["auc", "avg_precision"])
+def e3_e4_auc_average_precision(spark, d):
+    """E3 + E4: exact AUC and average precision on rating > median."""
+    return E.auc_ap(tm.labelled_scores(spark, d))
+
+
+@register("w8_top_n_recommendations", W(["recs"], "SELECT * FROM recs"))
+def w8_top_n_recommendations(spark, d):
+    """Top-20 events per user by score (two-phase, skew-safe)."""
+    return _test_and_recs(spark, d)[1]
+
+
+@register("e5_relevant_items", W(["test_i"], """
+  SELECT DISTINCT t.user_id, t.item_id FROM test_i t
+  JOIN (SELECT user_id, CAST(SUM(CAST(rating AS DECIMAL(38,9))) AS DOUBLE) / COUNT(rating) AS m FROM test_i GROUP BY user_id) mm
+    ON t.user_id = mm.user_id WHERE t.rating > mm.m"""))
+def e5_relevant_items(spark, d):
+    """E5: items above the user's own mean rating."""
+    return E.relevant_items(_test_and_recs(spark, d)[0])
+
+
+@register("e6_e8_ranking_metrics", W(["recs", "test_i"], O.RANKING_SQL), cols6=["precision", "recall", "ndcg", "f1"])
+def e6_e8_ranking_metrics(spark, d):
+    """E6 + E7 + E8 (+U2): precision, recall, NDCG and F1 at 5/10/20."""
+    test, recs = _test_and_recs(spark, d)
+    return E.ranking_metrics(recs, test)
+
+
+@register("e9_e11_diversity_metrics", W(["recs", "test_i"], O.DIVERSITY_SQL),
+          cols6=["diversity", "coverage", "inter_user_diversity", "novelty"])
+def e9_e11_diversity_metrics(spark, d):
+    """E9 + E10 + E11 (+A12, U3, U4, J13): diversity, coverage, inter-user diversity, novelty."""
+    test, recs = _test_and_recs(spark, d, 10)
+    return E.diversity_metrics(recs, test)
