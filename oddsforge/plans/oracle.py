@@ -435,3 +435,14 @@ DIVERSITY_SQL = """
                                FROM (SELECT DISTINCT item_id FROM recs10) x LEFT JOIN pop p ON x.item_id = p.item_id)
                               / (SELECT MAX(pop) FROM pop)) AS novelty
   FROM recs10"""
+
+
+# ---------------------------------------------------------------------------
+# Bandit (M17-M21) and streaming
+CTE["rewards"] = "SELECT event_type AS action, CAST(value > 50.0 AS INTEGER) AS reward, user_id FROM events"
+CTE["arm_state"] = """
+  SELECT a.action, CAST(COALESCE(t.n, 0) AS BIGINT) AS n, COALESCE(t.reward_sum, 0.0) AS reward_sum
+  FROM (SELECT DISTINCT action FROM rewards WHERE action IS NOT NULL) a
+  FULL OUTER JOIN (SELECT action, COUNT(*) AS n, CAST(SUM(reward) AS DOUBLE) AS reward_sum FROM rewards GROUP BY action) t
+    ON a.action = t.action"""
+DEPS.update({"arm_state": ["rewards"]})

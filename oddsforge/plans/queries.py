@@ -392,3 +392,77 @@ def e9_e11_diversity_metrics(spark, d):
     """E9 + E10 + E11 (+A12, U3, U4, J13): diversity, coverage, inter-user diversity, novelty."""
     test, recs = _test_and_recs(spark, d, 10)
     return E.diversity_metrics(recs, test)
+
+
+# ------------------------------------------------------- bandit + streaming
+from oddsforge.models import bandit as BD  # noqa: E402
+from oddsforge.streaming import rewards as ST  # noqa: E402
+
+
+def _arm_state(spark, d):
+    r = tm.bandit_rewards(spark, d)
+    return BD.update_arms(BD.init_arms(r), r)
+
+
+@register("m17_init_arms", W(["rewards"], "SELECT DISTINCT action, CAST(0 AS BIGINT) AS n, 0.0 AS reward_sum "
+                                          "FROM rewards WHERE action IS NOT NULL"))
+def m17_init_arms(spark, d):
+    """Zero-initialised arms from the action list."""
+    return BD.init_arms(tm.bandit_rewards(spark, d))
+
+
+@register("m18_update_arms", W(["arm_state"], "SELECT * FROM arm_state"), cols6=["reward_sum"])
+def m18_update_arms(spark, d):
+    """Batch arm update (count and reward sum per action)."""
+    return _arm_state(spark, d)
+
+
+@register("m19_ucb_scores", W(["arm_state"], """
+  , tot AS (SELECT SUM(n) AS t FROM arm_state),
+  s0 AS (SELECT a.*, CASE WHEN n > 0 THEN
+                  CASE WHEN tot.t > 0 THEN reward_sum / n + 1.0 * sqrt(2.0 * ln(CAST(tot.t AS DOUBLE)) / n)
+                       ELSE reward_sum / n END END AS ucb_score FROM arm_state a, tot)
+  SELECT action, n, reward_sum, ucb_score,
+         CAST(action IS NOT DISTINCT FROM COALESCE(
+           (SELECT MIN(action) FROM s0 WHERE n = 0),
+           (SELECT MIN(action) FROM s0 WHERE n > 0 AND ucb_score = (SELECT MAX(ucb_score) FROM s0 WHERE n > 0)))
+           AS INTEGER) AS selected
+  FROM s0"""), cols6=["reward_sum", "ucb_score"])
+def m19_ucb_scores(spark, d):
+    """UCB scores and the chosen arm."""
+    return BD.ucb_scores(_arm_state(spark, d))
+
+
+@register("m20_predict_pairs", W(["arm_state", "rewards"], """
+  SELECT r.user_id, r.action AS item_id,
+         CASE WHEN s.n > 0 THEN s.reward_sum / s.n ELSE 0.5 END AS prediction
+  FROM rewards r LEFT JOIN arm_state s ON r.action = s.action"""), cols6=["prediction"])
+def m20_predict_pairs(spark, d):
+    """Arm mean reward per (user, item) pair, 0.5 when unknown."""
+    pairs = tm.bandit_rewards(spark, d).select("user_id", F.col("action").alias("item_id"))
+    return BD.predict_pairs(_arm_state(spark, d), pairs)
+
+
+@register("m21_recommend_arms", W(["arm_state"], """
+  SELECT action, CASE WHEN n > 0 THEN reward_sum / n ELSE 0.5 END AS score FROM arm_state
+  ORDER BY score DESC, action ASC LIMIT 10"""), cols6=["score"])
+def m21_recommend_arms(spark, d):
+    """Top-10 arms by mean reward (a top-k report)."""
+    return BD.recommend_arms(_arm_state(spark, d), 10)
+
+
+@register("t1_stream_arm_updates", W(["rewards"], """
+  SELECT action, COUNT(*) AS n, CAST(SUM(reward) AS DOUBLE) AS reward_sum,
+         CAST(SUM(reward) AS DOUBLE) / COUNT(*) AS mean_reward FROM rewards GROUP BY action"""),
+          cols6=["reward_sum", "mean_reward"])
+def t1_stream_arm_updates(spark, d):
+    """Structured Streaming arm update over the events file (availableNow); equals M18."""
+    return ST.run_arm_updates(spark, f"{d.rstrip('/')}/events.parquet")
+
+
+@register("t2_exploration_rate", W(["rewards"], """
+  SELECT COUNT(*) AS total_updates, 0.1 * pow(0.99, floor(COUNT(*) / 100)) AS exploration_rate FROM rewards"""),
+          cols6=["exploration_rate"])
+def t2_exploration_rate(spark, d):
+    """Exploration rate after the streamed updates."""
+    return ST.exploration_after(ST.run_arm_updates(spark, f"{d.rstrip('/')}/events.parquet"))
