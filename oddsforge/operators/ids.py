@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from oddsforge.operators.ranking import range_buckets
+from oddsforge.session import cut_lineage
+
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
@@ -15,7 +20,15 @@ def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     buckets) + (row_number inside the bucket). Only the per-bucket counts — one
     row per bucket — are broadcast. Returns ``(col, out)``.
     """
-    keys = range_buckets(df.select(col).filter(F.col(col).isNotNull()).distinct(), col)
+    distinct = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    if isinstance(distinct.schema[col].dataType, _NUMERIC):
+        keys = range_buckets(distinct, col)
+    else:
+        # non-numeric keys: range-partition once and checkpoint (reliable, shared
+        # folder) so every branch sees the same partition boundaries
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = cut_lineage(distinct.repartitionByRange(n, col))
+        keys = ranged.withColumn("_bucket", F.spark_partition_id())
     counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))

@@ -446,3 +446,34 @@ CTE["arm_state"] = """
   FULL OUTER JOIN (SELECT action, COUNT(*) AS n, CAST(SUM(reward) AS DOUBLE) AS reward_sum FROM rewards GROUP BY action) t
     ON a.action = t.action"""
 DEPS.update({"arm_state": ["rewards"]})
+
+
+# ---------------------------------------------------------------------------
+# Preparation
+PREP_NUM = ["popularity_index", "bet_amount", "odds_used", "odds_mean", "bet_timing_hours_before", "total_deposits"]
+PREP_CAT = ["sport", "user_country", "market_name"]
+CTE["prep_in"] = (f"SELECT bet_id, event_id, user_id, {', '.join(PREP_NUM + PREP_CAT)}, registration_date, "
+                  "bet_timestamp FROM hier")
+DEPS.update({"prep_in": ["hier"]})
+
+
+def mode_sql(c: str, src: str = "prep_in") -> str:
+    return f"(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} ASC LIMIT 1)"
+
+
+def impute_sql(heavy_share: float | None = None) -> str:
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in PREP_NUM)
+    if heavy_share is None:
+        num = [f"COALESCE(p.{c}, m.{c}, 0) AS {c}" for c in PREP_NUM]
+        cat = [f"COALESCE(p.{c}, {mode_sql(c)}, 'Unknown') AS {c}" for c in PREP_CAT]
+        keys = ["COALESCE(p.bet_id, 0) AS bet_id", "COALESCE(p.event_id, 0) AS event_id",
+                "COALESCE(p.user_id, 0) AS user_id"]
+    else:
+        num = [f"COALESCE(p.{c}, CASE WHEN s.{c} > {heavy_share} THEN 0 ELSE COALESCE(m.{c}, 0) END) AS {c}"
+               for c in PREP_NUM]
+        cat = [f"COALESCE(p.{c}, CASE WHEN s.{c} > {heavy_share} THEN 'Unknown' ELSE "
+               f"COALESCE({mode_sql(c)}, 'Unknown') END) AS {c}" for c in PREP_CAT]
+        keys = ["p.bet_id", "p.event_id", "p.user_id"]
+    shares = ", ".join(f"AVG(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}" for c in PREP_NUM + PREP_CAT)
+    return (f", m AS (SELECT {med} FROM prep_in), s AS (SELECT {shares} FROM prep_in)\n"
+            f"SELECT {', '.join(keys + num + cat)}, p.registration_date, p.bet_timestamp FROM prep_in p, m, s")

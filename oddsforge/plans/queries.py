@@ -466,3 +466,105 @@ def t1_stream_arm_updates(spark, d):
 def t2_exploration_rate(spark, d):
     """Exploration rate after the streamed updates."""
     return ST.exploration_after(ST.run_arm_updates(spark, f"{d.rstrip('/')}/events.parquet"))
+
+
+# -------------------------------------------------------------- preparation
+from oddsforge.operators import prep as PR  # noqa: E402
+
+_PN, _PC = O.PREP_NUM, O.PREP_CAT
+
+
+def _prep_in(spark, d):
+    return D.hierarchy(spark, d).select("bet_id", "event_id", "user_id", *_PN, *_PC, "registration_date",
+                                        "bet_timestamp")
+
+
+@register("f1_impute_smart", W(["prep_in"], O.impute_sql()), cols6=_PN)
+def f1_impute_smart(spark, d):
+    """median / mode imputation, leftover 0."""
+    return PR.impute(_prep_in(spark, d), "smart", numeric=_PN, categorical=_PC)
+
+
+@register("f2_impute_zero", W(["prep_in"], "SELECT " + ", ".join(
+    [f"COALESCE({c}, 0) AS {c}" for c in ["bet_id", "event_id", "user_id"] + _PN] + _PC
+    + ["registration_date", "bet_timestamp"]) + " FROM prep_in"), cols6=_PN)
+def f2_impute_zero(spark, d):
+    """zero imputation."""
+    return PR.impute(_prep_in(spark, d), "zero")
+
+
+@register("f3_impute_missing_share", W(["prep_in"], O.impute_sql(0.5)), cols6=_PN)
+def f3_impute_missing_share(spark, d):
+    """>50 % missing -> 0 / 'Unknown', else median / mode."""
+    return PR.impute_by_missing_share(_prep_in(spark, d), _PN, _PC)
+
+
+@register("f4_u5_label_encode", W(["prep_in"], """
+  , lab AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (
+              SELECT COALESCE(CAST(market_name AS VARCHAR), 'Unknown') AS v FROM prep_in UNION SELECT 'Unknown'))
+  SELECT p.bet_id, p.event_id, CASE WHEN l.v = 'Unknown' THEN 'Unknown' ELSE l.v END AS market_name,
+         CAST(l.code AS BIGINT) AS market_name_encoded
+  FROM prep_in p JOIN lab l ON COALESCE(CAST(p.market_name AS VARCHAR), 'Unknown') = l.v"""))
+def f4_u5_label_encode(spark, d):
+    """F4 + U5: sorted label encoding with a reserved 'Unknown' code."""
+    return PR.label_encode(_prep_in(spark, d).select("bet_id", "event_id", "market_name"), "market_name")
+
+
+def _scaled_sql(kind: str) -> str:
+    if kind == "robust":
+        stats = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.5) AS md_{c}, "
+                          f"quantile_cont({c}, 0.75) AS q3_{c}" for c in _PN)
+        exprs = [f"(CAST({c} AS DOUBLE) - COALESCE(md_{c}, 0.0)) / CASE WHEN q3_{c} - q1_{c} = 0 "
+                 f"OR q1_{c} IS NULL THEN 1.0 ELSE q3_{c} - q1_{c} END AS {c}" for c in _PN]
+    elif kind == "standard":
+        stats = ", ".join(f"CAST(SUM(CAST(COALESCE({c}, 0.0) AS DECIMAL(38,9))) AS DOUBLE) / COUNT(*) AS m_{c}, "
+                          f"STDDEV_POP(COALESCE({c}, 0.0)) AS s_{c}" for c in _PN)
+        exprs = [f"(COALESCE({c}, 0.0) - COALESCE(m_{c}, 0.0)) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 "
+                 f"ELSE s_{c} END AS {c}" for c in _PN]
+    elif kind == "iqr":
+        stats = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in _PN)
+        exprs = [f"CASE WHEN {c} IS NULL OR q3_{c} - q1_{c} = 0 OR q1_{c} IS NULL THEN {c} ELSE "
+                 f"least(greatest(CAST({c} AS DOUBLE), q1_{c} - 1.5 * (q3_{c} - q1_{c})), "
+                 f"q3_{c} + 1.5 * (q3_{c} - q1_{c})) END AS {c}" for c in _PN]
+    else:  # zscore
+        stats = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) / COUNT({c}) AS m_{c}, "
+                          f"STDDEV_SAMP({c}) AS s_{c}, quantile_cont({c}, 0.5) AS md_{c}" for c in _PN)
+        exprs = [f"CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN {c} WHEN abs((CAST({c} AS DOUBLE) - m_{c}) / s_{c}) > 3.0 "
+                 f"THEN md_{c} ELSE CAST({c} AS DOUBLE) END AS {c}" for c in _PN]
+    return (f", st AS (SELECT {stats} FROM prep_in)\nSELECT bet_id, event_id, user_id, {', '.join(exprs)}, "
+            f"{', '.join(_PC)}, registration_date, bet_timestamp FROM prep_in, st")
+
+
+@register("f8_robust_scale", W(["prep_in"], _scaled_sql("robust")), cols6=_PN)
+def f8_robust_scale(spark, d):
+    """F8: exact robust scaling."""
+    return PR.robust_scale(_prep_in(spark, d), _PN)
+
+
+@register("f9_standard_scale", W(["prep_in"], _scaled_sql("standard")), cols6=_PN)
+def f9_standard_scale(spark, d):
+    """population standard scaling of feature columns (keys untouched)."""
+    return PR.standard_scale(_prep_in(spark, d), _PN)
+
+
+@register("f14_iqr_clip", W(["prep_in"], _scaled_sql("iqr")), cols6=_PN)
+def f14_iqr_clip(spark, d):
+    """IQR clipping."""
+    return PR.clip_outliers_iqr(_prep_in(spark, d), _PN)
+
+
+@register("f15_zscore_replace", W(["prep_in"], _scaled_sql("zscore")), cols6=_PN)
+def f15_zscore_replace(spark, d):
+    """|z| > 3 -> median."""
+    return PR.replace_outliers_zscore(_prep_in(spark, d), _PN)
+
+
+@register("w7_forward_fill", W(["prep_in"], """
+  SELECT bet_id, event_id, user_id, bet_timestamp,
+         last(registration_date IGNORE NULLS) OVER (PARTITION BY event_id ORDER BY bet_id NULLS FIRST, user_id NULLS FIRST, bet_timestamp NULLS FIRST
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS registration_date
+  FROM prep_in"""))
+def w7_forward_fill(spark, d):
+    """Forward fill of a timestamp within each event, in bet order."""
+    df = _prep_in(spark, d).select("bet_id", "event_id", "user_id", "bet_timestamp", "registration_date")
+    return PR.forward_fill(df, "registration_date", ["event_id"], ["bet_id", "user_id", "bet_timestamp"])
