@@ -22,13 +22,17 @@ def clean_text_keys(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def events_markets_outcomes(events: DataFrame, markets: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """J1 + J2: events ⟕ markets on event_id ⟕ outcomes on market_id (skipped without the key)."""
-    em = catalogue_left_join(events, markets, ["event_id"])
+    """J1 + J2: events ⟕ markets on event_id ⟕ outcomes on market_id (skipped without the key).
+
+    All three are catalogue tables (one row per event / market / outcome), so
+    plain left joins are used; the skew-safe form is kept for the bet joins.
+    """
+    em = events.join(markets.drop(*[c for c in markets.columns if c in events.columns and c != "event_id"]),
+                     "event_id", "left")
     if "market_id" in em.columns and "market_id" in outcomes.columns:
-        em = catalogue_left_join(em, outcomes.drop(*[c for c in outcomes.columns
-                                                     if c in em.columns and c != "market_id"]),
-                                 ["market_id"])
-    return em
+        em = em.join(outcomes.drop(*[c for c in outcomes.columns if c in em.columns and c != "market_id"]),
+                     "market_id", "left")
+    return em.select(*events.columns, *[c for c in em.columns if c not in events.columns])
 
 
 def _bets_for_join(bets: DataFrame) -> DataFrame:
@@ -170,8 +174,15 @@ def with_hierarchy_aggregates(df: DataFrame) -> DataFrame:
 
 
 def build_hierarchy(events: DataFrame, markets: DataFrame, outcomes: DataFrame, bets: DataFrame,
-                    users: DataFrame, odds_history: DataFrame | None, as_of: str) -> DataFrame:
-    """P1 → J1…J5 → U1 → W1 → P2…P4 → J8 → J9."""
+                    users: DataFrame, odds_history: DataFrame | None, as_of: str,
+                    materialize: bool = True) -> DataFrame:
+    """P1 → J1…J5 → U1 → W1 → P2…P4 → J8 → J9.
+
+    With ``materialize`` the deduplicated view is written once (reliable
+    checkpoint in the shared checkpoint folder) before the event and market
+    aggregates branch off it, instead of re-planning the five-table join three
+    times.
+    """
     markets = clean_text_keys(markets, TEXT_KEYS["markets"])
     outcomes = clean_text_keys(outcomes, TEXT_KEYS["outcomes"])
     bets = clean_text_keys(bets, TEXT_KEYS["bets"])
@@ -181,4 +192,7 @@ def build_hierarchy(events: DataFrame, markets: DataFrame, outcomes: DataFrame,
     combined = combine_views(classic, direct)
     combined = temporal_features(combined, as_of)
     combined = with_odds(combined, odds_history)
+    if materialize:
+        from oddsforge.session import cut_lineage
+        combined = cut_lineage(combined)
     return with_hierarchy_aggregates(combined)

@@ -64,4 +64,18 @@ def hierarchy(spark: SparkSession, d: str, stage: str = "full") -> DataFrame:
     comb = H.with_odds(comb, odds_history(spark, d))
     if stage == "odds":
         return comb
-    return H.with_hierarchy_aggregates(comb)
+    from oddsforge.session import cut_lineage
+    return H.with_hierarchy_aggregates(cut_lineage(comb))
+
+
+def hierarchy_table(spark: SparkSession, d: str) -> DataFrame:
+    """The full hierarchy, materialised once with a reliable checkpoint.
+
+    Downstream operators read small statistics (quantiles, min/max, bucket cut
+    points) before building their plans; without the cut each read would
+    re-run the five-table join. The checkpoint lives in ``spark.checkpoint.dir``
+    (a shared folder on a cluster), so it survives executor loss.
+    """
+    from oddsforge.session import cut_lineage
+
+    return cut_lineage(hierarchy(spark, d))

@@ -177,7 +177,8 @@ _SC6 = _UES6 + ["frequency_score", "monetary_score", "success_score", "engagemen
 
 
 def _ues(spark, d):
-    return R.user_event_stats(R.valid_interactions(D.hierarchy(spark, d)))
+    from oddsforge.session import cut_lineage
+    return cut_lineage(R.user_event_stats(R.valid_interactions(D.hierarchy(spark, d))))
 
 
 @register("p5_p6_valid_interactions", W(["inter"], "SELECT * FROM inter"), cols6=["bet_amount", "odds_used",
@@ -221,7 +222,7 @@ def a11_matrix_statistics(spark, d):
           cols6=["success_rate", "interaction_score"], cols2=["total_amount"])
 def a10_simple_interaction_scores(spark, d):
     """A10: simplified (user, event) interaction score."""
-    return R.simple_interaction_scores(D.hierarchy(spark, d))
+    return R.simple_interaction_scores(D.hierarchy_table(spark, d))
 
 
 # ---------------------------------------------------------------- profiling
@@ -475,7 +476,7 @@ _PN, _PC = O.PREP_NUM, O.PREP_CAT
 
 
 def _prep_in(spark, d):
-    return D.hierarchy(spark, d).select("bet_id", "event_id", "user_id", *_PN, *_PC, "registration_date",
+    return D.hierarchy_table(spark, d).select("bet_id", "event_id", "user_id", *_PN, *_PC, "registration_date",
                                         "bet_timestamp")
 
 
