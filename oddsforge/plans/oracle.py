@@ -477,3 +477,37 @@ def impute_sql(heavy_share: float | None = None) -> str:
     shares = ", ".join(f"AVG(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}" for c in PREP_NUM + PREP_CAT)
     return (f", m AS (SELECT {med} FROM prep_in), s AS (SELECT {shares} FROM prep_in)\n"
             f"SELECT {', '.join(keys + num + cat)}, p.registration_date, p.bet_timestamp FROM prep_in p, m, s")
+
+
+# ---------------------------------------------------------------------------
+# Models with exact oracles (M5 profiles, M11/M12 hybrid given sub-model scores)
+CTE["cratings"] = """
+  SELECT user_id, event_id % (SELECT COUNT(*) FROM embeddings) AS item_id, value / 100.0 AS rating FROM events"""
+CTE["profiles"] = """
+  SELECT n.user_id, n.dim, CASE WHEN t.tot > 0 THEN n.num / t.tot ELSE 0.0 END AS value
+  FROM (SELECT w.user_id, v.dim, SUM(w.w * v.x) AS num
+        FROM (SELECT user_id, item_id, SUM(rating) AS w FROM cratings GROUP BY user_id, item_id) w
+        JOIN (SELECT vec_id AS item_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+                     generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) v ON w.item_id = v.item_id
+        GROUP BY w.user_id, v.dim) n
+  JOIN (SELECT user_id, SUM(rating) AS tot FROM cratings GROUP BY user_id) t ON n.user_id = t.user_id"""
+CTE["hyb_in"] = """
+  SELECT user_id, event_id AS item_id, frequency_score AS s_collaborative, monetary_score AS s_content_based,
+         success_score AS s_contextual FROM scored"""
+DEPS.update({"profiles": ["cratings"], "hyb_in": ["scored"]})
+HYBRID_SCORE_SQL = """
+  SELECT user_id, item_id, (0.4 * s_collaborative + 0.3 * s_content_based + 0.3 * s_contextual) / 1.0 AS hybrid_score
+  FROM hyb_in"""
+HYBRID_LIST_SQL = """
+  , l AS (SELECT user_id, item_id, 0.4 * s AS ws FROM (SELECT user_id, item_id, s_collaborative AS s,
+            row_number() OVER (PARTITION BY user_id ORDER BY s_collaborative DESC, item_id) AS r FROM hyb_in) WHERE r <= 10
+          UNION ALL
+          SELECT user_id, item_id, 0.3 * s FROM (SELECT user_id, item_id, s_content_based AS s,
+            row_number() OVER (PARTITION BY user_id ORDER BY s_content_based DESC, item_id) AS r FROM hyb_in) WHERE r <= 10
+          UNION ALL
+          SELECT user_id, item_id, 0.3 * s FROM (SELECT user_id, item_id, s_contextual AS s,
+            row_number() OVER (PARTITION BY user_id ORDER BY s_contextual DESC, item_id) AS r FROM hyb_in) WHERE r <= 10),
+  a AS (SELECT user_id, item_id, SUM(ws) AS score FROM l GROUP BY user_id, item_id)
+  SELECT * FROM (SELECT user_id, item_id, score,
+                        row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM a)
+  WHERE rank <= 5"""

@@ -569,3 +569,93 @@ def w7_forward_fill(spark, d):
     """Forward fill of a timestamp within each event, in bet order."""
     df = _prep_in(spark, d).select("bet_id", "event_id", "user_id", "bet_timestamp", "registration_date")
     return PR.forward_fill(df, "registration_date", ["event_id"], ["bet_id", "user_id", "bet_timestamp"])
+
+
+# ------------------------------------------------------------------- models
+from oddsforge.models import content as CT  # noqa: E402
+from oddsforge.models import contextual as CX  # noqa: E402
+from oddsforge.models import hybrid as HY  # noqa: E402
+from oddsforge.models import mf as MF  # noqa: E402
+from oddsforge.sources.tables import read_table  # noqa: E402
+
+
+def _content_inputs(spark, d):
+    emb = read_table(spark, d, "embeddings")
+    n_vec = emb.count()                       # one scalar: the catalogue size
+    ev = read_table(spark, d, "events")
+    ratings = ev.select("user_id", (F.col("event_id") % F.lit(n_vec)).alias("item_id"),
+                        (F.col("value") / F.lit(100.0)).alias("rating"))
+    return ratings, emb.withColumnRenamed("vec_id", "item_id")
+
+
+@register("m5_user_profiles", W(["profiles"], "SELECT * FROM profiles"), cols6=["value"])
+def m5_user_profiles(spark, d):
+    """M5: rating-weighted mean item vector per user (long form)."""
+    ratings, items = _content_inputs(spark, d)
+    return CT.user_profiles(ratings, items)
+
+
+@register("m6_m8_content_scores")
+def m6_m8_content_scores(spark, d):
+    """M6 + M7 + M8: profile ‖ item features -> linear scorer -> pair predictions (rows-only)."""
+    ratings, items = _content_inputs(spark, d)
+    prof = CT.user_profiles(ratings, items)
+    pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), prof, items)
+    model = CT.fit_scorer(pairs)
+    return CT.score_pairs(model, pairs).select("user_id", "item_id", "rating", "prediction")
+
+
+def _hyb_in(spark, d):
+    sc = _scored(spark, d)
+    return sc.select("user_id", F.col("event_id").alias("item_id"), F.col("frequency_score").alias("s_collaborative"),
+                     F.col("monetary_score").alias("s_content_based"), F.col("success_score").alias("s_contextual"))
+
+
+@register("m11_hybrid_scores", W(["hyb_in"], O.HYBRID_SCORE_SQL), cols6=["hybrid_score"])
+def m11_hybrid_scores(spark, d):
+    """Weighted hybrid of three sub-model scores."""
+    h = _hyb_in(spark, d)
+    scores = {m: h.select("user_id", "item_id", F.col(f"s_{m}").alias("score"))
+              for m in ("collaborative", "content_based", "contextual")}
+    return HY.weighted_scores(scores, ["user_id", "item_id"])
+
+
+@register("m12_hybrid_recommendations", W(["hyb_in"], O.HYBRID_LIST_SQL), cols6=["score"])
+def m12_hybrid_recommendations(spark, d):
+    """Merge of the three models' 2N lists, top N=5 per user."""
+    h = _hyb_in(spark, d)
+    lists = {m: top_n(h.select("user_id", "item_id", F.col(f"s_{m}").alias("score")), "user_id", "score", 10,
+                      tie="item_id") for m in ("collaborative", "content_based", "contextual")}
+    return HY.merged_recommendations(lists, 5).select("user_id", "item_id", "score", "rank")
+
+
+def _mf_ratings(spark, d):
+    coo = R.rating_matrix(R.composite_scores(_ues(spark, d)))
+    return coo.select("user_idx", F.col("event_idx").alias("item_idx"), "rating")
+
+
+@register("m1_m4_mf_recommendations")
+def m1_m4_mf_recommendations(spark, d):
+    """M1 + M4 + J12: biased MF (ALS on residuals), top-10 per user (rows-only)."""
+    model = MF.fit(_mf_ratings(spark, d), rank=8, max_iter=5)
+    return MF.recommend(model, 10)
+
+
+@register("m2_m3_mf_validation")
+def m2_m3_mf_validation(spark, d):
+    """M2 + M3 + J14: hash split, fit on train, MSE on known validation pairs (rows-only)."""
+    r = _mf_ratings(spark, d).withColumn("_h", F.abs(F.xxhash64("user_idx", "item_idx", F.lit(42))) % 5)
+    model = MF.fit(r.filter("_h > 0").drop("_h"), rank=8, max_iter=5)
+    return MF.validation_mse(model, r.filter("_h = 0").drop("_h"))
+
+
+@register("m13_m16_contextual_classifier")
+def m13_m16_contextual_classifier(spark, d):
+    """M13 + M14 (+M16 importances available): GBT on user–event statistics (rows-only)."""
+    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double")) \
+        .withColumn("odds_band", F.when(F.col("avg_odds") > 3, F.lit("high")).otherwise(F.lit("low")))
+    h = F.abs(F.xxhash64("user_id", "event_id")) % 5
+    train, val = st.filter(h > 0), st.filter(h == 0)
+    num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
+    model = CX.fit(train, num, ["odds_band"], val=val, max_iter=10, max_depth=4)
+    return CX.predict_proba(model, val).select("user_id", "event_id", "label", "p_positive")
