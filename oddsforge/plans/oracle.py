@@ -511,3 +511,32 @@ HYBRID_LIST_SQL = """
   SELECT * FROM (SELECT user_id, item_id, score,
                         row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM a)
   WHERE rank <= 5"""
+
+MKT_SCALED = ["market_popularity", "market_type_encoded", "outcome_type_encoded", "market_bet_count", "market_volume",
+              "market_avg_bet", "market_avg_odds", "market_odds_std", "market_win_rate", "market_total_wins"]
+CTE["mkt_raw"] = f"""
+  SELECT mo.*, p.market_popularity,
+         dense_rank() OVER (ORDER BY mo.market_name) - 1 AS market_type_encoded,
+         dense_rank() OVER (ORDER BY mo.outcome_name) - 1 AS outcome_type_encoded,
+         s.market_bet_count, s.market_volume, s.market_avg_bet, s.market_avg_odds, s.market_odds_std,
+         s.market_win_rate, s.market_total_wins
+  FROM (SELECT m.market_id, m.event_id, m.market_name, o.outcome_id, o.outcome_name
+        FROM markets_raw m JOIN outcomes_raw o ON m.market_id = o.market_id) mo
+  LEFT JOIN (SELECT m.market_name, COUNT(*) AS market_popularity
+             FROM markets_raw m JOIN outcomes_raw o ON m.market_id = o.market_id GROUP BY m.market_name) p
+    ON mo.market_name = p.market_name
+  LEFT JOIN (SELECT c.market_id, COUNT(b.bet_amount) AS market_bet_count, {xsum('b.bet_amount')} AS market_volume,
+                    {xavg('b.bet_amount')} AS market_avg_bet, {xavg('b.odds_used')} AS market_avg_odds,
+                    STDDEV_SAMP(b.odds_used) AS market_odds_std,
+                    CAST(SUM(b.outcome) AS DOUBLE) / COUNT(b.outcome) AS market_win_rate,
+                    CAST(SUM(b.outcome) AS DOUBLE) AS market_total_wins
+             FROM bets b JOIN (SELECT o.outcome_id, o.market_id FROM markets_raw m
+                               JOIN outcomes_raw o ON m.market_id = o.market_id) c ON b.outcome_id = c.outcome_id
+             GROUP BY c.market_id) s ON mo.market_id = s.market_id"""
+DEPS.update({"mkt_raw": ["markets_raw", "outcomes_raw", "bets"]})
+_ms = ", ".join(f"CAST(SUM(CAST(COALESCE({c}, 0) AS DECIMAL(38,9))) AS DOUBLE) / COUNT(*) AS m_{c}, "
+                f"STDDEV_POP(CAST(COALESCE({c}, 0) AS DOUBLE)) AS s_{c}" for c in MKT_SCALED)
+_mx = ", ".join(f"(CAST(COALESCE({c}, 0) AS DOUBLE) - COALESCE(m_{c}, 0.0)) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL "
+                f"THEN 1.0 ELSE s_{c} END AS {c}" for c in MKT_SCALED)
+MARKET_SQL = f""", st AS (SELECT {_ms} FROM mkt_raw)
+SELECT market_id, event_id, market_name, outcome_id, outcome_name, {_mx} FROM mkt_raw, st"""

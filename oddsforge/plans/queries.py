@@ -659,3 +659,13 @@ def m13_m16_contextual_classifier(spark, d):
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
     model = CX.fit(train, num, ["odds_band"], val=val, max_iter=10, max_depth=4)
     return CX.predict_proba(model, val).select("user_id", "event_id", "label", "p_positive")
+
+
+# ----------------------------------------------------------- market features
+from oddsforge.operators import market as MK  # noqa: E402
+
+
+@register("f16_a7_a8_market_features", W(["mkt_raw"], O.MARKET_SQL), cols6=O.MKT_SCALED)
+def f16_a7_a8_market_features(spark, d):
+    """F16 + A7 + A8 + J11: market/outcome features with bet statistics, scaled."""
+    return MK.market_outcome_features(D.markets(spark, d), D.outcomes(spark, d), D.bets(spark, d))
