@@ -669,3 +669,45 @@ from oddsforge.operators import market as MK  # noqa: E402
 def f16_a7_a8_market_features(spark, d):
     """F16 + A7 + A8 + J11: market/outcome features with bet statistics, scaled."""
     return MK.market_outcome_features(D.markets(spark, d), D.outcomes(spark, d), D.bets(spark, d))
+
+
+# ------------------------------------------------------------ sinks + split
+from oddsforge.sources import sinks as SK  # noqa: E402
+
+
+@register("s14_latest_features", ("""
+  SELECT user_id, event_id, ts, event_type, value, feature_timestamp FROM (
+    SELECT user_id, event_id, ts, event_type, value, ts AS feature_timestamp,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r
+    FROM events WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00')
+  WHERE r = 1"""), cols6=["value"])
+def s14_latest_features(spark, d):
+    """S14 read side: latest snapshot row per user within a 7-day TTL before as_of."""
+    snaps = read_table(spark, d, "events").withColumn("feature_timestamp", F.col("ts"))
+    return SK.latest_features(snaps, ["user_id"], tm.LOG_AS_OF, 7) \
+        .select("user_id", "event_id", "ts", "event_type", "value", "feature_timestamp")
+
+
+@register("s11_bounded_sample")
+def s11_bounded_sample(spark, d):
+    """Seeded bounded sample (≤100 000 rows) of the bet table (rows-only)."""
+    return SK.bounded_sample(tm.raw_bets(spark, d), ["bet_id", "outcome_id"], 100_000)
+
+
+@register("s10_s13_sinks_roundtrip")
+def s10_s13_sinks_roundtrip(spark, d):
+    """S10 + S12 + S13: write the rating matrix as parquet and JSON in the checkpoint folder, read back."""
+    import uuid
+    from oddsforge.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark)}/sinks-{uuid.uuid4().hex}"
+    coo = R.rating_matrix(R.composite_scores(_ues(spark, d)))
+    SK.write_parquet(coo, f"{base}/coo")
+    SK.write_json(R.matrix_statistics(spark.read.parquet(f"{base}/coo")), f"{base}/stats")
+    return spark.read.parquet(f"{base}/coo")
+
+
+@register("f19_stratified_split")
+def f19_stratified_split(spark, d):
+    """exact stratified 60/20/20 split of user–event statistics by win label (rows-only)."""
+    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("int"))
+    return SK.stratified_split(st, "label", ["user_id", "event_id"]).select("user_id", "event_id", "label", "split")
