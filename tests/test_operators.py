@@ -126,3 +126,28 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_lit_ts_roundtrip(spark):
     assert spark.range(1).select(lit_ts("2024-01-31 00:00:00").alias("t")).collect()[0].t == dt.datetime(2024, 1, 31)
+
+
+def test_leaderboard_and_best_models(spark):
+    rows = [("a", "auc", 0.7), ("a", "precision_at_5", 0.2), ("a", "diversity", 0.5), ("a", "coverage", 0.1),
+            ("a", "mse", 1.0), ("b", "auc", 0.6), ("b", "precision_at_5", 0.5), ("b", "diversity", 0.5),
+            ("b", "coverage", 0.3), ("b", "mse", 0.5)]
+    m = spark.createDataFrame(rows, "model string, metric string, value double")
+    lb = E.compare_models(m).collect()
+    assert [r.model for r in lb] == ["b", "a"]
+    assert math.isclose(lb[0].composite_score, 0.4 * 0.6 + 0.3 * 0.5 + 0.2 * 0.5 + 0.1 * 0.3)
+    best = {r.metric: r.best_model for r in E.best_models(m).collect()}
+    assert best == {"auc": "a", "precision_at_5": "b", "mse": "b"}
+
+
+def test_stratified_split_exact_counts(spark):
+    from oddsforge.sources.sinks import stratified_split
+
+    df = spark.range(0, 1003).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    out = stratified_split(df, "y", ["k"]).collect()
+    assert len(out) == 1003 and len({r.k for r in out}) == 1003
+    for y in (0, 1):
+        n = sum(1 for r in out if r.y == y)
+        t = sum(1 for r in out if r.y == y and r.split == "test")
+        v = sum(1 for r in out if r.y == y and r.split == "val")
+        assert t == round(0.2 * n) and v == round(0.25 * (n - t))
