@@ -540,3 +540,53 @@ _mx = ", ".join(f"(CAST(COALESCE({c}, 0) AS DOUBLE) - COALESCE(m_{c}, 0.0)) / CA
                 f"THEN 1.0 ELSE s_{c} END AS {c}" for c in MKT_SCALED)
 MARKET_SQL = f""", st AS (SELECT {_ms} FROM mkt_raw)
 SELECT market_id, event_id, market_name, outcome_id, outcome_name, {_mx} FROM mkt_raw, st"""
+
+
+# ---------------------------------------------------------------------------
+# Event content features (F4 event codes, F5 TF-IDF, F6-F8 numeric block)
+from oddsforge.functions.stopwords import english_stop_words  # noqa: E402
+
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words()) + "]"
+CTE["ev_tfidf"] = f"""
+  WITH_INNER ev AS (SELECT event_id, concat_ws(' ', COALESCE(CAST(teams AS VARCHAR), ''),
+                                          COALESCE(CAST(competition AS VARCHAR), '')) AS txt FROM events_l)"""
+TFIDF_SQL = f"""
+  , ev AS (SELECT event_id, concat_ws(' ', COALESCE(CAST(teams AS VARCHAR), ''),
+                                      COALESCE(CAST(competition AS VARCHAR), '')) AS txt FROM events_l),
+  tok AS (SELECT event_id, list_filter(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                       lambda x: NOT list_contains({_STOP}, x)) AS t FROM ev),
+  trm AS (SELECT event_id AS doc_id,
+                 unnest(list_concat(t, CASE WHEN len(t) >= 2
+                                            THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])
+                                            ELSE [] END)) AS term FROM tok),
+  tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM trm GROUP BY doc_id, term),
+  st AS (SELECT term, COUNT(*) AS df, SUM(tf) AS cf FROM tf GROUP BY term),
+  voc AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf
+          FROM st, (SELECT COUNT(DISTINCT event_id) AS n FROM events_l) WHERE df >= 2
+          ORDER BY cf DESC, term ASC LIMIT 300),
+  w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN voc USING (term))
+  SELECT doc_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w"""
+del CTE["ev_tfidf"]
+_EVN = ["popularity_index", "start_hour", "start_dow", "start_month"]
+EVENT_NUMERIC_SQL = f"""
+  , raw AS (SELECT event_id, COALESCE(popularity_index, (SELECT quantile_cont(popularity_index, 0.5) FROM events_l))
+                   AS popularity_index, CAST(hour(event_start_time) AS DOUBLE) AS start_hour,
+                   CAST(isodow(event_start_time) - 1 AS DOUBLE) AS start_dow,
+                   CAST(month(event_start_time) AS DOUBLE) AS start_month FROM events_l),
+  q AS (SELECT {', '.join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in _EVN)} FROM raw)
+  SELECT event_id, {', '.join(f"({c} - COALESCE(m_{c}, 0.0)) / CASE WHEN b_{c} - a_{c} = 0 OR a_{c} IS NULL THEN 1.0 ELSE b_{c} - a_{c} END AS {c}" for c in _EVN)}
+  FROM raw, q"""
+EVENT_CODES_SQL = """
+  SELECT event_id,
+         CAST(dense_rank() OVER (ORDER BY COALESCE(CAST(sport AS VARCHAR), 'nan')) - 1 AS DOUBLE) AS sport_code,
+         CAST(dense_rank() OVER (ORDER BY COALESCE(CAST(competition AS VARCHAR), 'nan')) - 1 AS DOUBLE) AS competition_code,
+         CAST(dense_rank() OVER (ORDER BY COALESCE(CAST(event_status AS VARCHAR), 'nan')) - 1 AS DOUBLE) AS event_status_code
+  FROM events_l"""
+
+
+DOC_TFIDF_SQL = (TFIDF_SQL
+                 .replace("""  , ev AS (SELECT event_id, concat_ws(' ', COALESCE(CAST(teams AS VARCHAR), ''),
+                                      COALESCE(CAST(competition AS VARCHAR), '')) AS txt FROM events_l),""",
+                          "  , ev AS (SELECT doc_id AS event_id, COALESCE(text, '') AS txt FROM documents),")
+                 .replace("(SELECT COUNT(DISTINCT event_id) AS n FROM events_l)", "(SELECT COUNT(DISTINCT doc_id) AS n FROM documents)"))
+assert DOC_TFIDF_SQL != TFIDF_SQL

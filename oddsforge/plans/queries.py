@@ -711,3 +711,40 @@ def f19_stratified_split(spark, d):
     """exact stratified 60/20/20 split of user–event statistics by win label (rows-only)."""
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("int"))
     return SK.stratified_split(st, "label", ["user_id", "event_id"]).select("user_id", "event_id", "label", "split")
+
+
+# ----------------------------------------------------------- event features
+from oddsforge.operators import events as EVF  # noqa: E402
+
+
+@register("f5_event_tfidf", W(["events_l"], O.TFIDF_SQL), cols6=["tfidf"])
+def f5_event_tfidf(spark, d):
+    """TF-IDF (1–2-grams, stop words, min_df 2, top 300, smooth idf, L2) of event text."""
+    return EVF.text_block(D.events(spark, d))
+
+
+@register("f6_f8_event_numeric", W(["events_l"], O.EVENT_NUMERIC_SQL),
+          cols6=["popularity_index", "start_hour", "start_dow", "start_month"])
+def f6_f8_event_numeric(spark, d):
+    """F6 + F7 + F8: median-filled numerics and calendar, robust-scaled."""
+    return EVF.numeric_block(D.events(spark, d))
+
+
+@register("f4_event_codes", W(["events_l"], O.EVENT_CODES_SQL))
+def f4_event_codes(spark, d):
+    """F4 on event categoricals (sorted codes of the string form)."""
+    return EVF.categorical_block(D.events(spark, d))
+
+
+@register("f11_event_vectors")
+def f11_event_vectors(spark, d):
+    """one assembled vector per event (numeric + codes + TF-IDF), rows-only."""
+    return EVF.event_vectors(EVF.event_features_long(D.events(spark, d)))
+
+
+@register("f5_document_tfidf", O.DOC_TFIDF_SQL.replace("\n  , ev AS", "WITH ev AS", 1), cols6=["tfidf"])
+def f5_document_tfidf(spark, d):
+    """F5 over the whole document corpus (full texts)."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    from oddsforge.operators.text import tfidf
+    return tfidf(docs, "doc_id", "text")
