@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing a parquet table in the shared checkpoint folder.
+
+    The plan runs once (an un-persisted ``checkpoint()`` would run it twice:
+    once for the action, once for the write), the result survives executor
+    loss, and later scans of it get column pruning and filter pushdown.
+    Never a local checkpoint.
+    """
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
