@@ -196,3 +196,25 @@ def build_hierarchy(events: DataFrame, markets: DataFrame, outcomes: DataFrame,
         from oddsforge.session import cut_lineage
         combined = cut_lineage(combined)
     return with_hierarchy_aggregates(combined)
+
+
+def strict_hierarchy(events: DataFrame, markets: DataFrame, outcomes: DataFrame, bets: DataFrame,
+                     users: DataFrame) -> DataFrame:
+    """Events ⋈ markets ⋈ outcomes (inner), ⟕ bets on outcome_id, ⟕ users."""
+    cat = (events.join(markets.drop(*[c for c in markets.columns if c in events.columns and c != "event_id"]),
+                       "event_id", "inner"))
+    cat = cat.join(outcomes.drop(*[c for c in outcomes.columns if c in cat.columns and c != "market_id"]),
+                   "market_id", "inner")
+    b = bets.drop(*[c for c in bets.columns if c in cat.columns and c != "outcome_id"])
+    return with_users(catalogue_left_join(cat, b, ["outcome_id"]), users)
+
+
+def live_flag_by_outcome(bets: DataFrame, events: DataFrame, markets: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Live flag from the start time of the bet's outcome's event (the correlated
+    scalar subquery written as a join to a pre-aggregated outcome -> start table)."""
+    start = (outcomes.select("outcome_id", "market_id").join(markets.select("market_id", "event_id"), "market_id")
+             .join(events.select("event_id", "event_start_time"), "event_id")
+             .groupBy("outcome_id").agg(F.max("event_start_time").alias("_start")))
+    live = F.timestamp_diff("MINUTE", F.col("bet_timestamp"), F.col("_start")) <= 0
+    return (bets.join(start, "outcome_id", "left")
+            .withColumn("is_live_bet", F.when(live, F.lit(1)).otherwise(F.lit(0))).drop("_start"))

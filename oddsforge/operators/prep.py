@@ -201,9 +201,9 @@ def derived_ratios(df: DataFrame, clip_upper: bool = True) -> DataFrame:
         if clip_upper:
             o = F.least(o, F.lit(1000.0))
         out = out.withColumn("implied_probability", F.lit(1.0) / o).withColumn("odds_log", F.log(o))
-    if {"days_since_registration", "bet_count_30d"} <= cols:
+    if {"age", "days_since_registration"} <= cols:
         out = out.withColumn("experience_ratio",
-                             F.col("bet_count_30d") / (F.col("days_since_registration") + F.lit(1.0)))
+                             F.col("days_since_registration") / (F.col("age") * F.lit(365.0) + F.lit(1.0)))
     return out
 
 
@@ -228,5 +228,5 @@ def align_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def safe_casts(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     """Cast with unparsable -> 0."""
-    return df.select(*[F.coalesce(F.col(c).try_cast(t), F.lit(0).cast(t)).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    return df.select(*[F.coalesce(F.col(c).try_cast(cols[c]), F.lit(0).cast(cols[c])).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])

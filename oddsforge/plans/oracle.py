@@ -590,3 +590,16 @@ DOC_TFIDF_SQL = (TFIDF_SQL
                           "  , ev AS (SELECT doc_id AS event_id, COALESCE(text, '') AS txt FROM documents),")
                  .replace("(SELECT COUNT(DISTINCT event_id) AS n FROM events_l)", "(SELECT COUNT(DISTINCT doc_id) AS n FROM documents)"))
 assert DOC_TFIDF_SQL != TFIDF_SQL
+
+
+# ---------------------------------------------------------------------------
+# Small exact operators
+CTE["strict"] = f"""
+  SELECT x.*, {', '.join('u.' + c.strip() for c in USER_COLS.split(','))}
+  FROM (SELECT c.*, b.bet_id, b.user_id, b.bet_amount, b.odds_used, b.bet_timestamp, b.settlement_timestamp,
+               b.outcome_label, b.market, b.bet_result, b.outcome, b.is_live_bet
+        FROM (SELECT e.*, m.market_id, m.market_name, o.outcome_id, o.outcome_name
+              FROM events_l e JOIN mk m ON e.event_id = m.event_id JOIN oc o ON m.market_id = o.market_id) c
+        LEFT JOIN bt b ON c.outcome_id = b.bet_outcome_id) x
+  LEFT JOIN users u ON x.user_id = u.user_id"""
+DEPS.update({"strict": ["events_l", "mk", "oc", "bt", "users"]})

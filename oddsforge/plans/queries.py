@@ -748,3 +748,163 @@ def f5_document_tfidf(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     from oddsforge.operators.text import tfidf
     return tfidf(docs, "doc_id", "text")
+
+
+# ------------------------------------------------- small exact operators
+from oddsforge.operators import behaviour as _B  # noqa: E402,F811
+
+
+def _clean_domain(spark, d):
+    mk = H.clean_text_keys(D.markets(spark, d), H.TEXT_KEYS["markets"])
+    oc = H.clean_text_keys(D.outcomes(spark, d), H.TEXT_KEYS["outcomes"])
+    bt = H.clean_text_keys(D.bets(spark, d), H.TEXT_KEYS["bets"])
+    return D.events(spark, d), mk, oc, bt, D.users(spark, d)
+
+
+@register("j6_strict_hierarchy", W(["strict"], "SELECT * FROM strict"))
+def j6_strict_hierarchy(spark, d):
+    """Inner catalogue, ⟕ bets on outcome_id, ⟕ users."""
+    return H.strict_hierarchy(*_clean_domain(spark, d))
+
+
+@register("j7_live_flag_by_outcome", W(["bets_raw", "events_raw", "markets_raw", "outcomes_raw"], """
+  SELECT b.*, CASE WHEN date_sub('minute', b.bet_timestamp, s.st) <= 0 THEN 1 ELSE 0 END AS is_live_bet
+  FROM bets_raw b LEFT JOIN (
+    SELECT o.outcome_id, MAX(e.event_start_time) AS st FROM outcomes_raw o
+    JOIN markets_raw m ON o.market_id = m.market_id JOIN events_raw e ON m.event_id = e.event_id
+    GROUP BY o.outcome_id) s ON b.outcome_id = s.outcome_id"""))
+def j7_live_flag_by_outcome(spark, d):
+    """Live flag through the outcome → market → event start time."""
+    return H.live_flag_by_outcome(tm.raw_bets(spark, d), tm.raw_events(spark, d), tm.raw_markets(spark, d),
+                                  tm.raw_outcomes(spark, d))
+
+
+_WCOLS = [f"{m}_{n}d" for n in (1, 3, 7, 14, 30, 90) for m in _B.WINDOW_MEASURES]
+
+
+@register("j10_window_tables_full_outer", W(["blog"], "," + _BEH_W.replace(
+    "\nSELECT * FROM ut", "\nSELECT user_id, " + ", ".join(_WCOLS) + " FROM ut")), cols6=[c for c in BEH6 if c in _WCOLS])
+def j10_window_tables_full_outer(spark, d):
+    """Per-window tables full-outer-joined (checker form of the single pass W2)."""
+    return _B.user_window_stats_full_outer(D.behaviour_log(spark, d), tm.LOG_AS_OF).select("user_id", *_WCOLS)
+
+
+@register("p7_training_rows", W(["hier"], """
+  SELECT * FROM hier WHERE lower(bet_result) IN ('won', 'lost') AND outcome IS NOT NULL"""),
+          cols6=_T6 + _O6 + _A6, cols2=_A2)
+def p7_training_rows(spark, d):
+    """Settled rows with a target (relaxed to any target when none are settled)."""
+    from oddsforge.operators.training import training_rows
+    return training_rows(D.hierarchy_table(spark, d), "outcome")
+
+
+@register("p9_derived_ratios", W(["hier"], """
+  SELECT bet_id, event_id, user_id, bet_amount / (total_deposits + 1.0) AS bet_ratio,
+         1.0 / least(greatest(odds_used, 1.01), 1000.0) AS implied_probability,
+         ln(least(greatest(odds_used, 1.01), 1000.0)) AS odds_log FROM hier"""),
+          cols6=["bet_ratio", "implied_probability", "odds_log"])
+def p9_derived_ratios(spark, d):
+    """Bet ratio, implied probability, log odds (odds clipped to [1.01, 1000])."""
+    h = D.hierarchy_table(spark, d).select("bet_id", "event_id", "user_id", "bet_amount", "total_deposits", "odds_used")
+    return PR.derived_ratios(h).select("bet_id", "event_id", "user_id", "bet_ratio", "implied_probability", "odds_log")
+
+
+@register("p12_rename_duplicates", W(["users", "bets"], """
+  SELECT b.bet_id, b.user_id, u.user_id AS user_id_1, b.bet_amount FROM bets b LEFT JOIN users u ON b.user_id = u.user_id"""))
+def p12_rename_duplicates(spark, d):
+    """Duplicate column names after a join become name_1, name_2, ..."""
+    b, u = D.bets(spark, d).alias("b"), D.users(spark, d).alias("u")
+    j = b.join(u, F.col("b.user_id") == F.col("u.user_id"), "left").select("b.bet_id", "b.user_id", "u.user_id",
+                                                                          "b.bet_amount")
+    return j.toDF(*PR.rename_duplicates(j.columns))
+
+
+@register("p13_align_columns", W(["coo"], """
+  SELECT user_idx, event_idx, 0 AS vip_status, rating, 0 AS days_since_registration FROM coo"""), cols6=["rating"])
+def p13_align_columns(spark, d):
+    """A scoring frame aligned to the training column list (missing -> 0, same order)."""
+    coo = R.rating_matrix(R.composite_scores(_ues(spark, d)))
+    return PR.align_columns(coo, ["user_idx", "event_idx", "vip_status", "rating", "days_since_registration"])
+
+
+@register("p14_safe_casts", W(["bets_raw"], """
+  SELECT bet_id, COALESCE(TRY_CAST(outcome AS BIGINT), 0) AS outcome, COALESCE(TRY_CAST(market AS BIGINT), 0) AS market,
+         COALESCE(TRY_CAST(bet_amount AS DOUBLE), 0.0) AS bet_amount FROM bets_raw"""))
+def p14_safe_casts(spark, d):
+    """id/rating casts with unparsable values -> 0."""
+    b = tm.raw_bets(spark, d).select("bet_id", "outcome", "market", "bet_amount")
+    return PR.safe_casts(b, {"outcome": "long", "market": "long", "bet_amount": "double"})
+
+
+@register("a12_item_popularity", W(["test_i"], "SELECT item_id, COUNT(*) AS popularity FROM test_i GROUP BY item_id"))
+def a12_item_popularity(spark, d):
+    """Item popularity counts in the test interactions."""
+    test, _ = _test_and_recs(spark, d)
+    return test.groupBy("item_id").agg(F.count(F.lit(1)).alias("popularity"))
+
+
+@register("e15_trainer_metrics", W(["lscores"], """
+  , m AS (SELECT CAST(SUM(CAST(rating AS DECIMAL(38,9))) AS DOUBLE) / COUNT(rating) AS thr FROM lscores),
+  g AS (SELECT prediction AS score, SUM(CASE WHEN rating > thr THEN 1 ELSE 0 END) AS pos,
+               SUM(CASE WHEN rating > thr THEN 0 ELSE 1 END) AS neg FROM lscores, m GROUP BY prediction),
+  c AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+  SELECT (SELECT AVG((prediction - rating) * (prediction - rating)) FROM lscores) AS mse,
+         (SELECT AVG(abs(prediction - rating)) FROM lscores) AS mae,
+         CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN 0.5 ELSE SUM(pos * (nb + 0.5 * neg)) / (SUM(pos) * SUM(neg)) END AS auc
+  FROM c"""), cols6=["mse", "mae", "auc"])
+def e15_trainer_metrics(spark, d):
+    """Trainer evaluation — MSE, MAE and AUC on rating > mean."""
+    ls = tm.labelled_scores(spark, d)
+    from oddsforge.functions.expressions import exact_avg
+    thr = ls.agg(exact_avg("rating")).collect()[0][0]
+    reg = E.regression_metrics(ls).select("mse", "mae")
+    auc = E.auc_ap(ls, threshold=thr).select("auc")
+    return E.one_row([reg, auc])
+
+
+@register("e17_validate_outputs", W(["arm_state", "rewards", "recs"], """
+  SELECT (SELECT COUNT(*) FROM rewards) AS n_scores, CAST(0 AS BIGINT) AS non_finite,
+         (SELECT MAX(c) FROM (SELECT COUNT(*) AS c FROM recs GROUP BY user_id)) AS max_recs_per_user,
+         CAST((SELECT MAX(c) FROM (SELECT COUNT(*) AS c FROM recs GROUP BY user_id)) <= 20 AS INTEGER) AS valid"""))
+def e17_validate_outputs(spark, d):
+    """Whole-output validation (finite pair scores, ≤ N recommendations per user)."""
+    pairs = tm.bandit_rewards(spark, d).select("user_id", F.col("action").alias("item_id"))
+    scores = BD.predict_pairs(_arm_state(spark, d), pairs)
+    _, recs = _test_and_recs(spark, d)
+    out = E.validate_outputs(scores, recs, 20)
+    return out.select(F.col("n_scores").cast("long"), F.col("non_finite").cast("long"),
+                      F.col("max_recs_per_user").cast("long"), F.col("valid").cast("int"))
+
+
+@register("q9_processing_summary", W(["users", "events_l", "markets_raw", "outcomes_raw", "bets", "hier", "coo"], """
+  SELECT 'input' AS kind, 'users' AS table_name, COUNT(*) AS row_count FROM users UNION ALL
+  SELECT 'input', 'events', COUNT(*) FROM events_l UNION ALL SELECT 'input', 'markets', COUNT(*) FROM markets_raw
+  UNION ALL SELECT 'input', 'outcomes', COUNT(*) FROM outcomes_raw UNION ALL SELECT 'input', 'bets', COUNT(*) FROM bets
+  UNION ALL SELECT 'output', 'hierarchy', COUNT(*) FROM hier UNION ALL SELECT 'output', 'rating_matrix', COUNT(*) FROM coo"""))
+def q9_processing_summary(spark, d):
+    """Q9: input and output sizes."""
+    t = _tables(spark, d)
+    t.pop("odds_history")
+    outs = {"hierarchy": D.hierarchy_table(spark, d), "rating_matrix": R.rating_matrix(R.composite_scores(_ues(spark, d)))}
+    return Q.processing_summary(t, outs).select("kind", "table_name", "row_count")
+
+
+@register("s8_parameterised_sql", """
+  SELECT l_returnflag, COUNT(*) AS n, CAST(SUM(CAST(l_extendedprice AS DECIMAL(38,9))) AS DOUBLE) AS volume
+  FROM lineitem WHERE l_quantity > 10 AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY l_returnflag""",
+          cols2=["volume"])
+def s8_parameterised_sql(spark, d):
+    """Named-parameter SQL over a registered table (values bound by Spark, not formatted in)."""
+    from oddsforge.sources.loaders import execute_query
+    li = read_table(spark, d, "lineitem")
+    q = ("SELECT l_returnflag, COUNT(*) AS n, CAST(SUM(CAST(l_extendedprice AS DECIMAL(38,9))) AS DOUBLE) AS volume "
+         "FROM {li} WHERE l_quantity > :q AND l_shipdate >= :since GROUP BY l_returnflag")
+    import datetime as _dt
+    return execute_query(spark, q, {"q": 10, "since": _dt.datetime(1996, 1, 1)}, li=li)
+
+
+@register("s9_table_info")
+def s9_table_info(spark, d):
+    """Column metadata of the bet table (rows-only)."""
+    from oddsforge.sources.loaders import table_info
+    return table_info(tm.raw_bets(spark, d))

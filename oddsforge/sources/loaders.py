@@ -149,9 +149,10 @@ def load_all(spark: SparkSession, loaders: dict, options: dict | None = None) ->
     return out
 
 
-def execute_query(spark: SparkSession, query: str, args: dict | None = None) -> DataFrame:
-    """Parameterised SQL (named ``:param`` markers bound by Spark, never string-formatted)."""
-    return spark.sql(query, args=args or {})
+def execute_query(spark: SparkSession, query: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Parameterised SQL — named ``:param`` markers bound by Spark (never string-formatted);
+    ``{name}`` placeholders refer to DataFrames passed as keyword arguments."""
+    return spark.sql(query, args=args or {}, **tables)
 
 
 def table_info(df: DataFrame) -> DataFrame:
