@@ -24,11 +24,11 @@ def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     if isinstance(distinct.schema[col].dataType, _NUMERIC):
         keys = range_buckets(distinct, col)
     else:
-        # non-numeric keys: range-partition once and checkpoint (reliable, shared
-        # folder) so every branch sees the same partition boundaries
+        # non-numeric keys: range-partition once, store the partition id as a
+        # column and write the result (shared checkpoint folder), so every branch
+        # reads the same bucket of each key
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = cut_lineage(distinct.repartitionByRange(n, col))
-        keys = ranged.withColumn("_bucket", F.spark_partition_id())
+        keys = cut_lineage(distinct.repartitionByRange(n, col).withColumn("_bucket", F.spark_partition_id()))
     counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))

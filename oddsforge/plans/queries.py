@@ -908,3 +908,27 @@ def s9_table_info(spark, d):
     """Column metadata of the bet table (rows-only)."""
     from oddsforge.sources.loaders import table_info
     return table_info(tm.raw_bets(spark, d))
+
+
+# ------------------------------------------------------------- training set
+from oddsforge.operators import training as TR  # noqa: E402
+
+
+def _training_inputs(spark, d):
+    from oddsforge.session import cut_lineage
+    h = D.hierarchy_table(spark, d)
+    uf = cut_lineage(B.user_behavioural_features(h, tm.BETS_AS_OF))
+    mf = MK.market_outcome_features(D.markets(spark, d), D.outcomes(spark, d), D.bets(spark, d))
+    return h, uf, mf
+
+
+@register("f17_training_set")
+def f17_training_set(spark, d):
+    """the full training set (P7 → joins → P8 → F4 → P9 → P11 → F1 → P10 → F8), rows-only."""
+    return TR.training_set(*_training_inputs(spark, d))
+
+
+@register("f18_training_set_iqr")
+def f18_training_set_iqr(spark, d):
+    """training set with the IQR outlier step, rows-only."""
+    return TR.training_set(*_training_inputs(spark, d), outliers="iqr")

@@ -151,3 +151,10 @@ def test_stratified_split_exact_counts(spark):
         t = sum(1 for r in out if r.y == y and r.split == "test")
         v = sum(1 for r in out if r.y == y and r.split == "val")
         assert t == round(0.2 * n) and v == round(0.25 * (n - t))
+
+
+def test_dense_index_many_string_keys(spark):
+    df = spark.range(0, 3000).select(F.format_string("k%05d", (F.col("id") * 7919) % 1009).alias("k"))
+    got = {r.k: r.idx for r in dense_index(df, "k").collect()}
+    keys = sorted(got)
+    assert got == {k: i for i, k in enumerate(keys)} and len(keys) == 1009
