@@ -603,3 +603,38 @@ CTE["strict"] = f"""
         LEFT JOIN bt b ON c.outcome_id = b.bet_outcome_id) x
   LEFT JOIN users u ON x.user_id = u.user_id"""
 DEPS.update({"strict": ["events_l", "mk", "oc", "bt", "users"]})
+
+
+# ---------------------------------------------------------------------------
+# Metrics in long form, leaderboard and best models
+SCORERS = {"price": "l_extendedprice / 20000.0", "discount": "l_discount * 50.0", "tax": "l_tax * 50.0"}
+
+
+def scorer_metrics_sql(name: str, expr: str) -> str:
+    ls = f"SELECT l_quantity / 10.0 AS rating, {expr} AS prediction FROM lineitem"
+    return f"""SELECT '{name}' AS model, * FROM (
+  WITH lscores AS ({ls}),
+  d AS (SELECT rating, CASE WHEN prediction IS NULL OR isnan(prediction) THEN 0.5 ELSE prediction END AS prediction FROM lscores),
+  t AS (SELECT quantile_cont(rating, 0.5) AS thr FROM d),
+  g AS (SELECT prediction AS score, SUM(CASE WHEN rating > thr THEN 1 ELSE 0 END) AS pos,
+               SUM(CASE WHEN rating > thr THEN 0 ELSE 1 END) AS neg FROM d, t GROUP BY prediction),
+  c AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+  SELECT (SELECT AVG((prediction - rating) * (prediction - rating)) FROM d) AS mse,
+         (SELECT AVG(abs(prediction - rating)) FROM d) AS mae,
+         CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN 0.5 ELSE SUM(pos * (nb + 0.5 * neg)) / (SUM(pos) * SUM(neg)) END AS auc
+  FROM c)"""
+
+
+MODEL_METRICS_SQL = "\nUNION ALL\n".join(
+    f"SELECT model, metric, value FROM (UNPIVOT ({scorer_metrics_sql(n, e)}) ON mse, mae, auc INTO NAME metric VALUE value)"
+    for n, e in SCORERS.items())
+LEADERBOARD_SQL = f"""
+SELECT model, auc, CAST(NULL AS DOUBLE) AS precision_at_5, CAST(NULL AS DOUBLE) AS diversity,
+       CAST(NULL AS DOUBLE) AS coverage,
+       0.4 * auc + 0.3 * 0.0 + 0.2 * 0.0 + 0.1 * 0.0 AS composite_score
+FROM (SELECT model, MAX(CASE WHEN metric = 'auc' THEN value END) AS auc FROM ({MODEL_METRICS_SQL}) GROUP BY model)"""
+BEST_SQL = f"""
+SELECT metric, model AS best_model, value AS best_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('mse', 'mae') THEN -value ELSE value END DESC,
+                               model ASC) AS r
+  FROM ({MODEL_METRICS_SQL}) WHERE metric IN ('auc', 'precision_at_5', 'recall_at_5', 'mse', 'mae')) WHERE r = 1"""

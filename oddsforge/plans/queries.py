@@ -932,3 +932,55 @@ def f17_training_set(spark, d):
 def f18_training_set_iqr(spark, d):
     """training set with the IQR outlier step, rows-only."""
     return TR.training_set(*_training_inputs(spark, d), outliers="iqr")
+
+
+# ---------------------------------------------------- model comparison E12-E14
+_SCORER_EXPR = {"price": lambda: F.col("l_extendedprice") / F.lit(20000.0),
+                "discount": lambda: F.col("l_discount") * F.lit(50.0),
+                "tax": lambda: F.col("l_tax") * F.lit(50.0)}
+
+
+def _model_metrics(spark, d):
+    li = read_table(spark, d, "lineitem")
+    frames = []
+    for name, expr in _SCORER_EXPR.items():
+        ls = li.select((F.col("l_quantity") / F.lit(10.0)).alias("rating"), expr().alias("prediction"))
+        reg = E.regression_metrics(ls).select("mse", "mae")
+        auc = E.auc_ap(ls).select("auc")
+        frames.append(E.metrics_long(name, [reg, auc]))
+    from functools import reduce as _r
+    return _r(lambda a, b: a.unionByName(b), frames)
+
+
+@register("e12_metrics_long", O.MODEL_METRICS_SQL, cols6=["value"])
+def e12_metrics_long(spark, d):
+    """Per-model metrics (MSE, MAE, AUC) in long form for three scorers."""
+    return _model_metrics(spark, d)
+
+
+@register("e13_compare_models", O.LEADERBOARD_SQL, cols6=["auc", "precision_at_5", "diversity", "coverage",
+                                                         "composite_score"])
+def e13_compare_models(spark, d):
+    """Leaderboard with the 0.4/0.3/0.2/0.1 composite score, sorted."""
+    return E.compare_models(_model_metrics(spark, d))
+
+
+@register("e14_best_models", O.BEST_SQL, cols6=["best_value"])
+def e14_best_models(spark, d):
+    """Best model per metric (max AUC, min MSE/MAE)."""
+    return E.best_models(_model_metrics(spark, d))
+
+
+@register("e12_full_evaluation")
+def e12_full_evaluation(spark, d):
+    """Full evaluation of one ranking (prediction, ranking and diversity metrics), long form."""
+    test, recs = _test_and_recs(spark, d)
+    ls = tm.labelled_scores(spark, d)
+    rk = E.ranking_metrics(recs, test)
+    rk_long = rk.selectExpr("k", "stack(4, 'precision', precision, 'recall', recall, 'ndcg', ndcg, 'f1', f1) "
+                                 "as (m, value)") \
+        .select(F.lit("timing_rank").alias("model"), F.concat_ws("_at_", "m", F.col("k").cast("string")).alias("metric"),
+                "value")
+    div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test)
+    base = E.metrics_long("timing_rank", [E.regression_metrics(ls), E.auc_ap(ls), div])
+    return base.unionByName(rk_long)
