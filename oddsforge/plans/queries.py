@@ -984,3 +984,38 @@ def e12_full_evaluation(spark, d):
     div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test)
     base = E.metrics_long("timing_rank", [E.regression_metrics(ls), E.auc_ap(ls), div])
     return base.unionByName(rk_long)
+
+
+@register("e16_leaderboard_from_metadata", f"""
+SELECT model, auc, row_number() OVER (ORDER BY auc DESC, model ASC) AS rank,
+       CAST(row_number() OVER (ORDER BY auc DESC, model ASC) <= 2 AS INTEGER) AS keep
+FROM (SELECT model, MAX(CASE WHEN metric = 'auc' THEN value END) AS auc FROM ({O.MODEL_METRICS_SQL}) GROUP BY model)""",
+          cols6=["auc"])
+def e16_leaderboard_from_metadata(spark, d):
+    """Write model metadata as JSON (checkpoint folder), read it back, rank by AUC, keep best 2."""
+    import uuid
+    from oddsforge.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/model-metadata-{uuid.uuid4().hex}"
+    E.save_model_metadata(_model_metrics(spark, d), path)
+    return E.leaderboard_from_metadata(spark, path, keep_best_n=2).select("model", "auc", F.col("rank").cast("long"),
+                                                                         "keep")
+
+
+@register("s7_load_all", O.with_ctes(["users", "events_l", "markets_raw", "outcomes_raw", "bets", "odds_raw"],
+                                     _Q3_SQL))
+def s7_load_all(spark, d):
+    """All six tables through ``load_all`` (failing sources degrade to typed empty tables)."""
+    from oddsforge.sources.loaders import load_all
+    loaders = {"users": lambda: D.users(spark, d), "events": lambda: D.events(spark, d),
+               "markets": lambda: D.markets(spark, d), "outcomes": lambda: D.outcomes(spark, d),
+               "bets": lambda: D.bets(spark, d), "odds_history": lambda: D.odds_history(spark, d)}
+    return Q.table_row_counts(load_all(spark, loaders))
+
+
+@register("m16_feature_importances")
+def m16_feature_importances(spark, d):
+    """GBT feature importances by name (rows-only)."""
+    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double"))
+    num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
+    model = CX.fit(st, num, [], max_iter=10, max_depth=4)
+    return spark.createDataFrame(CX.feature_importances(model, num, []), "feature string, importance double")
