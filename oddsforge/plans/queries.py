@@ -325,7 +325,7 @@ def q8_pipeline_gates(spark, d):
     return Q.pipeline_gates(t)
 
 
-@register("q7_contract_check")
+@register("q7_contract_check", rows_only='schema introspection (column presence), not row data')
 def q7_contract_check(spark, d):
     """Q7: required-column contract per table (schema check, rows-only)."""
     return Q.contract_check(_tables(spark, d))
@@ -595,7 +595,7 @@ def m5_user_profiles(spark, d):
     return CT.user_profiles(ratings, items)
 
 
-@register("m6_m8_content_scores")
+@register("m6_m8_content_scores", rows_only='iterative model fit (linear regression)')
 def m6_m8_content_scores(spark, d):
     """M6 + M7 + M8: profile ‖ item features -> linear scorer -> pair predictions (rows-only)."""
     ratings, items = _content_inputs(spark, d)
@@ -634,14 +634,14 @@ def _mf_ratings(spark, d):
     return coo.select("user_idx", F.col("event_idx").alias("item_idx"), "rating")
 
 
-@register("m1_m4_mf_recommendations")
+@register("m1_m4_mf_recommendations", rows_only='iterative model fit (ALS)')
 def m1_m4_mf_recommendations(spark, d):
     """M1 + M4 + J12: biased MF (ALS on residuals), top-10 per user (rows-only)."""
     model = MF.fit(_mf_ratings(spark, d), rank=8, max_iter=5)
     return MF.recommend(model, 10)
 
 
-@register("m2_m3_mf_validation")
+@register("m2_m3_mf_validation", rows_only='iterative model fit (ALS)')
 def m2_m3_mf_validation(spark, d):
     """M2 + M3 + J14: hash split, fit on train, MSE on known validation pairs (rows-only)."""
     r = _mf_ratings(spark, d).withColumn("_h", F.abs(F.xxhash64("user_idx", "item_idx", F.lit(42))) % 5)
@@ -649,7 +649,7 @@ def m2_m3_mf_validation(spark, d):
     return MF.validation_mse(model, r.filter("_h = 0").drop("_h"))
 
 
-@register("m13_m16_contextual_classifier")
+@register("m13_m16_contextual_classifier", rows_only='iterative model fit (gradient-boosted trees)')
 def m13_m16_contextual_classifier(spark, d):
     """M13 + M14 (+M16 importances available): GBT on user–event statistics (rows-only)."""
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double")) \
@@ -688,13 +688,13 @@ def s14_latest_features(spark, d):
         .select("user_id", "event_id", "ts", "event_type", "value", "feature_timestamp")
 
 
-@register("s11_bounded_sample")
+@register("s11_bounded_sample", rows_only='sample order uses xxhash64, which the SQL engine lacks')
 def s11_bounded_sample(spark, d):
     """Seeded bounded sample (≤100 000 rows) of the bet table (rows-only)."""
     return SK.bounded_sample(tm.raw_bets(spark, d), ["bet_id", "outcome_id"], 100_000)
 
 
-@register("s10_s13_sinks_roundtrip")
+@register("s10_s13_sinks_roundtrip", rows_only='sink round trip (file writes)')
 def s10_s13_sinks_roundtrip(spark, d):
     """S10 + S12 + S13: write the rating matrix as parquet and JSON in the checkpoint folder, read back."""
     import uuid
@@ -706,7 +706,7 @@ def s10_s13_sinks_roundtrip(spark, d):
     return spark.read.parquet(f"{base}/coo")
 
 
-@register("f19_stratified_split")
+@register("f19_stratified_split", rows_only='split order uses xxhash64, which the SQL engine lacks; invariants tested')
 def f19_stratified_split(spark, d):
     """exact stratified 60/20/20 split of user–event statistics by win label (rows-only)."""
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("int"))
@@ -736,7 +736,7 @@ def f4_event_codes(spark, d):
     return EVF.categorical_block(D.events(spark, d))
 
 
-@register("f11_event_vectors")
+@register("f11_event_vectors", rows_only='vector-typed output')
 def f11_event_vectors(spark, d):
     """one assembled vector per event (numeric + codes + TF-IDF), rows-only."""
     return EVF.event_vectors(EVF.event_features_long(D.events(spark, d)))
@@ -903,7 +903,7 @@ def s8_parameterised_sql(spark, d):
     return execute_query(spark, q, {"q": 10, "since": _dt.datetime(1996, 1, 1)}, li=li)
 
 
-@register("s9_table_info")
+@register("s9_table_info", rows_only='schema metadata, engine-specific type names')
 def s9_table_info(spark, d):
     """Column metadata of the bet table (rows-only)."""
     from oddsforge.sources.loaders import table_info
@@ -922,13 +922,13 @@ def _training_inputs(spark, d):
     return h, uf, mf
 
 
-@register("f17_training_set")
+@register("f17_training_set", rows_only='composition of exact-checked parts; checked rows-only')
 def f17_training_set(spark, d):
     """the full training set (P7 → joins → P8 → F4 → P9 → P11 → F1 → P10 → F8), rows-only."""
     return TR.training_set(*_training_inputs(spark, d))
 
 
-@register("f18_training_set_iqr")
+@register("f18_training_set_iqr", rows_only='composition of exact-checked parts; checked rows-only')
 def f18_training_set_iqr(spark, d):
     """training set with the IQR outlier step, rows-only."""
     return TR.training_set(*_training_inputs(spark, d), outliers="iqr")
@@ -971,7 +971,7 @@ def e14_best_models(spark, d):
     return E.best_models(_model_metrics(spark, d))
 
 
-@register("e12_full_evaluation")
+@register("e12_full_evaluation", rows_only='composition of exact-checked metric queries')
 def e12_full_evaluation(spark, d):
     """Full evaluation of one ranking (prediction, ranking and diversity metrics), long form."""
     test, recs = _test_and_recs(spark, d)
@@ -1012,10 +1012,30 @@ def s7_load_all(spark, d):
     return Q.table_row_counts(load_all(spark, loaders))
 
 
-@register("m16_feature_importances")
+@register("m16_feature_importances", rows_only='iterative model fit (gradient-boosted trees)')
 def m16_feature_importances(spark, d):
     """GBT feature importances by name (rows-only)."""
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double"))
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
     model = CX.fit(st, num, [], max_iter=10, max_depth=4)
     return spark.createDataFrame(CX.feature_importances(model, num, []), "feature string, importance double")
+
+
+@register("m9_content_recommendations", rows_only='iterative model fit; tested against brute force on a fixture')
+def m9_content_recommendations(spark, d):
+    """M9: content top-10 for every user (exact under the linear scorer), rows-only."""
+    ratings, items = _content_inputs(spark, d)
+    prof = CT.user_profiles(ratings, items)
+    pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), prof, items)
+    model = CT.fit_scorer(pairs)
+    return CT.recommend_all(model, prof, items, 10)
+
+
+@register("m15_candidate_ranking", rows_only='iterative model fit (gradient-boosted trees)')
+def m15_candidate_ranking(spark, d):
+    """Contextual ranking of each user's candidate events, top 5 (rows-only)."""
+    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double")) \
+        .withColumn("item_id", F.col("event_id"))
+    num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
+    model = CX.fit(st, num, [], max_iter=10, max_depth=4)
+    return CX.rank_candidates(model, st, 5).select("user_id", "item_id", "p_positive", "rank")

@@ -12,6 +12,7 @@ from oddsforge.plans.oracle import rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+ROWS_ONLY: dict[str, str] = {}   # query -> why no SQL oracle exists
 
 
 def arith_round(c, digits: int):
@@ -33,8 +34,11 @@ def round_doubles(df: DataFrame, cols2=()) -> DataFrame:
     return df.select(*out)
 
 
-def register(name: str, sql: str | None = None, cols6=(), cols2=()):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` with an optional oracle SQL text."""
+def register(name: str, sql: str | None = None, cols6=(), cols2=(), rows_only: str | None = None):
+    """Register ``fn(spark, sf_dir) -> DataFrame`` with its oracle SQL text, or with
+    ``rows_only`` = the reason no SQL oracle exists (iterative fit, sink, schema)."""
+    if (sql is None) == (rows_only is None):
+        raise ValueError(f"{name}: give exactly one of an oracle SQL text or a rows-only reason")
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +49,8 @@ def register(name: str, sql: str | None = None, cols6=(), cols2=()):
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = rounded(sql, cols6, cols2)
+        else:
+            ROWS_ONLY[name] = rows_only
         return fn
 
     return deco

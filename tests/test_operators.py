@@ -158,3 +158,26 @@ def test_dense_index_many_string_keys(spark):
     got = {r.k: r.idx for r in dense_index(df, "k").collect()}
     keys = sorted(got)
     assert got == {k: i for i, k in enumerate(keys)} and len(keys) == 1009
+
+
+def test_content_recommendations_match_brute_force(spark):
+    from pyspark.ml.functions import array_to_vector
+    from oddsforge.models import content as CT
+    from oddsforge.sources.tables import read_table
+
+    d = "/root/testdata/sf0.001"
+    emb = read_table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id")
+    n_vec = emb.count()
+    ratings = read_table(spark, d, "events").select("user_id", (F.col("event_id") % n_vec).alias("item_id"),
+                                                    (F.col("value") / 100.0).alias("rating"))
+    prof = CT.user_profiles(ratings, emb)
+    pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), prof, emb)
+    model = CT.fit_scorer(pairs)
+    got = {(r.user_id, r["rank"]): r.item_id for r in CT.recommend_all(model, prof, emb, 5).collect()}
+    # brute force: every user × every item through the fitted model (fixture only)
+    allp = (CT.profile_arrays(prof).crossJoin(emb.select("item_id", F.col("embedding").cast("array<double>").alias("v")))
+            .select("user_id", "item_id", array_to_vector(F.concat("profile", "v")).alias("features")))
+    w = Window.partitionBy("user_id").orderBy(F.col("prediction").desc(), F.col("item_id"))
+    ref = {(r.user_id, r.r): r.item_id for r in model.transform(allp).withColumn("r", F.row_number().over(w))
+           .filter("r <= 5").collect()}
+    assert got == ref
