@@ -1039,3 +1039,65 @@ def m15_candidate_ranking(spark, d):
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
     model = CX.fit(st, num, [], max_iter=10, max_depth=4)
     return CX.rank_candidates(model, st, 5).select("user_id", "item_id", "p_positive", "rank")
+
+
+@register("m10_hybrid_fit_predict", rows_only="iterative model fits (ALS, gradient-boosted trees)")
+def m10_hybrid_fit_predict(spark, d):
+    """M10 + M11: fit MF and contextual sub-models (content has no event features here and
+    is recorded as failed -> zeros), then the weighted hybrid score per (user, event)."""
+    from oddsforge.session import cut_lineage
+    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double"))
+    coo = cut_lineage(R.rating_matrix(R.composite_scores(st)))
+    num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
+
+    def fail():
+        raise ValueError("no content features for events")
+
+    models = HY.fit_all({
+        "collaborative": lambda: MF.fit(coo.select("user_idx", F.col("event_idx").alias("item_idx"), "rating"),
+                                        rank=8, max_iter=5),
+        "content_based": fail,
+        "contextual": lambda: CX.fit(st, num, [], max_iter=10, max_depth=4),
+    })
+    pairs = coo.join(st.select("user_id", "event_id", *num), ["user_id", "event_id"])
+
+    def mf_score(p):
+        return MF.predict(models["collaborative"], p.withColumn("item_idx", F.col("event_idx")))
+
+    def cx_score(p):
+        return CX.predict_proba(models["contextual"], p).withColumn("score", F.col("p_positive"))
+
+    return HY.hybrid_predict(pairs, {"collaborative": mf_score if models["collaborative"] else None,
+                                     "content_based": None,
+                                     "contextual": cx_score if models["contextual"] else None},
+                             ["user_id", "event_id"])
+
+
+@register("s12_artifacts_roundtrip", rows_only="artifact sink round trip (file writes and reads)")
+def s12_artifacts_roundtrip(spark, d):
+    """Id mappings and label tables saved as parquet artifacts and loaded back."""
+    import uuid
+    from oddsforge.operators.ids import dense_index
+    from oddsforge.session import checkpoint_dir
+    from oddsforge.sources import sinks as SK2
+    base = f"{checkpoint_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    st = _ues(spark, d)
+    SK2.save_artifacts(base, {"user_mapping": dense_index(st, "user_id", "user_idx"),
+                              "event_mapping": dense_index(st, "event_id", "event_idx")})
+    back = SK2.load_artifacts(spark, base, ["user_mapping", "event_mapping"])
+    return Q.table_row_counts(back)
+
+
+@register("s14_feature_snapshot_roundtrip", W(["blog"], "," + _BEH.replace(
+    "SELECT rf.*, ", "SELECT rf.*, TIMESTAMP '2024-01-31 00:00:00' AS feature_timestamp, "
+                     "DATE '2024-01-31' AS feature_date, ", 1)), cols6=BEH6)
+def s14_feature_snapshot_roundtrip(spark, d):
+    """User features stamped and written partitioned by date, read back as the latest
+    row per user within the 90-day TTL."""
+    import uuid
+    from oddsforge.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/feature-view-{uuid.uuid4().hex}"
+    feats = SK.feature_snapshot(B.user_behavioural_features(D.behaviour_log(spark, d), tm.LOG_AS_OF), tm.LOG_AS_OF)
+    SK.write_parquet(feats, path, partition_by=["feature_date"])
+    snaps = spark.read.parquet(path)
+    return SK.latest_features(snaps, ["user_id"], tm.LOG_AS_OF, 90)
