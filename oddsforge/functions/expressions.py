@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "lit_ts", "days_ago", "floor_days_between", "hours_between", "weekday_mon0",
     "cyclic_sin", "cyclic_cos", "safe_double", "safe_long", "clean_key_text",
-    "null_safe_flag", "finite_or", "nan_to_null", "round6", "round2", "col_or_zero",
+    "null_safe_flag", "finite_or", "nan_to_null", "round6", "round2",
     "exact_sum", "exact_avg", "EXACT_DECIMAL",
 ]
 
@@ -126,6 +126,3 @@ def round2(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 2)
 
-
-def col_or_zero(df_columns, name: str) -> Column:
-    return F.col(name) if name in df_columns else F.lit(0)
