@@ -11,7 +11,8 @@ from oddsforge.sources.tables import DRIVER_TABLES
 SF = "/root/testdata/sf0.001"
 FAST = ["s1_load_users", "s3_load_bets", "f20_user_behaviour_rfm", "w2_empty_window_fallback", "u1_w1_combined_dedup",
         "f12_composite_ratings", "f13_w6_rating_matrix", "q6_table_profile", "e3_e4_auc_average_precision",
-        "e6_e8_ranking_metrics", "m19_ucb_scores", "f1_impute_smart", "f4_u5_label_encode"]
+        "e6_e8_ranking_metrics", "m19_ucb_scores", "f1_impute_smart", "f4_u5_label_encode",
+        "f5_document_tfidf", "f16_a7_a8_market_features", "j6_strict_hierarchy", "e13_compare_models"]
 
 
 def _norm(v):
