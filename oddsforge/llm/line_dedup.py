@@ -49,7 +49,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     cells = occ.groupBy("cell").count()
     share = (cells.agg(F.sum("count")).first()[0] or 0) / max(partitions(spark), 1)
     hot = [r["cell"] for r in cells.filter(F.col("count") > max(share / 8, 256)).orderBy("cell").collect()]  # a few for each partition at most
-    salts = 4 * partitions(spark)
+    salts = max(16, partitions(spark) // 4)
     occ = occ.withColumn("salt", F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts)) + 1).otherwise(F.lit(0))).drop("cell")
     laid = occ.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.col("doc_id").desc_nulls_last(), "pos")
     first = _ranked(laid, ["h1", "h2", "salt"])
