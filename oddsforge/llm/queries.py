@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsforge.llm import chat, decontaminate, line_dedup, near_dedup, secrets
+from oddsforge.llm import bpe, chat, decontaminate, language, line_dedup, near_dedup, nearest, secrets, token_counts, toxicity
 from oddsforge.llm.common import table
 
 
@@ -18,19 +18,39 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
-
-
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=4).drop("text_hash")
 
@@ -38,8 +58,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_bpe_encoding": op4_bpe_encoding,
     "op5_secret_scan": op5_secret_scan,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
