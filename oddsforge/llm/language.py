@@ -29,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddsforge.llm.common import held_out, written
 from oddsforge.llm.words import Pieces, Trie, U, byte_matrix, has_letter, letter_words
@@ -202,8 +203,8 @@ def fit(docs: DataFrame, path: str | None = None, train_docs: int = 6000, rounds
     return langs, p
 
 
-def identify(docs: DataFrame, path: str | None = None, train_docs: int = 6000) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score."""
+def identify(docs: DataFrame, path: str | None = None, train_docs: int = 6000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, lang): row (its columns ``carry``, as a struct), held_out, lang_pred and score."""
     langs, p = fit(docs, path, train_docs)
     model = docs.sparkSession.sparkContext.broadcast((read_pieces(path), langs, p))
 
@@ -214,11 +215,12 @@ def identify(docs: DataFrame, path: str | None = None, train_docs: int = 6000) -
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
                 pred, score = [], []
-                for log in scorer.texts(b.column(2).to_pylist()) if scorer else [None] * b.num_rows:
+                for log in scorer.texts(b.column(0).to_pylist()) if scorer else [None] * b.num_rows:
                     best = None if log is None else int(log.argmax())
                     pred.append(UND if best is None else known[best])
                     score.append(0.0 if best is None else float(1 / math.fsum(np.exp(log - log[best]))))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "held_out", "lang_pred", "score"])
 
-    own = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return own.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
+    own = docs.select("text", F.struct(*carry).alias("row"), held_out(F.col("doc_id")).alias("held_out"))
+    schema = T.StructType([own.schema["row"], own.schema["held_out"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(rows, schema)

@@ -77,22 +77,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept, the text without its dropped lines."""
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_text_hash", F.xxhash64(text)).join(
-        b, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    lines = F.split(text, "\n")
-    kept = F.flatten(F.transform("_keep", lambda r: F.slice(
+    """Per row of ``docs``: row (the row itself, as a struct), n_lines, n_dropped and kept, its text without the
+    dropped lines."""
+    b = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), F.col("n_dropped").alias("b_dropped"), "keep")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.withColumn("hash", F.xxhash64("t")).join(b, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("hash") == F.col("b_hash")), "left")
+    lines = F.split("t", "\n")
+    kept = F.flatten(F.transform("keep", lambda r: F.slice(
         lines, r["first"] + 1, F.least(r["last"], F.size(lines) - 1) - r["first"] + 1)))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns],
-                       (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"),
-                       F.coalesce("_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
-                       F.when(F.col("_keep").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("_kept"))
+    return rows.select("row", (F.char_length("t") - F.char_length(F.replace(F.col("t"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+                       F.coalesce("b_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+                       F.when(F.col("keep").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and kept (its text without the dropped lines)."""
     own = docs.select("doc_id", "text")
-    return apply_keep(own, keep_bitmaps(own, min_chars, min_docs)).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept").alias("kept"))
+    return apply_keep(own, keep_bitmaps(own, min_chars, min_docs)).select("row.doc_id", "n_lines", "n_dropped", "kept")

@@ -290,3 +290,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_groups`` keeps, one for each id and text."""
+    kept = groups.filter("kept").groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.count(F.lit(1)).alias("g_rows"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("hash") == F.col("g_hash")))
+    single = (F.col("g_rows") == 1) | F.col("id").isNull()
+    return rows.filter(single).unionByName(rows.filter(~single).dropDuplicates(["id", "hash"])).select("row.*")

@@ -48,7 +48,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "documents"), carry=("doc_id",)).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
