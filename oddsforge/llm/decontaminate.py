@@ -18,10 +18,12 @@ repeated rows of a document give one row per item; empty tables give no rows. Ot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsforge.llm.common import SPACES, broadcast_if_small, lower_ascii, written
+from oddsforge.llm.common import SPACES, broadcast_if_small, lower_ascii, partitions, written
 
 K = 5
 
@@ -39,14 +41,27 @@ def shingles(ws: Column, k: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """Bit b is set where more shingles have it than not; a repeated shingle counts each time."""
-    masks = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
+    """Bit b is set where more shingles have it than not; a repeated shingle counts each time.
+
+    The 64 counters stand four to a long, 16 bits each; an item of more than 65,535 shingles has its bits
+    counted one by one."""
+    lanes, names = F.lit(0x0001000100010001).cast("long"), [f"s{j}" for j in range(16)]
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    counts = F.aggregate(hashes, zero, lambda c, h: F.struct(*[
+        (c[n] + F.shiftrightunsigned(h, j).bitwiseAND(lanes)).alias(n) for j, n in enumerate(names)]))
+    place = lambda b: F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
+
+    def majority(c):
+        bits = [F.when(F.shiftrightunsigned(c[n], 16 * lane).bitwiseAND(F.lit(0xFFFF).cast("long")) * 2 > F.size(hashes), place(16 * lane + j)).otherwise(F.lit(0).cast("long"))
+                for j, n in enumerate(names) for lane in range(4)]
+        return reduce(Column.bitwiseOR, bits)
 
     def vote(acc, mask):
         votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(h.bitwiseAND(mask) != 0, 1).otherwise(-1))
         return acc.bitwiseOR(F.when(votes > 0, mask).otherwise(F.lit(0).cast("long")))
 
-    return F.aggregate(masks, F.lit(0).cast("long"), vote)
+    one_by_one = F.aggregate(F.array(*[place(b) for b in range(64)]), F.lit(0).cast("long"), vote)
+    return F.when(F.size(hashes) <= 0xFFFF, F.get(F.transform(F.array(counts), majority), F.lit(0))).otherwise(one_by_one)
 
 
 def block_edges(radius: int) -> list[tuple[int, int]]:
@@ -60,11 +75,17 @@ def block(fp: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def same_size_weighted(a: Column, b: Column) -> Column:
-    """Sum of least over sum of greatest counts of two lists of shingles."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    least = F.aggregate(F.array_distinct(b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    return least / (F.size(a) + F.size(b) - least)
+def numbered(hashes: Column) -> Column:
+    """The shingles with their repetitions told apart: the first occurrence as it is, a later one hashed with its
+    number. Set operations on such lists count each shingle as often as it occurs."""
+    nth = lambda h, i: F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))
+    tagged = F.transform(hashes, lambda h, i: F.when(nth(h, i) == 0, h).otherwise(F.xxhash64(h, nth(h, i))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(tagged)
+
+
+def weighted_similarity(a: Column, b: Column) -> Column:
+    """Sum of least over sum of greatest counts, of two numbered lists of shingles."""
+    return F.get(F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n)), F.lit(0))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, radius: int = 21) -> DataFrame:
@@ -73,7 +94,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.
     items = items.withColumn("n_words", F.size("ws")).withColumn("k", F.least("n_words", F.lit(K)))
     items = written(items.withColumn("item_shingles", F.when(F.col("k") == K, shingles(F.col("ws"), K)).otherwise(F.array(F.expr(
         "case size(ws) when 4 then xxhash64(ws[0], ws[1], ws[2], ws[3]) when 3 then xxhash64(ws[0], ws[1], ws[2])"
-        " when 2 then xxhash64(ws[0], ws[1]) else xxhash64(ws[0]) end")))).drop("ws").withColumn("item_fp", simhash(F.col("item_shingles"))))
+        " when 2 then xxhash64(ws[0], ws[1]) else xxhash64(ws[0]) end")))).drop("ws").withColumn("item_fp", simhash(F.col("item_shingles"))).withColumn("item_numbered", numbered(F.col("item_shingles"))))
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]  # five values at most
     known = broadcast_if_small(items.select("n_words", F.explode("item_shingles").alias("h")).distinct())
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))
@@ -94,18 +115,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.
     for k in sizes:
         hashes = F.when(F.least("n_words", F.lit(K)) == k, shingles(F.col("win"), k)).otherwise(hashes)
     # written, so that no filter on a fingerprint is pushed below and computes it again
-    windows = written(written(windows.withColumn("hashes", hashes).drop("win")).withColumn("fp", simhash(F.col("hashes"))))
+    windows = written(windows.withColumn("hashes", hashes).drop("win")).repartition(2 * partitions(docs.sparkSession))
+    windows = written(windows.select("doc_id", "start", "n_words", numbered(F.col("hashes")).alias("numbered"), simhash(F.col("hashes")).alias("fp")))
     edges = block_edges(radius)
     blocks = lambda fp: F.posexplode(F.array(*[block(F.col(fp), *e) for e in edges])).alias("block", "value")
     probes = windows.select("*", blocks("fp"))
-    index = broadcast_if_small(items.select("item_id", "n_words", "item_shingles", "item_fp", blocks("item_fp")))
+    index = broadcast_if_small(items.select("item_id", "n_words", "item_numbered", "item_fp", blocks("item_fp")))
     pairs = probes.join(index, ["n_words", "block", "value"])
     xor = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair that agrees in several blocks is kept where it first does
-    first = F.array_position(F.transform(F.array(*[block(xor, *e) for e in edges]), lambda x: x == 0), True) - 1
+    first = F.coalesce(*[F.when(block(xor, *e) == 0, F.lit(i)) for i, e in enumerate(edges)])
     pairs = pairs.filter((F.bit_count(xor) <= radius) & (first == F.col("block")))
-    scored = pairs.withColumn("similarity", same_size_weighted(F.col("hashes"), F.col("item_shingles"))).filter(F.col("similarity") >= min_similarity)
+    scored = pairs.withColumn("similarity", weighted_similarity(F.col("numbered"), F.col("item_numbered")))
     best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
+    best = best.filter(F.col("b.similarity") >= min_similarity)
     return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
