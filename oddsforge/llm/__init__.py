@@ -1,2 +1,9 @@
 """Operators of a training-data pipeline: formatting, decontamination, search, tokenising,
 scanning, scoring and deduplication of text at scale. Nothing else in the library imports this."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

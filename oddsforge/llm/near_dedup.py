@@ -9,10 +9,11 @@
 5. Connected components over the links give every document the smallest doc_id it reaches.
 
 No bucket is expanded into all its pairs at once. Each member is first compared with its bucket's smallest
-document; components are merged; then only members of buckets that still hold different components are
-compared: all pairs in buckets of 32 members at most, and sketch against sketch in blocks of 1024 x 1024 in
-larger ones, at first one best pair per two components, in the last round every remaining candidate. So all links that the bands find (at similarity 0.8 all but 5 in 10^8)
-decide the components, and links inside one component need no test.
+document; components are merged. Then only members of buckets that still hold different components are
+compared: pair by pair in buckets of 32 members at most, and block by block (1024 x 1024) in larger ones, where a
+task verifies what the sketches let through on the full sets by a matrix product and returns no more links than
+join its components. So all links that the bands find (at similarity 0.8 all but 5 in 10^8) decide the
+components, and links inside one component need no test.
 
 Words are runs without white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle.
 Defined results: null and empty texts have no shingles and stand alone; rows that share a doc_id are one
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,9 @@ from oddsforge.llm.common import written
 SAMPLES, ROWS, BITS = 128, 4, 512
 BANDS = SAMPLES // ROWS
 SMALL = 32         # members of a bucket whose pairs are joined as they are
-BLOCK = 1024       # members of a larger bucket that one task compares with as many others
-BEST_ROUNDS = 3    # rounds of one best pair per two components, before the round of all pairs
+BLOCK = 1024       # members of a larger bucket that one task compares with as many others,
+BLOCK_SHINGLES = 1 << 19  # or as many as have so many shingles together
+COLUMNS = 4096     # shingles in one product of the blocks' 0/1 matrices
 SLACK = 0.2        # how far under the asked similarity an estimate may lie: five deviations
 U = np.uint64
 ROW_BATCH = 256  # rows that a task turns into output at once
@@ -65,15 +66,16 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-@lru_cache(1)
-def hash_family() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
-    draw = rng.integers(0, 2**63, (2, SAMPLES, 1), dtype=np.int64).astype(U)
+def _hash_family() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20).integers(0, 2**63, (2, SAMPLES, 1), dtype=np.int64).astype(U)
     return draw[0] * U(2) + U(1), draw[1] * U(2)
 
 
+FAMILY = _hash_family()
+
+
 def minhashes(s: np.ndarray) -> np.ndarray:
-    a, b = hash_family()
+    a, b = FAMILY
     out = np.full(SAMPLES, np.iinfo(U).max, U)
     for i in range(0, len(s), 4096):
         np.minimum(out, (s[None, i : i + 4096] * a + b).min(axis=1), out=out)
@@ -192,51 +194,85 @@ def small_bucket_pairs(open_members: DataFrame) -> DataFrame:
     return a.join(b, ["key", "band"]).filter("id < id_b and label <> label_b").select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def large_bucket_pairs(open_members: DataFrame, shape: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate (a, b) of different components in the other buckets, found sketch against sketch in blocks: the best
-    pair of every two components of a block, or all pairs (each in the first band that its documents share).
-    Members of a bucket's largest component are compared with the other members only."""
-    least = percent / 100 - SLACK
-
-    def pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        a, b = rows[rows["block"] == i], rows[rows["block"] == j]
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        bits = [np.frombuffer(b"".join(x["sketch"]), U).reshape(len(x), -1) for x in (a, b)]
-        flipped = np.zeros((len(a), len(b)), np.int32)
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set: only hashes on both sides count, and each run of
+    COLUMNS of them is one product of two 0/1 matrices."""
+    here = [np.concatenate(x) for x in (left, right)]
+    shared = np.intersect1d(*here)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    at = [np.searchsorted(shared, h) for h in here]
+    ok = [(np.append(shared, U(0))[i] == h) & (i < len(shared)) for i, h in zip(at, here, strict=True)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(shared), COLUMNS):
+        m = []
+        for side, x in enumerate((left, right)):
+            mine = ok[side] & (at[side] >= c) & (at[side] < c + COLUMNS)
+            one = np.zeros((len(x), COLUMNS), np.float32)
+            one[rows[side][mine], at[side][mine] - c] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def large_bucket_links(open_members: DataFrame, shape: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components in the other buckets. Members meet block by block: sketches let pairs
+    through, these are verified on the full sets, and each task returns no more links than join its components. Members
+    of a bucket's largest component meet the other members only; a pair is tested in the first band that it shares."""
+    flips = most_flipped(percent / 100 - SLACK)
+
+    def links(key, rows: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = key[1], key[2], key[3]
+        sides = [rows[rows["block"] == x].sort_values("id") for x in (i, j)]
+        (ia, la, na), (ib, lb, nb) = [(x["id"].to_numpy(), x["label"].to_numpy(), x["n_shingles"].to_numpy()) for x in sides]
+        bits = [np.frombuffer(b"".join(x["sketch"]), U).reshape(len(x), -1) for x in sides]
+        bands = [np.array(x["bands"].to_list(), np.int64).reshape(len(x), -1) for x in sides]
+        flipped = np.zeros((len(ia), len(ib)), np.int32)
         for w in range(BITS // 64):
             flipped += np.bitwise_count(bits[0][:, w, None] ^ bits[1][None, :, w])
-        (ia, la, na), (ib, lb, nb) = [(x["id"].to_numpy(), x["label"].to_numpy(), x["n_shingles"].to_numpy()) for x in (a, b)]
-        fits = (flipped <= most_flipped(least)) & (la[:, None] != lb[None])
+        fits = (flipped <= flips) & (la[:, None] != lb[None])
         fits &= 100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None])
         if i == j:
             fits &= ia[:, None] < ib[None]
-        x, y = np.nonzero(fits)
-        if every:
-            ba, bb = np.stack(a["bands"].to_list()), np.stack(b["bands"].to_list())
-            first = [(ba[x[s : s + 65536]] == bb[y[s : s + 65536]]).argmax(axis=1) for s in range(0, len(x), 65536)]
-            mine = np.concatenate(first or [np.empty(0, int)]) == key[1]
-        else:
-            both = pd.DataFrame({"f": flipped[x, y], "p": np.minimum(la[x], lb[y]), "q": np.maximum(la[x], lb[y])})
-            best = both.sort_values("f", kind="stable").drop_duplicates(["p", "q"]).index
-            mine = np.zeros(len(x), bool)
-            mine[best] = True
-        p, q = ia[x[mine]], ib[y[mine]]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    m = open_members.filter(F.col("n") > SMALL)
-    counts = m.groupBy("key", "band", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key", "band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
-    main = main.select("key", "band", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("n_top"),
-                       F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("n_rest"))
-    m = m.join(main, ["key", "band"]).join(shape, "id")
+        for w in range(band):
+            fits &= bands[0][:, w, None] != bands[1][None, :, w]
+        out: list[tuple[int, int]] = []
+        x, y = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+        if len(x):
+            sets = [[shingle_set(t, k) for t in side["text"].iloc[keep]] for side, keep in zip(sides, (x, y), strict=True)]
+            both = common_counts(*sets)
+            linked = fits[np.ix_(x, y)] & (100 * both >= percent * (na[x][:, None] + nb[y][None] - both))
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while root.setdefault(v, v) != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            for r in np.flatnonzero(linked.any(axis=1)):
+                partner = y[linked[r]]
+                for c in partner[np.unique(lb[partner], return_index=True)[1]]:
+                    p, q = find(int(la[x[r]])), find(int(lb[c]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((int(ia[x[r]]), int(ib[c])))
+        return pd.DataFrame({"a": [min(e) for e in out], "b": [max(e) for e in out]}, dtype="int64")
+
+    m = open_members.filter(F.col("n") > SMALL).join(shape, "id")
+    counts = m.groupBy("key", "band", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
+    main = counts.groupBy("key", "band").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "label")).alias("top"))
+    main = main.select("key", "band", F.col("top.label").alias("top"), F.col("top.c").alias("tc"), F.col("top.s").alias("ts"),
+                       (F.col("c") - F.col("top.c")).alias("rc"), (F.col("s") - F.col("top.s")).alias("rs"))
+    main = main.select("key", "band", "top", blocks("tc", "ts").alias("n_top"), blocks("rc", "rs").alias("n_rest"))
+    m = m.join(main, ["key", "band"])
     h, in_top = F.xxhash64("id"), F.col("label") == F.col("top")
     block = F.when(in_top, F.col("n_rest") + F.pmod(h, F.col("n_top"))).otherwise(F.pmod(h, F.col("n_rest"))).cast("int")
     others = F.sequence(F.lit(0), F.col("n_rest") - 1 + F.when(in_top, 0).otherwise(F.col("n_top")))
     m = m.withColumn("block", block).withColumn("other", F.explode(others))
-    m = m.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n_shingles", "sketch", *(["bands"] if every else []))
-    return m.groupBy("key", "band", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
+    m = m.join(texts.withColumnRenamed("id", "t_id"), F.col("id") == F.col("t_id"))
+    m = m.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n_shingles", "sketch", "bands", "text")
+    return written(m.groupBy("key", "band", "i", "j").applyInPandas(links, "a long, b long"))
 
 
 def likely(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
@@ -271,19 +307,15 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = written(mine.join(ids, (F.col("doc") == F.col("id")) & (F.col("hash") == F.col("text_hash"))).select("id", "text").dropDuplicates(["id", "text"]))
     shape = reps.select("id", "n_shingles", "sketch", "bands")
 
-    stars = members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(likely(stars, shape, percent), texts, k, percent)
     # rows of one doc_id that stand in several classes tie these together
     row_class = sig.filter("doc_id is not null").join(reps.select("fp", "id"), "fp").select("doc_id", "id")
     tied = row_class.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
     ties = row_class.join(tied.select(F.col("doc_id").alias("_d"), "a"), F.col("doc_id") == F.col("_d")).select("a", F.col("id").alias("b")).filter("a <> b")
-    links = written(links.unionByName(ties.distinct()))
-    links = written(links.unionByName(verified(likely(small_bucket_pairs(unresolved(members, links)), shape, percent), texts, k, percent)))
-    for every in [False] * BEST_ROUNDS + [True]:
-        pairs = written(large_bucket_pairs(unresolved(members, links), shape, percent, every))
-        if pairs.isEmpty():  # nothing is left to compare
-            break
-        links = written(links.unionByName(verified(pairs, texts, k, percent)))
+    stars = members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(verified(likely(stars, shape, percent), texts, k, percent).unionByName(ties.distinct()))
+    left = unresolved(members, links)
+    links = written(links.unionByName(verified(likely(small_bucket_pairs(left), shape, percent), texts, k, percent)))
+    links = written(links.unionByName(large_bucket_links(unresolved(members, links), shape, texts, k, percent)))
     labels = components(links)
     out = sig.join(reps.select(F.col("fp").alias("_fp"), "id"), F.col("fp") == F.col("_fp"), "left")
     out = out.join(labels, F.col("id") == F.col("node"), "left")
