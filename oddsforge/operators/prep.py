@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from oddsforge.config import OUTLIER_THRESHOLD
 from oddsforge.functions.expressions import exact_avg
 from oddsforge.operators.ids import dense_index
+from oddsforge.operators.quantiles import exact_quantiles
 
 UNKNOWN = "Unknown"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -33,16 +34,8 @@ def column_kinds(df: DataFrame) -> dict[str, list[str]]:
     return kinds
 
 
-def _quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> dict:
-    if not cols:
-        return {}
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append((F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact
-                     else F.percentile_approx(x, probs, 100000)).alias(c))
-    row = df.agg(*aggs).collect()[0]
-    return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
+def _quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    return exact_quantiles(df, {c: F.col(c) for c in cols}, probs)
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict:
@@ -57,7 +50,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict:
 
 
 def impute(df: DataFrame, strategy: str = "smart", numeric: list[str] | None = None,
-           categorical: list[str] | None = None, exact: bool = True) -> DataFrame:
+           categorical: list[str] | None = None) -> DataFrame:
     """F1 / F2: 'smart' (median / mode / mode / leftover 0), 'median' (same, always),
     'zero' and anything else (fill 0). Datetime forward fill needs an order and
     lives in :func:`forward_fill` (W7)."""
@@ -66,7 +59,7 @@ def impute(df: DataFrame, strategy: str = "smart", numeric: list[str] | None = N
     categorical = categorical if categorical is not None else kinds["categorical"]
     if strategy not in ("smart", "median"):
         return df.fillna(0)
-    med = {c: q[0] for c, q in _quantiles(df, numeric, [0.5], exact).items()}
+    med = {c: q[0] for c, q in _quantiles(df, numeric, [0.5]).items()}
     modes = column_modes(df, categorical + kinds["boolean"])
     fills = {}
     for c in numeric:
@@ -80,11 +73,11 @@ def impute(df: DataFrame, strategy: str = "smart", numeric: list[str] | None = N
 
 
 def impute_by_missing_share(df: DataFrame, numeric: list[str], categorical: list[str],
-                            max_share: float = 0.5, exact: bool = True) -> DataFrame:
+                            max_share: float = 0.5) -> DataFrame:
     """columns with > ``max_share`` missing -> 0 / 'Unknown'; else median / mode."""
     shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in numeric + categorical]).collect()[0]
     heavy = {c for c in numeric + categorical if (shares[c] or 0.0) > max_share}
-    med = {c: q[0] for c, q in _quantiles(df, [c for c in numeric if c not in heavy], [0.5], exact).items()}
+    med = {c: q[0] for c, q in _quantiles(df, [c for c in numeric if c not in heavy], [0.5]).items()}
     modes = column_modes(df, [c for c in categorical if c not in heavy])
     fills = {}
     for c in numeric:
@@ -126,9 +119,9 @@ def label_encode(df: DataFrame, col: str, table: DataFrame | None = None) -> Dat
             .drop("_lbl"))
 
 
-def robust_scale(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """F8: (x - median) / IQR, IQR 0 -> divide by 1 (exact percentiles)."""
-    q = _quantiles(df, cols, [0.25, 0.5, 0.75], exact)
+    q = _quantiles(df, cols, [0.25, 0.5, 0.75])
     sel = {}
     for c in cols:
         q1, med, q3 = q[c]
@@ -146,9 +139,9 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[sel[c].alias(c) if c in sel else F.col(c) for c in df.columns])
 
 
-def clip_outliers_iqr(df: DataFrame, cols: list[str], k: float = OUTLIER_THRESHOLD, exact: bool = True) -> DataFrame:
+def clip_outliers_iqr(df: DataFrame, cols: list[str], k: float = OUTLIER_THRESHOLD) -> DataFrame:
     """clip to [Q1 - k·IQR, Q3 + k·IQR]; columns with IQR 0 or no values are untouched (D12: k honoured)."""
-    q = _quantiles(df, cols, [0.25, 0.75], exact)
+    q = _quantiles(df, cols, [0.25, 0.75])
     sel = {}
     for c in cols:
         q1, q3 = q[c]
@@ -164,11 +157,11 @@ def clip_outliers_iqr(df: DataFrame, cols: list[str], k: float = OUTLIER_THRESHO
     return df.select(*[sel[c].alias(c) if c in sel else F.col(c) for c in df.columns])
 
 
-def replace_outliers_zscore(df: DataFrame, cols: list[str], z: float = 3.0, exact: bool = True) -> DataFrame:
+def replace_outliers_zscore(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:
     """|x - mean| / std > z -> median (sample std; std 0 -> untouched)."""
     stats = df.agg(*[exact_avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
                    *[F.stddev_samp(F.col(c).cast("double")).alias(f"s_{c}") for c in cols]).collect()[0]
-    med = {c: v[0] for c, v in _quantiles(df, cols, [0.5], exact).items()}
+    med = {c: v[0] for c, v in _quantiles(df, cols, [0.5]).items()}
     sel = {}
     for c in cols:
         m, s = stats[f"m_{c}"], stats[f"s_{c}"]

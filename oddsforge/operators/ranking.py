@@ -15,7 +15,7 @@ def top_n(df: DataFrame, key: str, score: str, n: int, tie: str, out: str = "ran
     sorted in ``salts`` tasks, never in one.
     """
     order = [F.col(score).desc_nulls_last(), F.col(tie).asc()]
-    salted = df.withColumn("_salt", F.abs(F.xxhash64(F.col(tie))) % F.lit(salts))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(tie)), F.lit(salts)))
     w1 = Window.partitionBy(key, "_salt").orderBy(*order)
     stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_r1", "_salt")
     w2 = Window.partitionBy(key).orderBy(*order)

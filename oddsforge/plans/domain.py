@@ -17,6 +17,11 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bets(spark: SparkSession, d: str) -> DataFrame:
+    """All bets; a look-back is a parameter of the S3 and Q queries only."""
+    return L.load_bets(tm.raw_bets(spark, d), tm.raw_events(spark, d), tm.BETS_AS_OF, all_history=True)
+
+
+def recent_bets(spark: SparkSession, d: str) -> DataFrame:
     return L.load_bets(tm.raw_bets(spark, d), tm.raw_events(spark, d), tm.BETS_AS_OF,
                        days_back=tm.BETS_DAYS_BACK)
 

@@ -74,8 +74,7 @@ CTE["bets"] = f"""
          CASE WHEN e.event_start_time IS NOT NULL
                AND date_sub('minute', b.bet_timestamp, e.event_start_time) <= 0 THEN 1 ELSE 0 END AS is_live_bet
   FROM bets_raw b LEFT JOIN events_raw e ON b.event_id = e.event_id
-  WHERE b.bet_timestamp >= {BETS_AS_OF} - INTERVAL {tm.BETS_DAYS_BACK} DAY
-    AND b.bet_result IN ('won', 'lost', 'pending')"""
+  WHERE b.bet_result IN ('won', 'lost', 'pending')"""
 
 DEPS = {
     "users": ["users_raw"], "events_l": ["events_raw"], "bets": ["bets_raw", "events_raw"],
@@ -430,7 +429,7 @@ DIVERSITY_SQL = """
           FROM sets a JOIN sets b ON a.user_id < b.user_id)
   SELECT CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(DISTINCT item_id) AS DOUBLE) / COUNT(*) ELSE 0.0 END AS diversity,
          CAST(COUNT(DISTINCT item_id) AS DOUBLE) / (SELECT COUNT(DISTINCT item_id) FROM test_i) AS coverage,
-         COALESCE((SELECT iud FROM iud), 0.0) AS inter_user_diversity,
+         COALESCE((SELECT iud FROM iud), 0.0) AS inter_user_diversity, (SELECT COUNT(*) FROM su) AS n_users_compared,
          greatest(0.0, 1.0 - (SELECT AVG(CAST(COALESCE(p.pop, 0) AS DOUBLE))
                                FROM (SELECT DISTINCT item_id FROM recs10) x LEFT JOIN pop p ON x.item_id = p.item_id)
                               / (SELECT MAX(pop) FROM pop)) AS novelty
@@ -618,35 +617,49 @@ DEPS.update({"strict": ["events_l", "mk", "oc", "bt", "users"]})
 
 
 # ---------------------------------------------------------------------------
-# Metrics in long form, leaderboard and best models
-SCORERS = {"price": "l_extendedprice / 20000.0", "discount": "l_discount * 50.0", "tax": "l_tax * 50.0"}
-
-
-def scorer_metrics_sql(name: str, expr: str) -> str:
-    ls = f"SELECT l_quantity / 10.0 AS rating, {expr} AS prediction FROM lineitem"
-    return f"""SELECT '{name}' AS model, * FROM (
-  WITH lscores AS ({ls}),
-  d AS (SELECT rating, CASE WHEN prediction IS NULL OR isnan(prediction) THEN 0.5 ELSE prediction END AS prediction FROM lscores),
-  t AS (SELECT quantile_cont(rating, 0.5) AS thr FROM d),
-  g AS (SELECT prediction AS score, SUM(CASE WHEN rating > thr THEN 1 ELSE 0 END) AS pos,
-               SUM(CASE WHEN rating > thr THEN 0 ELSE 1 END) AS neg FROM d, t GROUP BY prediction),
-  c AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
-  SELECT (SELECT AVG((prediction - rating) * (prediction - rating)) FROM d) AS mse,
-         (SELECT AVG(abs(prediction - rating)) FROM d) AS mae,
-         CASE WHEN SUM(pos) = 0 OR SUM(neg) = 0 THEN 0.5 ELSE SUM(pos * (nb + 0.5 * neg)) / (SUM(pos) * SUM(neg)) END AS auc
-  FROM c)"""
-
-
-MODEL_METRICS_SQL = "\nUNION ALL\n".join(
-    f"SELECT model, metric, value FROM (UNPIVOT ({scorer_metrics_sql(n, e)}) ON mse, mae, auc INTO NAME metric VALUE value)"
-    for n, e in SCORERS.items())
+# Three rankers of the same rated pairs, judged by the same metrics
+RANKERS = ("frequency", "success", "timing")
+
+
+def ranker_metrics_sql(name: str) -> str:
+    score = f"{name}_score"
+    recs = f"""SELECT user_id, event_id AS item_id, rank FROM (
+      SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {score} DESC, event_id ASC) AS rank
+      FROM rated) WHERE rank <= 20"""
+    test = "SELECT user_id, event_id AS item_id, composite_rating AS rating FROM rated"
+    pred = f"SELECT composite_rating AS rating, {score} AS prediction FROM rated"
+    return f"""SELECT '{name}' AS model,
+      (SELECT AVG((prediction - rating) * (prediction - rating)) FROM ({pred})) AS mse,
+      (SELECT AVG(abs(prediction - rating)) FROM ({pred})) AS mae,
+      (SELECT auc FROM (WITH lscores AS ({pred}) {AUC_SQL})) AS auc,
+      r.precision AS precision_at_5, r.recall AS recall_at_5, v.diversity, v.coverage
+    FROM (WITH recs AS ({recs}), test_i AS ({test}) {RANKING_SQL}) r,
+         (WITH recs AS ({recs}), test_i AS ({test}) {DIVERSITY_SQL}) v
+    WHERE r.k = 5"""
+
+
+MODEL_METRICS_SQL = with_ctes(["scored"], """, rated AS MATERIALIZED (
+  SELECT user_id, event_id, composite_rating, frequency_score, success_score, timing_score FROM scored),
+  wide AS (""" + "\nUNION ALL\n".join(ranker_metrics_sql(n) for n in RANKERS) + """)
+  SELECT model, metric, value FROM (UNPIVOT wide ON mse, mae, auc, precision_at_5, recall_at_5, diversity, coverage
+                                    INTO NAME metric VALUE value)""")
 LEADERBOARD_SQL = f"""
-SELECT model, auc, CAST(NULL AS DOUBLE) AS precision_at_5, CAST(NULL AS DOUBLE) AS diversity,
-       CAST(NULL AS DOUBLE) AS coverage,
-       0.4 * auc + 0.3 * 0.0 + 0.2 * 0.0 + 0.1 * 0.0 AS composite_score
-FROM (SELECT model, MAX(CASE WHEN metric = 'auc' THEN value END) AS auc FROM ({MODEL_METRICS_SQL}) GROUP BY model)"""
+SELECT *, 0.4 * auc + 0.3 * precision_at_5 + 0.2 * diversity + 0.1 * coverage AS composite_score FROM (
+  SELECT model, MAX(value) FILTER (WHERE metric = 'auc') AS auc, MAX(value) FILTER (WHERE metric = 'precision_at_5') AS precision_at_5,
+         MAX(value) FILTER (WHERE metric = 'diversity') AS diversity, MAX(value) FILTER (WHERE metric = 'coverage') AS coverage
+  FROM ({MODEL_METRICS_SQL}) GROUP BY model)"""
 BEST_SQL = f"""
 SELECT metric, model AS best_model, value AS best_value FROM (
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('mse', 'mae') THEN -value ELSE value END DESC,
                                model ASC) AS r
   FROM ({MODEL_METRICS_SQL}) WHERE metric IN ('auc', 'precision_at_5', 'recall_at_5', 'mse', 'mae')) WHERE r = 1"""
+
+
+# ---------------------------------------------------------------------------
+# Q7: the contract's columns over the domain tables (all present there), and whether each table has rows
+CONTRACT = {"users": ("users", "user_id"), "events": ("events_l", "event_id sport"), "markets": ("markets_raw", "market_id event_id market_name"),
+            "outcomes": ("outcomes_raw", "outcome_id market_id outcome_name"), "bets": ("bets", "bet_id user_id outcome_id bet_amount odds_used")}
+CONTRACT_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(COUNT({c}) >= 0 AS INTEGER) AS present, "
+    f"CAST(COUNT(*) > 0 AS INTEGER) AS non_empty FROM {source}"
+    for t, (source, cols) in CONTRACT.items() for c in cols.split())

@@ -36,9 +36,9 @@ def s2_load_events(spark, d):
     return D.events(spark, d)
 
 
-@register("s3_load_bets", W(["bets"], "SELECT * FROM bets"))
+@register("s3_load_bets", W(["bets"], f"SELECT * FROM bets WHERE bet_timestamp >= {O.BET_SINCE}"))
 def s3_load_bets(spark, d):
-    return D.bets(spark, d)
+    return D.recent_bets(spark, d)
 
 
 @register("s4_load_markets", W(["markets_raw"], "SELECT market_id, event_id, market_name FROM markets_raw"))
@@ -325,9 +325,9 @@ def q8_pipeline_gates(spark, d):
     return Q.pipeline_gates(t)
 
 
-@register("q7_contract_check", rows_only='schema introspection (column presence), not row data')
+@register("q7_contract_check", W(["users", "events_l", "markets_raw", "outcomes_raw", "bets"], O.CONTRACT_SQL))
 def q7_contract_check(spark, d):
-    """Q7: required-column contract per table (schema check, rows-only)."""
+    """Q7: required-column contract per table."""
     return Q.contract_check(_tables(spark, d))
 
 
@@ -392,7 +392,7 @@ def e6_e8_ranking_metrics(spark, d):
 def e9_e11_diversity_metrics(spark, d):
     """E9 + E10 + E11 (+A12, U3, U4, J13): diversity, coverage, inter-user diversity, novelty."""
     test, recs = _test_and_recs(spark, d, 10)
-    return E.diversity_metrics(recs, test)
+    return E.diversity_metrics(recs, test, sample_users=10)
 
 
 # ------------------------------------------------------- bandit + streaming
@@ -644,7 +644,7 @@ def m1_m4_mf_recommendations(spark, d):
 @register("m2_m3_mf_validation", rows_only='iterative model fit (ALS)')
 def m2_m3_mf_validation(spark, d):
     """M2 + M3 + J14: hash split, fit on train, MSE on known validation pairs (rows-only)."""
-    r = _mf_ratings(spark, d).withColumn("_h", F.abs(F.xxhash64("user_idx", "item_idx", F.lit(42))) % 5)
+    r = _mf_ratings(spark, d).withColumn("_h", F.pmod(F.xxhash64("user_idx", "item_idx", F.lit(42)), F.lit(5)))
     model = MF.fit(r.filter("_h > 0").drop("_h"), rank=8, max_iter=5)
     return MF.validation_mse(model, r.filter("_h = 0").drop("_h"))
 
@@ -654,7 +654,7 @@ def m13_m16_contextual_classifier(spark, d):
     """M13 + M14 (+M16 importances available): GBT on user–event statistics (rows-only)."""
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double")) \
         .withColumn("odds_band", F.when(F.col("avg_odds") > 3, F.lit("high")).otherwise(F.lit("low")))
-    h = F.abs(F.xxhash64("user_id", "event_id")) % 5
+    h = F.pmod(F.xxhash64("user_id", "event_id"), F.lit(5))
     train, val = st.filter(h > 0), st.filter(h == 0)
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
     model = CX.fit(train, num, ["odds_band"], val=val, max_iter=10, max_depth=4)
@@ -935,26 +935,32 @@ def f18_training_set_iqr(spark, d):
 
 
 # ---------------------------------------------------- model comparison E12-E14
-_SCORER_EXPR = {"price": lambda: F.col("l_extendedprice") / F.lit(20000.0),
-                "discount": lambda: F.col("l_discount") * F.lit(50.0),
-                "tax": lambda: F.col("l_tax") * F.lit(50.0)}
+RANKERS = ("frequency", "success", "timing")
 
 
 def _model_metrics(spark, d):
-    li = read_table(spark, d, "lineitem")
-    frames = []
-    for name, expr in _SCORER_EXPR.items():
-        ls = li.select((F.col("l_quantity") / F.lit(10.0)).alias("rating"), expr().alias("prediction"))
-        reg = E.regression_metrics(ls).select("mse", "mae")
-        auc = E.auc_ap(ls).select("auc")
-        frames.append(E.metrics_long(name, [reg, auc]))
+    """Three rankers of the same rated (user, event) pairs: prediction, ranking and diversity metrics of each."""
     from functools import reduce as _r
+
+    from oddsforge.session import cut_lineage
+    rated = cut_lineage(_scored(spark, d).select("user_id", F.col("event_id").alias("item_id"), F.col("composite_rating").alias("rating"),
+                                                 *[f"{n}_score" for n in RANKERS]))
+    test = rated.select("user_id", "item_id", "rating")
+    frames = []
+    for n in RANKERS:
+        pred = rated.select("rating", F.col(f"{n}_score").alias("prediction"))
+        recs = cut_lineage(top_n(rated.select("user_id", "item_id", f"{n}_score"), "user_id", f"{n}_score", 20, tie="item_id")
+                           .select("user_id", "item_id", "rank"))
+        at5 = (E.ranking_metrics(recs, test).filter(F.col("k") == 5)
+               .select(F.col("precision").alias("precision_at_5"), F.col("recall").alias("recall_at_5")))
+        div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test, sample_users=10).select("diversity", "coverage")
+        frames.append(E.metrics_long(n, [E.regression_metrics(pred).select("mse", "mae"), E.auc_ap(pred).select("auc"), at5, div]))
     return _r(lambda a, b: a.unionByName(b), frames)
 
 
 @register("e12_metrics_long", O.MODEL_METRICS_SQL, cols6=["value"])
 def e12_metrics_long(spark, d):
-    """Per-model metrics (MSE, MAE, AUC) in long form for three scorers."""
+    """Per-model prediction, ranking and diversity metrics in long form, three rankers on one test set."""
     return _model_metrics(spark, d)
 
 
@@ -967,21 +973,24 @@ def e13_compare_models(spark, d):
 
 @register("e14_best_models", O.BEST_SQL, cols6=["best_value"])
 def e14_best_models(spark, d):
-    """Best model per metric (max AUC, min MSE/MAE)."""
+    """Best model per metric (max AUC, P@5, R@5; min MSE, MAE)."""
     return E.best_models(_model_metrics(spark, d))
 
 
 @register("e12_full_evaluation", rows_only='composition of exact-checked metric queries')
 def e12_full_evaluation(spark, d):
     """Full evaluation of one ranking (prediction, ranking and diversity metrics), long form."""
-    test, recs = _test_and_recs(spark, d)
-    ls = tm.labelled_scores(spark, d)
+    from oddsforge.session import cut_lineage
+    rated = cut_lineage(_scored(spark, d).select("user_id", F.col("event_id").alias("item_id"), F.col("composite_rating").alias("rating"), "timing_score"))
+    test = rated.select("user_id", "item_id", "rating")
+    recs = top_n(rated.select("user_id", "item_id", "timing_score"), "user_id", "timing_score", 20, tie="item_id").select("user_id", "item_id", "rank")
+    ls = rated.select("rating", F.col("timing_score").alias("prediction"))
     rk = E.ranking_metrics(recs, test)
     rk_long = rk.selectExpr("k", "stack(4, 'precision', precision, 'recall', recall, 'ndcg', ndcg, 'f1', f1) "
                                  "as (m, value)") \
         .select(F.lit("timing_rank").alias("model"), F.concat_ws("_at_", "m", F.col("k").cast("string")).alias("metric"),
                 "value")
-    div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test)
+    div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test, sample_users=10)
     base = E.metrics_long("timing_rank", [E.regression_metrics(ls), E.auc_ap(ls), div])
     return base.unionByName(rk_long)
 

@@ -36,8 +36,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private scratch folder is
-    created and registered.
+    Only on ``local[...]`` masters (tests) is a private scratch folder made where the
+    setting is absent; on a cluster that folder would be another one on every
+    executor, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -45,9 +46,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="oddsforge-ckpt-")
     sc.setCheckpointDir(configured)
-    return configured
+    path = sc._jsc.sc().getCheckpointDir().get()
+    _delete_on_exit(spark, path)
+    return path
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the application ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,7 +67,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The plan runs once (an un-persisted ``checkpoint()`` would run it twice:
     once for the action, once for the write), the result survives executor
-    loss, and later scans of it get column pruning and filter pushdown.
+    loss, and later scans of it get column pruning and filter pushdown. The
+    folder is this application's own and goes when the application ends.
     Never a local checkpoint.
     """
     spark = df.sparkSession

@@ -62,11 +62,11 @@ def load_events(raw_events: DataFrame, as_of: str, days_back: int = 2,
 
 
 def load_bets(raw_bets: DataFrame, raw_events: DataFrame, as_of: str,
-              days_back: int | None = 365, limit: int | None = None) -> DataFrame:
+              days_back: int | None = 365, limit: int | None = None, all_history: bool = False) -> DataFrame:
     """S3: bets ⟕ events; result text -> 1/0/NULL; live flag from whole minutes.
 
     ``outcome_label`` keeps the text label and ``outcome`` the 0/1/NULL value (D3);
-    ``days_back=None`` uses the fixed start date (D13).
+    ``days_back=None`` uses the fixed start date (D13), ``all_history`` no bound at all.
     """
     b = raw_bets.alias("b")
     e = raw_events.select("event_id", F.col("event_start_time").alias("_e_start")).alias("e")
@@ -74,7 +74,8 @@ def load_bets(raw_bets: DataFrame, raw_events: DataFrame, as_of: str,
     res = F.col("b.bet_result")
     live = (F.col("_e_start").isNotNull()
             & (F.timestamp_diff("MINUTE", F.col("b.bet_timestamp"), F.col("_e_start")) <= 0))
-    df = (b.filter((F.col("bet_timestamp") >= since) & F.col("bet_result").isin(*BET_RESULTS))
+    recent = F.lit(True) if all_history else F.col("bet_timestamp") >= since
+    df = (b.filter(recent & F.col("bet_result").isin(*BET_RESULTS))
           .join(e, F.col("b.event_id") == F.col("e.event_id"), "left")
           .select(F.col("b.bet_id"), F.col("b.user_id"), F.col("b.event_id"), F.col("b.outcome_id"),
                   F.col("b.bet_amount"), F.col("b.odds").alias("odds_used"), F.col("b.bet_timestamp"),
