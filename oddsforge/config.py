@@ -21,24 +21,13 @@ LEADERBOARD_WEIGHTS = {"auc": 0.4, "precision_at_5": 0.3, "diversity": 0.2, "cov
 RANKING_KS = (5, 10, 20)
 
 
-@dataclass(frozen=True)
-class ProcessingConfig:
-    rolling_windows: tuple[int, ...] = ROLLING_WINDOWS_DAYS
-    outlier_threshold: float = OUTLIER_THRESHOLD
-    tfidf_max_features: int = TFIDF_MAX_FEATURES
-    text_analysis: bool = True
-    rating_weights: dict = field(default_factory=lambda: dict(RATING_WEIGHTS))
-    # exact percentiles buffer every distinct value of a group; above this many
-    # rows per statistic the caller may switch to approx_percentile explicitly.
-    exact_quantiles: bool = True
-    approx_accuracy: int = 100000
-
-
 @dataclass(frozen=True)
 class ModelConfig:
     n_factors: int = 50
     reg: float = 0.01
     max_iter: int = 10
+    n_trees: int = 1000          # the fit stops early on its validation rows
+    max_depth: int = 6
     hybrid_weights: dict = field(default_factory=lambda: dict(HYBRID_WEIGHTS))
     ucb_alpha: float = 1.0
     epsilon: float = 0.1

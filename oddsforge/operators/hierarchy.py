@@ -10,6 +10,9 @@ from oddsforge.functions.expressions import (clean_key_text, cyclic_cos, cyclic_
                                              null_safe_flag, weekday_mon0)
 from oddsforge.operators.joins import catalogue_left_join, first_per_key
 
+# Order in which the first row of a bet id is taken.
+VIEW_ORDER = ("event_id", "market_id", "outcome_id", "bet_outcome_id", "user_id", "bet_timestamp", "bet_amount", "odds_used",
+              "settlement_timestamp", "market", "outcome_label", "bet_result")
 TEXT_KEYS = {"markets": ["market_name"], "outcomes": ["outcome_name"], "bets": ["market", "outcome_label"]}
 
 
@@ -68,16 +71,52 @@ def combine_views(classic: DataFrame, direct: DataFrame) -> DataFrame:
     """U1 + W1: union (classic first) and keep the first row per bet_id."""
     both = (classic.withColumn("_view", F.lit(0))
             .unionByName(direct.withColumn("_view", F.lit(1)), allowMissingColumns=True))
-    order = ["_view"] + [c for c in ("event_id", "market_id", "outcome_id", "bet_outcome_id", "user_id",
-                                      "bet_timestamp", "bet_amount", "odds_used", "settlement_timestamp",
-                                      "market", "outcome_label", "bet_result")
-                         if c in both.columns]
+    order = ["_view"] + [c for c in VIEW_ORDER if c in both.columns]
     kept = first_per_key(both, "bet_id", order).drop("_view")
     if "bet_outcome_id" in kept.columns and "outcome_id" in kept.columns:
         kept = kept.withColumn("outcome_id", F.coalesce("outcome_id", "bet_outcome_id"))
     return kept
 
 
+def combined_view(events: DataFrame, markets: DataFrame, outcomes: DataFrame, bets: DataFrame,
+                  users: DataFrame) -> DataFrame:
+    """J1–J5 + U1 + W1 in one pass over the bets: the rows of :func:`combine_views` over the two views.
+
+    A bet's first row is its first catalogue match (classic view) or, without one, its bare event (direct
+    view). So bets are matched against the first (market, outcome) of each narrow catalogue key, deduplicated
+    with these ids alone, and only the rows that stay are joined with event, market, outcome and user columns.
+    The views' unmatched rows have no bet id; of all such rows one stays, the first in the same order.
+    """
+    b = _bets_for_join(bets)
+    b = b.drop(*[c for c in b.columns if c in events.columns and c != "event_id"])     # the catalogue's column counts
+    catalogue = events_markets_outcomes(events.select("event_id"), markets, outcomes)
+    keys = catalogue.select("event_id", "market_name", "outcome_name", "market_id", "outcome_id")
+    first = (keys.groupBy("event_id", "market_name", "outcome_name").agg(F.min(F.struct("market_id", "outcome_id")).alias("_id"))
+             .select(F.col("event_id").alias("_e"), F.col("market_name").alias("_mn"), F.col("outcome_name").alias("_on"),
+                     F.col("_id.market_id").alias("market_id"), F.col("_id.outcome_id").alias("outcome_id"), F.lit(1).alias("_hit")))
+    key = (F.col("event_id") == F.col("_e")) & (F.col("market") == F.col("_mn")) & (F.col("outcome_label") == F.col("_on"))
+    matched = (b.join(events.select("event_id").distinct(), "event_id", "left_semi").join(first, key, "left")
+               .withColumn("_view", F.when(F.col("_hit").isNull(), 1).otherwise(0)).drop("_e", "_mn", "_on", "_hit"))
+    order = ["_view"] + [c for c in VIEW_ORDER if c in matched.columns]
+    kept = first_per_key(matched.filter(F.col("bet_id").isNotNull()), "bet_id", order)
+    # rows without a bet id: bets that lack one, catalogue rows and events that no bet met; one row of each kind at most
+    used = b.select(F.col("event_id").alias("_e"), F.col("market").alias("_mn"), F.col("outcome_label").alias("_on")).distinct()
+    idle = keys.join(used, (F.col("event_id") == F.col("_e")) & (F.col("market_name") == F.col("_mn"))
+                     & (F.col("outcome_name") == F.col("_on")), "left_anti")
+    idle = idle.agg(F.min(F.struct("event_id", "market_id", "outcome_id")).alias("r")).filter("r is not null").select(F.lit(0).alias("_view"), "r.*")
+    bare = events.select("event_id").join(used.select("_e").distinct(), F.col("event_id") == F.col("_e"), "left_anti")
+    bare = bare.agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit(1).alias("_view"), "event_id")
+    loose = (matched.filter(F.col("bet_id").isNull()).unionByName(idle, allowMissingColumns=True)
+             .unionByName(bare, allowMissingColumns=True))
+    rows = kept.unionByName(first_per_key(loose, "bet_id", order)).drop("_view")
+    mk = markets.drop("event_id").dropDuplicates(["market_id"])
+    oc = outcomes.dropDuplicates(["outcome_id", "market_id"])
+    rows = rows.join(events.dropDuplicates(["event_id"]), "event_id", "left")
+    rows = rows.join(mk.drop(*[c for c in rows.columns if c != "market_id"]), "market_id", "left")
+    rows = rows.join(oc.drop(*[c for c in rows.columns if c not in ("outcome_id", "market_id")]), ["outcome_id", "market_id"], "left")
+    return with_users(rows, users).withColumn("outcome_id", F.coalesce("outcome_id", "bet_outcome_id"))
+
+
 def coerce_timestamps(df: DataFrame, cols=("event_start_time", "bet_timestamp", "market_open_time")) -> DataFrame:
     """String timestamps -> timestamp, unparsable -> NULL."""
     for c in cols:

@@ -49,44 +49,69 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict:
     return out
 
 
+def fit_imputer(df: DataFrame, numeric: list[str], categorical: list[str], boolean: list[str] = (),
+                max_share: float | None = None) -> dict:
+    """F1 / F3 fit: the value that fills each column (median, mode); with ``max_share``, 0 or 'Unknown' where more
+    than that share is missing."""
+    heavy = set()
+    if max_share is not None:
+        both = [*numeric, *categorical]
+        shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in both]).collect()[0]
+        heavy = {c for c in both if (shares[c] or 0.0) > max_share}
+    med = {c: q[0] for c, q in _quantiles(df, [c for c in numeric if c not in heavy], [0.5]).items()}
+    modes = column_modes(df, [c for c in [*categorical, *boolean] if c not in heavy])
+    kinds = [(numeric, 0, med), (categorical, UNKNOWN, modes), (boolean, False, modes)]
+    return {c: empty if found.get(c) is None else found[c] for cols, empty, found in kinds for c in cols}
+
+
+def apply_imputer(df: DataFrame, fills: dict) -> DataFrame:
+    types = dict(df.dtypes)
+    return df.select(*[F.coalesce(F.col(c), F.lit(fills[c]).cast(types[c])).alias(c) if c in fills else F.col(c) for c in df.columns])
+
+
 def impute(df: DataFrame, strategy: str = "smart", numeric: list[str] | None = None,
-           categorical: list[str] | None = None) -> DataFrame:
-    """F1 / F2: 'smart' (median / mode / mode / leftover 0), 'median' (same, always),
-    'zero' and anything else (fill 0). Datetime forward fill needs an order and
-    lives in :func:`forward_fill` (W7)."""
+           categorical: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """F1 / F2: 'smart' (median / mode / mode / leftover 0; with ``order_by`` also times filled forward, then
+    backward, in that order), 'median' (same without times), 'zero' and anything else (fill 0)."""
     kinds = column_kinds(df)
     numeric = numeric if numeric is not None else kinds["numeric"]
     categorical = categorical if categorical is not None else kinds["categorical"]
     if strategy not in ("smart", "median"):
         return df.fillna(0)
-    med = {c: q[0] for c, q in _quantiles(df, numeric, [0.5]).items()}
-    modes = column_modes(df, categorical + kinds["boolean"])
-    fills = {}
-    for c in numeric:
-        fills[c] = F.coalesce(F.col(c), F.lit(med[c] if med[c] is not None else 0).cast(dict(df.dtypes)[c]))
-    for c in categorical:
-        fills[c] = F.coalesce(F.col(c), F.lit(modes[c] if modes[c] is not None else UNKNOWN))
-    for c in kinds["boolean"]:
-        fills[c] = F.coalesce(F.col(c), F.lit(modes[c] if modes[c] is not None else False))
-    out = df.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in df.columns])
+    out = apply_imputer(df, fit_imputer(df, numeric, categorical, kinds["boolean"]))
+    if strategy == "smart" and order_by:
+        out = fill_in_order(out, kinds["datetime"], order_by)
     return out.fillna(0)
 
 
 def impute_by_missing_share(df: DataFrame, numeric: list[str], categorical: list[str],
                             max_share: float = 0.5) -> DataFrame:
     """columns with > ``max_share`` missing -> 0 / 'Unknown'; else median / mode."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in numeric + categorical]).collect()[0]
-    heavy = {c for c in numeric + categorical if (shares[c] or 0.0) > max_share}
-    med = {c: q[0] for c, q in _quantiles(df, [c for c in numeric if c not in heavy], [0.5]).items()}
-    modes = column_modes(df, [c for c in categorical if c not in heavy])
-    fills = {}
-    for c in numeric:
-        v = 0 if c in heavy else (med[c] if med[c] is not None else 0)
-        fills[c] = F.coalesce(F.col(c), F.lit(v).cast(dict(df.dtypes)[c]))
-    for c in categorical:
-        v = UNKNOWN if c in heavy else (modes[c] if modes[c] is not None else UNKNOWN)
-        fills[c] = F.coalesce(F.col(c), F.lit(v))
-    return df.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in df.columns])
+    return apply_imputer(df, fit_imputer(df, numeric, categorical, max_share=max_share))
+
+
+def fill_in_order(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFrame:
+    """F1 (times): the last known value before a gap, or the next one at the start, in the order of
+    ``order_by`` over the whole table. Rows are range-partitioned and filled inside their partition; a small
+    table of each partition's first and last known values fills what a partition starts with."""
+    from oddsforge.session import cut_lineage
+
+    if not cols:
+        return df
+    # a partition id that is read back from files does not change when a task runs again
+    laid = cut_lineage(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+                       .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nth")))
+    inside = Window.partitionBy("_part").orderBy("_nth")
+    before = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ends = laid.groupBy("_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_nth"))).alias(f"_l_{c}") for c in cols],
+                                     *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_nth"))).alias(f"_f_{c}") for c in cols])
+    parts = Window.orderBy("_part")          # one row per partition
+    carried = ends.select("_part", *[F.coalesce(
+        F.last(f"_l_{c}", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)),
+        F.first(f"_f_{c}", ignorenulls=True).over(parts.rowsBetween(0, Window.unboundedFollowing))).alias(f"_c_{c}") for c in cols])
+    rows = laid.join(F.broadcast(carried), "_part")
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"_c_{c}")) for c in cols}
+    return rows.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def forward_fill(df: DataFrame, col: str, partition_by: list[str], order_by: list[str]) -> DataFrame:
@@ -119,42 +144,77 @@ def label_encode(df: DataFrame, col: str, table: DataFrame | None = None) -> Dat
             .drop("_lbl"))
 
 
-def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """F8: (x - median) / IQR, IQR 0 -> divide by 1 (exact percentiles)."""
+def fit_robust_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """F8 fit: (median, IQR) per column; IQR 0 -> 1."""
     q = _quantiles(df, cols, [0.25, 0.5, 0.75])
-    sel = {}
-    for c in cols:
-        q1, med, q3 = q[c]
-        iqr = (q3 - q1) if q1 is not None else 1.0
-        sel[c] = (F.col(c).cast("double") - F.lit(med if med is not None else 0.0)) / F.lit(iqr if iqr else 1.0)
-    return df.select(*[sel[c].alias(c) if c in sel else F.col(c) for c in df.columns])
+    return {c: (0.0, 1.0) if q[c][1] is None else (q[c][1], (q[c][2] - q[c][0]) or 1.0) for c in cols}
 
 
-def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL -> 0, then (x - mean) / population std (std 0 -> 1). Keys are never passed."""
+def fit_standard_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """F9 fit: (mean, population std) per column with NULL as 0; std 0 -> 1."""
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
     row = df.agg(*[exact_avg(x[c]).alias(f"m_{c}") for c in cols],
                  *[F.stddev_pop(x[c]).alias(f"s_{c}") for c in cols]).collect()[0]
-    sel = {c: (x[c] - F.lit(row[f"m_{c}"] or 0.0)) / F.lit(row[f"s_{c}"] or 1.0) for c in cols}
-    return df.select(*[sel[c].alias(c) if c in sel else F.col(c) for c in df.columns])
+    return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in cols}
 
 
-def clip_outliers_iqr(df: DataFrame, cols: list[str], k: float = OUTLIER_THRESHOLD) -> DataFrame:
-    """clip to [Q1 - k·IQR, Q3 + k·IQR]; columns with IQR 0 or no values are untouched (D12: k honoured)."""
-    q = _quantiles(df, cols, [0.25, 0.75])
-    sel = {}
-    for c in cols:
-        q1, q3 = q[c]
-        if q1 is None and q3 is None:
-            continue
-        q1, q3 = q1 or 0.0, q3 or 0.0
-        iqr = q3 - q1
-        if iqr == 0:
-            continue
-        lo, hi = q1 - k * iqr, q3 + k * iqr
+def apply_scaler(df: DataFrame, scales: dict[str, tuple[float, float]], null_as: float | None = None) -> DataFrame:
+    def scaled(c):
+        x = F.col(c).cast("double")
+        x = x if null_as is None else F.coalesce(x, F.lit(null_as))
+        return ((x - F.lit(scales[c][0])) / F.lit(scales[c][1])).alias(c)
+
+    return df.select(*[scaled(c) if c in scales else F.col(c) for c in df.columns])
+
+
+def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
+    """F8: (x - median) / IQR, IQR 0 -> divide by 1 (exact percentiles)."""
+    return apply_scaler(df, fit_robust_scaler(df, cols))
+
+
+def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
+    """NULL -> 0, then (x - mean) / population std (std 0 -> 1). Keys are never passed."""
+    return apply_scaler(df, fit_standard_scaler(df, cols), null_as=0.0)
+
+
+def fit_outlier_bounds(df: DataFrame, cols: list[str], k: float = OUTLIER_THRESHOLD) -> dict[str, tuple[float, float]]:
+    """F14 fit: [Q1 - k·IQR, Q3 + k·IQR] of the columns that have values and a spread (D12: k honoured)."""
+    out = {}
+    for c, (q1, q3) in _quantiles(df, cols, [0.25, 0.75]).items():
+        if q1 is not None and q3 != q1:
+            out[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    return out
+
+
+def apply_outlier_bounds(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    def clipped(c):
         x = F.col(c)
-        sel[c] = F.when(x.isNull(), x).otherwise(F.least(F.greatest(x.cast("double"), F.lit(lo)), F.lit(hi)))
-    return df.select(*[sel[c].alias(c) if c in sel else F.col(c) for c in df.columns])
+        return F.when(x.isNull(), x).otherwise(F.least(F.greatest(x.cast("double"), F.lit(bounds[c][0])), F.lit(bounds[c][1]))).alias(c)
+
+    return df.select(*[clipped(c) if c in bounds else F.col(c) for c in df.columns])
+
+
+def clip_outliers_iqr(df: DataFrame, cols: list[str], k: float = OUTLIER_THRESHOLD) -> DataFrame:
+    """clip to the fitted bounds; columns with IQR 0 or no values are untouched."""
+    return apply_outlier_bounds(df, fit_outlier_bounds(df, cols, k))
+
+
+def fitted_table(spark, imputer: dict | None = None, scaler: dict | None = None, bounds: dict | None = None) -> DataFrame:
+    """What was fitted, as rows (step, column, first, second, text) for a sink: a few rows per column."""
+    rows = []
+    for c, v in (imputer or {}).items():
+        rows.append(("impute", c, None, None, v) if isinstance(v, str) else ("impute", c, float(v), None, None))
+    rows += [("scale", c, float(a), float(b), None) for c, (a, b) in (scaler or {}).items()]
+    rows += [("bounds", c, float(a), float(b), None) for c, (a, b) in (bounds or {}).items()]
+    return spark.createDataFrame(rows, "step string, column string, first double, second double, text string")
+
+
+def fitted_from(table: DataFrame) -> dict[str, dict]:
+    """The dictionaries of :func:`fitted_table`, by step."""
+    out: dict[str, dict] = {"impute": {}, "scale": {}, "bounds": {}}
+    for r in table.collect():
+        out[r["step"]][r["column"]] = (r["text"] if r["text"] is not None else r["first"]) if r["step"] == "impute" else (r["first"], r["second"])
+    return out
 
 
 def replace_outliers_zscore(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:

@@ -60,7 +60,9 @@ def hierarchy(spark: SparkSession, d: str, stage: str = "full") -> DataFrame:
     direct = H.with_users(H.direct_view(ev, bt), us)
     if stage == "direct":
         return direct
-    comb = H.combine_views(classic, direct)
+    from oddsforge.session import cut_lineage
+
+    comb = H.combined_view(cut_lineage(ev), mk, oc, cut_lineage(bt), us)
     if stage == "combined":
         return comb
     comb = H.temporal_features(comb, tm.BETS_AS_OF)
@@ -69,7 +71,6 @@ def hierarchy(spark: SparkSession, d: str, stage: str = "full") -> DataFrame:
     comb = H.with_odds(comb, odds_history(spark, d))
     if stage == "odds":
         return comb
-    from oddsforge.session import cut_lineage
     return H.with_hierarchy_aggregates(cut_lineage(comb))
 
 

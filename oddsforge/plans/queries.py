@@ -579,6 +579,12 @@ from oddsforge.models import mf as MF  # noqa: E402
 from oddsforge.sources.tables import read_table  # noqa: E402
 
 
+def _fit_contextual(st, num):
+    """The classifier fitted on four fifths of the pairs, the rest stopping it early."""
+    h = F.pmod(F.xxhash64("user_id", "event_id"), F.lit(5))
+    return CX.fit(st.filter(h > 0), num, [], val=st.filter(h == 0))
+
+
 def _content_inputs(spark, d):
     emb = read_table(spark, d, "embeddings")
     n_vec = emb.count()                       # one scalar: the catalogue size
@@ -599,6 +605,7 @@ def m5_user_profiles(spark, d):
 def m6_m8_content_scores(spark, d):
     """M6 + M7 + M8: profile ‖ item features -> linear scorer -> pair predictions (rows-only)."""
     ratings, items = _content_inputs(spark, d)
+    items = CT.scale_items(items)
     prof = CT.user_profiles(ratings, items)
     pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), prof, items)
     model = CT.fit_scorer(pairs)
@@ -637,7 +644,7 @@ def _mf_ratings(spark, d):
 @register("m1_m4_mf_recommendations", rows_only='iterative model fit (ALS)')
 def m1_m4_mf_recommendations(spark, d):
     """M1 + M4 + J12: biased MF (ALS on residuals), top-10 per user (rows-only)."""
-    model = MF.fit(_mf_ratings(spark, d), rank=8, max_iter=5)
+    model = MF.fit(_mf_ratings(spark, d))
     return MF.recommend(model, 10)
 
 
@@ -645,7 +652,7 @@ def m1_m4_mf_recommendations(spark, d):
 def m2_m3_mf_validation(spark, d):
     """M2 + M3 + J14: hash split, fit on train, MSE on known validation pairs (rows-only)."""
     r = _mf_ratings(spark, d).withColumn("_h", F.pmod(F.xxhash64("user_idx", "item_idx", F.lit(42)), F.lit(5)))
-    model = MF.fit(r.filter("_h > 0").drop("_h"), rank=8, max_iter=5)
+    model = MF.fit(r.filter("_h > 0").drop("_h"))
     return MF.validation_mse(model, r.filter("_h = 0").drop("_h"))
 
 
@@ -657,7 +664,7 @@ def m13_m16_contextual_classifier(spark, d):
     h = F.pmod(F.xxhash64("user_id", "event_id"), F.lit(5))
     train, val = st.filter(h > 0), st.filter(h == 0)
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
-    model = CX.fit(train, num, ["odds_band"], val=val, max_iter=10, max_depth=4)
+    model = CX.fit(train, num, ["odds_band"], val=val)
     return CX.predict_proba(model, val).select("user_id", "event_id", "label", "p_positive")
 
 
@@ -1026,7 +1033,7 @@ def m16_feature_importances(spark, d):
     """GBT feature importances by name (rows-only)."""
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double"))
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
-    model = CX.fit(st, num, [], max_iter=10, max_depth=4)
+    model = _fit_contextual(st, num)
     return spark.createDataFrame(CX.feature_importances(model, num, []), "feature string, importance double")
 
 
@@ -1034,6 +1041,7 @@ def m16_feature_importances(spark, d):
 def m9_content_recommendations(spark, d):
     """M9: content top-10 for every user (exact under the linear scorer), rows-only."""
     ratings, items = _content_inputs(spark, d)
+    items = CT.scale_items(items)
     prof = CT.user_profiles(ratings, items)
     pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), prof, items)
     model = CT.fit_scorer(pairs)
@@ -1046,40 +1054,81 @@ def m15_candidate_ranking(spark, d):
     st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double")) \
         .withColumn("item_id", F.col("event_id"))
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
-    model = CX.fit(st, num, [], max_iter=10, max_depth=4)
+    model = _fit_contextual(st, num)
     return CX.rank_candidates(model, st, 5).select("user_id", "item_id", "p_positive", "rank")
 
 
-@register("m10_hybrid_fit_predict", rows_only="iterative model fits (ALS, gradient-boosted trees)")
+@register("m10_hybrid_fit_predict", rows_only="iterative model fits (ALS, linear regression, gradient-boosted trees)")
 def m10_hybrid_fit_predict(spark, d):
-    """M10 + M11: fit MF and contextual sub-models (content has no event features here and
-    is recorded as failed -> zeros), then the weighted hybrid score per (user, event)."""
+    """M10 + M11: fit all three sub-models (MF on the rating matrix, content scorer on the events' feature vectors,
+    contextual trees), then the weighted hybrid score per (user, event)."""
+    from pyspark.ml.functions import vector_to_array
+
     from oddsforge.session import cut_lineage
-    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double"))
+    st = cut_lineage(_ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("double")))
     coo = cut_lineage(R.rating_matrix(R.composite_scores(st)))
     num = ["bet_frequency", "total_stake", "avg_odds", "live_bet_ratio", "avg_timing"]
-
-    def fail():
-        raise ValueError("no content features for events")
-
-    models = HY.fit_all({
-        "collaborative": lambda: MF.fit(coo.select("user_idx", F.col("event_idx").alias("item_idx"), "rating"),
-                                        rank=8, max_iter=5),
-        "content_based": fail,
-        "contextual": lambda: CX.fit(st, num, [], max_iter=10, max_depth=4),
+    vectors = cut_lineage(EVF.event_vectors(EVF.event_features_long(D.events(spark, d))).withColumnRenamed("event_id", "item_id"))
+    rated = coo.select("user_id", F.col("event_id").alias("item_id"), "rating")
+    profiles = cut_lineage(CT.vector_profiles(rated, vectors))
+    arrays = vectors.select("item_id", vector_to_array("features").alias("item"))
+    models, _ = HY.fit_all({
+        "collaborative": lambda: MF.fit(coo.select("user_idx", F.col("event_idx").alias("item_idx"), "rating")),
+        "content_based": lambda: CT.fit_scorer(CT.pair_features(rated, profiles, arrays)),
+        "contextual": lambda: _fit_contextual(st, num),
     })
     pairs = coo.join(st.select("user_id", "event_id", *num), ["user_id", "event_id"])
 
     def mf_score(p):
         return MF.predict(models["collaborative"], p.withColumn("item_idx", F.col("event_idx")))
 
+    def ct_score(p):
+        f = CT.pair_features(p.select("user_id", F.col("event_id").alias("item_id")), profiles, arrays)
+        return CT.score_pairs(models["content_based"], f).select("user_id", F.col("item_id").alias("event_id"), F.col("prediction").alias("score"))
+
     def cx_score(p):
         return CX.predict_proba(models["contextual"], p).withColumn("score", F.col("p_positive"))
 
-    return HY.hybrid_predict(pairs, {"collaborative": mf_score if models["collaborative"] else None,
-                                     "content_based": None,
-                                     "contextual": cx_score if models["contextual"] else None},
-                             ["user_id", "event_id"])
+    return HY.hybrid_predict(pairs, {"collaborative": mf_score, "content_based": ct_score, "contextual": cx_score}, ["user_id", "event_id"])
+
+
+@register("s12_fit_apply_roundtrip", """
+  WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, c_mktsegment, c_name FROM customer),
+  tr AS (SELECT * FROM c WHERE c_custkey % 5 <> 0), te AS (SELECT * FROM c WHERE c_custkey % 5 = 0),
+  m AS (SELECT quantile_cont(bal, 0.5) AS med FROM tr),
+  f AS (SELECT COALESCE(bal, med) AS x FROM tr, m),
+  q AS (SELECT quantile_cont(x, 0.25) - 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) AS lo,
+               quantile_cont(x, 0.75) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) AS hi FROM f),
+  s AS (SELECT quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr
+        FROM (SELECT least(greatest(x, lo), hi) AS x FROM f, q)),
+  seg AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS code FROM (SELECT COALESCE(c_mktsegment, 'Unknown') AS l FROM tr UNION SELECT 'Unknown')),
+  nam AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS code FROM (SELECT COALESCE(c_name, 'Unknown') AS l FROM tr UNION SELECT 'Unknown'))
+  SELECT c_custkey, (least(greatest(COALESCE(bal, med), lo), hi) - mid) / CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END AS bal,
+         COALESCE(seg.code, (SELECT code FROM seg WHERE l = 'Unknown')) AS c_mktsegment_encoded,
+         COALESCE(nam.code, (SELECT code FROM nam WHERE l = 'Unknown')) AS c_name_encoded
+  FROM te CROSS JOIN m CROSS JOIN q CROSS JOIN s LEFT JOIN seg ON seg.l = te.c_mktsegment LEFT JOIN nam ON nam.l = te.c_name""", cols6=["bal"])
+def s12_fit_apply_roundtrip(spark, d):
+    """S12 + F1 + F4 + F8 + F14 + U5: imputer, outlier bounds, scaler and label tables fitted on the training customers, saved,
+    loaded and applied to the others, whose names are all unseen labels."""
+    import uuid
+
+    from oddsforge.session import checkpoint_dir
+    from oddsforge.sources import sinks as SK2
+    c = read_table(spark, d, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("bal"), "c_mktsegment", "c_name")
+    train, test = c.filter("c_custkey % 5 <> 0"), c.filter("c_custkey % 5 = 0")
+    fills = PR.fit_imputer(train, ["bal"], [])
+    bounds = PR.fit_outlier_bounds(PR.apply_imputer(train, fills), ["bal"])
+    scales = PR.fit_robust_scaler(PR.apply_outlier_bounds(PR.apply_imputer(train, fills), bounds), ["bal"])
+    base = f"{checkpoint_dir(spark)}/fitted-{uuid.uuid4().hex}"
+    labels = ["c_mktsegment", "c_name"]
+    SK2.save_artifacts(base, {"steps": PR.fitted_table(spark, fills, scales, bounds)} | {k: PR.label_table(train, k) for k in labels})
+    back = SK2.load_artifacts(spark, base, ["steps", *labels])
+    steps = PR.fitted_from(back["steps"])
+    out = PR.apply_scaler(PR.apply_outlier_bounds(PR.apply_imputer(test, steps["impute"]), steps["bounds"]), steps["scale"])
+    for k in labels:
+        out = PR.label_encode(out, k, back[k])
+    return out.select("c_custkey", "bal", "c_mktsegment_encoded", "c_name_encoded")
 
 
 @register("s12_artifacts_roundtrip", rows_only="artifact sink round trip (file writes and reads)")
