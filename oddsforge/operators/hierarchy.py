@@ -39,6 +39,9 @@ def events_markets_outcomes(events: DataFrame, markets: DataFrame, outcomes: Dat
 
 
 def _bets_for_join(bets: DataFrame) -> DataFrame:
+    """P15 + D21: a bare ``id`` is the bet id; the bet's own outcome id gets a name of its own."""
+    if "bet_id" not in bets.columns and "id" in bets.columns:
+        bets = bets.withColumnRenamed("id", "bet_id")
     return bets.withColumnRenamed("outcome_id", "bet_outcome_id")   # D21
 
 
@@ -156,14 +159,17 @@ def temporal_features(df: DataFrame, as_of: str) -> DataFrame:
     return df.select(*keep, *[e.alias(n) for n, e in new.items() if n not in cols])
 
 
-def odds_statistics(odds_history: DataFrame) -> DataFrame:
-    """A1: per-outcome odds statistics (reference volatility/drift rules kept, D15)."""
+def odds_statistics(odds_history: DataFrame, epsilon: float | None = None) -> DataFrame:
+    """A1: per-outcome odds statistics (reference volatility/drift rules kept, D15); with ``epsilon`` the
+    volatility is std / (mean + epsilon) without the zero rules."""
     v = F.col("odds_value")
     s = (odds_history.filter(F.col("outcome_id").isNotNull()).groupBy("outcome_id")
          .agg(F.min(v).alias("odds_min"), F.max(v).alias("odds_max"), exact_avg(v).alias("odds_mean"),
               F.stddev_samp(v).alias("odds_std"), F.count(v).alias("odds_updates_count"),
               F.min("timestamp").alias("first_odds_time"), F.max("timestamp").alias("last_odds_time")))
     mean, std, mn, mx = F.col("odds_mean"), F.col("odds_std"), F.col("odds_min"), F.col("odds_max")
+    if epsilon is not None:
+        return s.withColumn("odds_volatility", std / (mean + F.lit(epsilon))).withColumn("odds_range", mx - mn)
     return (s.withColumn("odds_volatility", F.when((mean == 0) | (std == 0), F.lit(0.0)).otherwise(std / mean))
             .withColumn("odds_range", mx - mn)
             .withColumn("odds_drift", F.when(mn == 0, F.lit(0.0)).otherwise((mx - mn) / mn)))

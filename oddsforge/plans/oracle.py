@@ -118,6 +118,20 @@ def rounded(inner: str, cols6=(), cols2=()) -> str:
     return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{inner}\n) _r"
 
 
+# ---------------------------------------------------------------------------
+# RFM segment membership in order, written out apart from the plan's own table.
+SEGMENTS = (
+    ("Champions", ("555", "554", "544", "545", "454", "455", "445")),
+    ("Loyal Customers", ("543", "444", "435", "355", "354", "345", "344", "335")),
+    ("Potential Loyalists", ("512", "511", "422", "421", "412", "411", "311")),
+    ("New Customers", ("155", "154", "144", "214", "215", "115", "114")),
+    ("Promising", ("512", "511", "311", "411")),
+    ("Need Attention", ("133", "123", "132", "143", "244")),
+    ("About to Sleep", ("214", "215", "115", "114")),
+    ("At Risk", ("111", "112", "121", "131", "141", "151")),
+)
+
+
 # ---------------------------------------------------------------------------
 # F20 / W2..W5 behavioural features
 
@@ -204,7 +218,7 @@ ut AS (SELECT uw.*{', ' + ', '.join(trends) if trends else ''} FROM uw)"""
         bins.append(f"CAST(CASE WHEN st.{name}_mn = st.{name}_mx THEN 1 ELSE {b} END AS INTEGER) AS {name}")
     seg = "CASE " + " ".join(
         f"WHEN rfm_score IN ({', '.join(repr(m) for m in members)}) THEN '{name}'"
-        for name, members in __import__('oddsforge.operators.behaviour', fromlist=['x']).RFM_SEGMENTS
+        for name, members in SEGMENTS
     ) + " ELSE 'Lost' END"
     return sql + f""",
 st AS (SELECT {', '.join(stats)} FROM ut),

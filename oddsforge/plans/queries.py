@@ -136,6 +136,14 @@ def p2_p4_temporal(spark, d):
     return D.hierarchy(spark, d, "temporal")
 
 
+@register("a1_odds_statistics_epsilon", W(["odds_stats"], """
+  SELECT * EXCLUDE (odds_drift, odds_volatility), odds_std / (odds_mean + 1e-8) AS odds_volatility FROM odds_stats"""),
+          cols6=[c for c in _O6 if c != "odds_drift"])
+def a1_odds_statistics_epsilon(spark, d):
+    """A1, second form: volatility as std / (mean + 1e-8)."""
+    return H.odds_statistics(D.odds_history(spark, d), epsilon=1e-8)
+
+
 @register("a1_odds_statistics", W(["odds_stats"], "SELECT * FROM odds_stats"), cols6=_O6)
 def a1_odds_statistics(spark, d):
     """A1: per-outcome odds statistics."""
@@ -1025,7 +1033,8 @@ def s7_load_all(spark, d):
     loaders = {"users": lambda: D.users(spark, d), "events": lambda: D.events(spark, d),
                "markets": lambda: D.markets(spark, d), "outcomes": lambda: D.outcomes(spark, d),
                "bets": lambda: D.bets(spark, d), "odds_history": lambda: D.odds_history(spark, d)}
-    return Q.table_row_counts(load_all(spark, loaders))
+    tables, _ = load_all(spark, loaders, empty_on_error=False)
+    return Q.table_row_counts(tables)
 
 
 @register("m16_feature_importances", rows_only='iterative model fit (gradient-boosted trees)')

@@ -133,21 +133,26 @@ TABLE_SCHEMAS = {
 }
 
 
-def load_all(spark: SparkSession, loaders: dict, options: dict | None = None) -> dict[str, DataFrame]:
-    """Build every table plan; a table whose plan fails to resolve becomes a typed empty table.
+def load_all(spark: SparkSession, loaders: dict, options: dict | None = None,
+             empty_on_error: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Build every table plan. Returns the tables and, for those that failed, the reasons.
 
-    ``loaders`` maps a table name to a zero-argument-plus-options callable.
+    ``loaders`` maps a table name to a zero-argument-plus-options callable. With ``empty_on_error`` (as in the
+    reference) a failed table becomes a typed empty one; otherwise the first error is raised.
     """
-    out = {}
+    tables, reasons = {}, {}
     options = options or {}
     for name, fn in loaders.items():
         try:
             df = fn(**options.get(name, {}))
             df.schema  # resolve the plan now so a missing table/column is caught here
-            out[name] = df
-        except Exception:  # noqa: BLE001 — failed sources degrade to empty, as in the reference
-            out[name] = spark.createDataFrame([], TABLE_SCHEMAS.get(name, T.StructType([])))
-    return out
+            tables[name] = df
+        except Exception as e:
+            if not empty_on_error:
+                raise
+            reasons[name] = f"{type(e).__name__}: {e}"
+            tables[name] = spark.createDataFrame([], TABLE_SCHEMAS.get(name, T.StructType([])))
+    return tables, reasons
 
 
 def execute_query(spark: SparkSession, query: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def reward_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+def reward_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """Reward events (action = event type, reward = value > 50) from a parquet file stream.
 
     A file stream source watches a directory or glob; a single file is turned
@@ -52,14 +52,17 @@ def run_arm_updates(spark: SparkSession, path: str, out_dir: str | None = None)
     base = out_dir or os.path.join(checkpoint_dir(spark), f"arm-state-{uuid.uuid4().hex}")
     table = os.path.join(base, "state")
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    def write(batch: DataFrame, epoch: int) -> None:
+        # a folder per epoch: a repeated epoch writes the same rows again, and readers keep the last whole one
+        batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
     q = (arm_state_query(reward_stream(spark, path)).writeStream.outputMode("complete")
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table)
+    states = spark.read.parquet(table)
+    last = states.agg(F.max("epoch")).first()[0]
+    return states.filter(F.col("epoch") == last).drop("epoch")
 
 
 def exploration_after(state: DataFrame, epsilon0: float = 0.1) -> DataFrame:
