@@ -5,8 +5,8 @@ key characters is scored by two first-order character Markov models, one of rand
 ordinary identifiers; where the log-likelihood ratio of its characters favours "random" by ``min_llr`` nats
 or more, the run is a span of kind ``markov`` unless it overlaps a base span.
 
-Training: the labelled samples are the values of base matches (random) and all other runs of key characters
-(ordinary) in a sample of about ``train_docs`` documents, taken by a hash of doc_id. Only counts of
+Training: the labelled samples are the values of base matches (random) and the other runs of key characters
+that occur more than once (ordinary) in a sample of about ``train_docs`` documents, taken by a hash of doc_id. Only counts of
 character pairs (at most 67 x 67 for each model) come to the driver. Scoring covers every whole text.
 
 Defined results: null text is empty and has no spans; repeated rows each get their row; with no documents to
@@ -27,6 +27,7 @@ HEX = "[0-9a-f]{24,}"          # the same spans as [0-9a-f]+ of 24 characters or
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET)
+BACK_OFF = 20.0  # pairs that the characters' own shares count for after each character
 PAIRS = r"(?=([A-Za-z0-9+/_=-]{2}))"
 
 
@@ -65,19 +66,26 @@ def _overlaps(start: Column, end: Column, spans: Column) -> Column:
 
 def train_models(docs: DataFrame, train_docs: int = 4000) -> list[float]:
     """Log ratio of P(next | previous) under random strings and under ordinary identifiers, row by row of the
-    alphabet's pairs; both with one added count per pair."""
+    alphabet's pairs; a pair's share falls back on the second character's own share, and that on one count each."""
     rows = docs.count()  # read from the files' footers
     share = min(1.0, train_docs / max(rows, 1))
     sample = base_spans(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
     base = F.concat("assign", "access", "hex")
     marked = sample.select(base.alias("base"), "text")
-    positive = marked.select(F.explode(F.transform("base", lambda s: s["value"])).alias("run"), F.lit(1).alias("label"))
+    positive = marked.select(F.explode(F.transform("base", lambda s: s["value"])).alias("run")).select("run", F.lit(1).alias("label"), F.lit(1).cast("long").alias("times"))
     runs = marked.select("base", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("run"))
-    negative = runs.filter(~F.exists("base", lambda s: F.contains(s["value"], F.col("run")) | F.contains(F.col("run"), s["value"]))).select("run", F.lit(0).alias("label"))
-    pairs = positive.unionByName(negative).select("label", F.explode(F.regexp_extract_all("run", F.lit(PAIRS), F.lit(1))).alias("pair"))
-    seen = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = {(k, a): N + sum(seen.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
-    log_p = lambda k, a, b: math.log((seen.get((k, a + b), 0) + 1) / total[k, a])
+    negative = runs.filter(~F.exists("base", lambda s: F.contains(s["value"], F.col("run")) | F.contains(F.col("run"), s["value"])))
+    negative = negative.groupBy("run").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("run", F.lit(0).alias("label"), "times")
+    pairs = positive.unionByName(negative).select("label", "times", F.explode(F.regexp_extract_all("run", F.lit(PAIRS), F.lit(1))).alias("pair"))
+    seen = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.sum("times").alias("n")).collect()}
+    own = {(k, b): sum(seen.get((k, a + b), 0) for a in ALPHABET) for k in (0, 1) for b in ALPHABET}
+    every = {k: sum(own[k, b] for b in ALPHABET) for k in (0, 1)}
+    after = {(k, a): sum(seen.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
+
+    def log_p(k: int, a: str, b: str) -> float:
+        alone = (own[k, b] + 1) / (every[k] + N)
+        return math.log((seen.get((k, a + b), 0) + BACK_OFF * alone) / (after[k, a] + BACK_OFF))
+
     return [round(log_p(1, a, b) - log_p(0, a, b), 4) for a in ALPHABET for b in ALPHABET]
 
 
