@@ -173,11 +173,95 @@ def test_content_recommendations_match_brute_force(spark):
     prof = CT.user_profiles(ratings, emb)
     pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), prof, emb)
     model = CT.fit_scorer(pairs)
-    got = {(r.user_id, r["rank"]): r.item_id for r in CT.recommend_all(model, prof, emb, 5).collect()}
+    got = {(r.user_id, r["rank"]): (r.item_id, r.score) for r in CT.recommend_all(model, prof, emb, 5, block=40).collect()}
     # brute force: every user × every item through the fitted model (fixture only)
+    product = F.zip_with("profile", "v", lambda p, x: p * x)
     allp = (CT.profile_arrays(prof).crossJoin(emb.select("item_id", F.col("embedding").cast("array<double>").alias("v")))
-            .select("user_id", "item_id", array_to_vector(F.concat("profile", "v")).alias("features")))
+            .select("user_id", "item_id", array_to_vector(F.concat("profile", "v", product)).alias("features")))
+    scored = {(r.user_id, r.item_id): r.prediction for r in model.transform(allp).collect()}
     w = Window.partitionBy("user_id").orderBy(F.col("prediction").desc(), F.col("item_id"))
-    ref = {(r.user_id, r.r): r.item_id for r in model.transform(allp).withColumn("r", F.row_number().over(w))
+    ref = {(r.user_id, r.r): r.prediction for r in model.transform(allp).withColumn("r", F.row_number().over(w))
            .filter("r <= 5").collect()}
-    assert got == ref
+    assert got.keys() == ref.keys()
+    for (user, rank), (item, score) in got.items():
+        assert abs(score - ref[user, rank]) < 1e-9 and abs(score - scored[user, item]) < 1e-9
+    lists = {}
+    for (user, rank), (item, _) in sorted(got.items()):
+        lists.setdefault(user, []).append(item)
+    assert len(set(map(tuple, lists.values()))) > 1       # users get lists of their own
+
+
+def test_user_without_known_items_has_a_zero_profile(spark):
+    from oddsforge.models import content as CT
+
+    items = spark.createDataFrame([(1, [1.0, 3.0]), (2, [3.0, 5.0])], "item_id long, embedding array<double>")
+    ratings = spark.createDataFrame([(10, 1, 1.0), (10, 2, 3.0), (10, 9, 5.0), (20, 9, 4.0)], "user_id long, item_id long, rating double")
+    got = {r.user_id: r.profile for r in CT.profile_arrays(CT.user_profiles(ratings, items)).collect()}
+    assert got == {10: [2.5, 4.5], 20: [0.0, 0.0]}
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from oddsforge.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=3000), 2)
+    df = spark.createDataFrame([(float(v), None, 7.0) for v in x] + [(None, None, None)], "a double, b double, c double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, {c: F.col(c) for c in "abc"}, probs)
+    assert np.allclose(got["a"], np.quantile(x, probs)) and got["b"] == [None] * 5 and got["c"] == [7.0] * 5
+
+
+def test_combined_view_equals_the_two_views(spark):
+    from oddsforge.operators import hierarchy as H
+
+    ev = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "event_id long, sport string")
+    mk = spark.createDataFrame([(10, 1, "win"), (11, 1, "win"), (20, 2, "win")], "market_id long, event_id long, market_name string")
+    oc = spark.createDataFrame([(100, 10, "x"), (101, 11, "x"), (102, 20, "y")], "outcome_id long, market_id long, outcome_name string")
+    bets = spark.createDataFrame([(1, 7, 1, 500, 5.0, "win", "x"), (1, 8, 2, 501, 6.0, "win", "q"), (2, 7, 2, 502, 1.0, "win", "none"), (3, 9, 9, 503, 2.0, "win", "x"),
+                                  (4, 9, 1, 504, 2.0, "lose", "x")],
+                                 "bet_id long, user_id long, event_id long, outcome_id long, bet_amount double, market string, outcome_label string")
+    us = spark.createDataFrame([(7, "FR"), (8, "DE")], "user_id long, user_country string")
+    cat = H.events_markets_outcomes(ev, mk, oc)
+    two = H.combine_views(H.with_users(H.classic_view(cat, bets), us), H.with_users(H.direct_view(ev, bets), us))
+    one = H.combined_view(ev, mk, oc, bets, us)
+    cols = sorted(two.columns)
+    assert sorted(one.columns) == cols
+    rows = lambda df: sorted(map(tuple, df.select(*cols).collect()), key=repr)
+    assert rows(one) == rows(two)
+
+
+def test_fill_in_order(spark):
+    from oddsforge.operators.prep import fill_in_order
+
+    rows = [(i, None if i % 7 else float(i)) for i in range(3, 400)]
+    df = spark.createDataFrame(rows, "i long, x double").repartition(9)
+    got = {r.i: r.x for r in fill_in_order(df, ["x"], ["i"]).collect()}
+    assert got == {i: float(max(i - i % 7, 7)) for i in range(3, 400)}
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from oddsforge.session import checkpoint_dir
+
+    undefined = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k, d: None),
+                         _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: undefined)))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
+
+
+def test_entry_needs_no_jar_and_no_session():
+    import os
+    import subprocess
+    import sys
+
+    code = ("import glob; glob.glob = lambda *a, **k: []\n"
+            "import __spark_entry__ as e; from pyspark.sql import SparkSession\n"
+            "assert e.queries() and e.oracle_sql() and SparkSession.getActiveSession() is None")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
