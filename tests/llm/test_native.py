@@ -140,6 +140,8 @@ def brute_leaks(docs, items, least=0.8):
             if not iw:
                 continue
             k = min(5, len(iw))
+            if not cut(ws, k).keys() & cut(iw, k).keys():
+                continue  # nothing in common, similarity 0
             best = max((sum((cut(ws[s : s + len(iw)], k) & cut(iw, k)).values()) / max(1, sum((cut(ws[s : s + len(iw)], k) | cut(iw, k)).values())) for s in range(len(ws))), default=0)
             if best >= least:
                 out[i, j] = round(best, 9)
