@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 from oddsforge.llm.bpe import PATTERN, SPACE
 from oddsforge.llm.words import Pieces, Trie
 
-LONGEST_PIECE, WIDE, CACHE = 16, 48, 300_000
+WIDE, CACHE = 48, 300_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
+LONGEST_PIECE = 128  # bytes of its longest piece; a Counter takes the lengths from the pieces themselves
 
 
 def read_scores(path: str | None = None) -> dict[bytes, float]:
-    """Pieces of at most LONGEST_PIECE bytes and their scores."""
+    """All pieces and their scores."""
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         ranks = [line.split() for line in f if line.strip()]
-    scores = {base64.b64decode(p): -float(np.log(int(r) + 1.0)) for p, r in ranks}
-    return {p: s for p, s in scores.items() if len(p) <= LONGEST_PIECE}
+    return {base64.b64decode(p): -float(np.log(int(r) + 1.0)) for p, r in ranks}
 
 
 class Counter:
@@ -55,7 +55,9 @@ class Counter:
         best = [(0.0, 0)]
         for i in range(1, len(word) + 1):
             top = (-np.inf, 0)
-            for size in range(1, min(i, LONGEST_PIECE) + 1):
+            for size in self.pieces.lengths:
+                if size > i:
+                    break
                 s = self.scores.get(word[i - size : i])
                 if s is not None and best[i - size][0] + s > top[0]:
                     top = (best[i - size][0] + s, best[i - size][1] + 1)

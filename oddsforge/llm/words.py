@@ -38,6 +38,20 @@ def window_hashes(m: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def prefix_hashes(m: np.ndarray) -> np.ndarray:
+    """Polynomial hashes (mod 2**64, from zero) of each row's first bytes, by their number."""
+    out = np.zeros((m.shape[0], m.shape[1] + 1), U)
+    for j in range(m.shape[1]):
+        out[:, j + 1] = out[:, j] * BASE + m[:, j] + U(1)
+    return out
+
+
+def run_hashes(before: np.ndarray, upto: np.ndarray, size: int) -> np.ndarray:
+    """``window_hashes`` of runs of ``size`` bytes from the prefix hashes at their ends."""
+    power = U(pow(int(BASE), size, 1 << 64))
+    return upto + (U(size) - before) * power
+
+
 def finished(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)
     return h ^ (h >> U(29))
@@ -47,7 +61,8 @@ class Pieces:
     """The pieces of a fixed vocabulary, looked up by hash; a bit table turns most misses away."""
 
     def __init__(self, pieces: list[bytes]):
-        self.longest = max(map(len, pieces))
+        self.lengths = sorted(set(map(len, pieces)))
+        self.longest = self.lengths[-1]
         keys = np.concatenate([finished(window_hashes(byte_matrix([p])[0], len(p))[0]) for p in pieces])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
@@ -84,14 +99,14 @@ class Trie:
     def lattice(self, pieces: Pieces):
         """Per depth: the rows that own a node there, and per piece length that ends there the places in these rows,
         the owners of the node where the piece starts, and the piece. Each shared prefix comes once."""
+        runs = prefix_hashes(self.m)
         for d in range(1, self.m.shape[1] + 1):
             rows = np.flatnonzero(self.new[:, d])
             found = []
-            for size in range(1, min(d, pieces.longest) + 1):
-                h = np.full(len(rows), U(size), U)
-                for j in range(size):
-                    h = h * BASE + self.m[rows, d - size + j] + U(1)
-                ids = pieces.find(h)
+            for size in pieces.lengths:
+                if size > d:
+                    break
+                ids = pieces.find(run_hashes(runs[rows, d - size], runs[rows, d], size))
                 at = np.flatnonzero(ids >= 0)
                 if len(at):
                     found.append((size, at, self.owner[rows[at], d - size], ids[at]))

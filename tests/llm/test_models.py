@@ -1,5 +1,6 @@
 """Operators 4, 6, 7 and 9: exact round trips, brute force over all segmentations, accuracy on rows that were held out."""
 
+import base64
 import functools
 import math
 import random
@@ -63,6 +64,25 @@ def test_token_counts(spark, make_docs):
     assert token_counts.token_counts(make_docs([])).count() == 0
 
 
+def test_token_counts_use_every_piece(spark, make_docs):
+    with open(public_tokenizers.path(token_counts.VOCABULARY), "rb") as f:
+        scores = {base64.b64decode(p): -float(np.log(int(r) + 1.0)) for p, r in map(bytes.split, f)}
+
+    def best(word):
+        top = [(0.0, 0, 0)]
+        for i in range(1, len(word) + 1):
+            top.append(max((top[j][0] + scores[word[j:i]], j - i, top[j][2] + 1) for j in range(i) if word[j:i] in scores))
+        return top[-1][2]
+
+    long = sorted(p.decode() for p in scores if len(p) > 16 and p.isascii())
+    rules = ["-" * 64, " " + "-" * 64, "=" * 64, "_" * 64, "#" * 32, "*" * 32, "-" * 300, "=" * 47, " responsibilities", " telecommunications"]
+    rows = list(enumerate(rules + long + ["x" + p + "y" for p in long]))
+    pattern = token_counts.Counter(scores).pattern
+    want = {i: sum(best(w.encode()) for w in pattern.findall(t)) for i, t in rows}
+    got = dict(map(tuple, token_counts.token_counts(make_docs(rows)).collect()))
+    assert got == want and [got[i] for i in (0, 2, 3, 8)] == [1, 1, 1, 1]
+
+
 def test_language_forward_sums_all_segmentations():
     names = [b"a", b"b", b"ab", b"aba", b"c", b"ca"]
     p = np.array([[0.3, 0.1], [0.2, 0.2], [0.2, 0.1], [0.1, 0.3], [0.1, 0.2], [0.1, 0.1]])
