@@ -1,7 +1,9 @@
 """Operator 3: approximate nearest neighbours on shifted space-filling curves.
 
 Vectors are projected at random to a few dimensions, shifted, and put in the order of their Hilbert keys, once
-for each curve. Spark range-partitions each ordering; a vector's rank in it places it in a block of ``block``
+for each curve. Each projected dimension is scaled by its own quantiles (of a sample, which places rows and drops none),
+so a tight group gets as much of the grid as it has rows and a far vector stretches nothing; rows of one cell go
+by one more projection, another on each curve. Spark range-partitions each ordering; a vector's rank in it places it in a block of ``block``
 ranks. A query looks at the ``window`` share of all ranks around its own on every curve: it is sent to the blocks
 its windows touch, reranks their vectors by the exact distance, and the blocks' lists merge into one.
 
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from oddsforge.llm.common import written
 
 U = np.uint64
-DIMS, BITS = 6, 8  # a key has DIMS * BITS bits
+DIMS, BITS = 6, 10  # a key has DIMS * BITS bits
+KNOTS, SAMPLE = 1024, 20_000  # quantiles of a projected dimension, and about how many vectors they are taken from
+FILL = 0.7  # share of the grid's side between the outer quantiles; the rest is room for shifts
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -78,12 +82,17 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, curves: int =
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = min(DIMS, first["d"])
-    spread = points.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("square")).orderBy("i").toPandas()
-    centre = spread["mean"].to_numpy()
+    some = points if n <= SAMPLE else points.filter(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(SAMPLE / n * 1_000_000) + 1)
+    sample = np.array([r["v"] for r in some.select("v").collect()])
+    if not len(sample):
+        sample = np.array([points.first()["v"]])
+    centre = np.median(sample, axis=0)
     rng = np.random.default_rng(seed)
     turns = [np.linalg.qr(rng.normal(size=(first["d"], dims)))[0] for _ in range(curves)]
-    wide = float(np.sqrt(max((spread["square"] - spread["mean"] ** 2).sum() / first["d"], 1e-30)))
-    shifts = rng.uniform(-0.15, 0.15, (curves, dims))
+    shifts = rng.uniform(FILL / 2 - 0.5, 0.5 - FILL / 2, (curves, dims))
+    ties = rng.normal(size=(curves, first["d"]))
+    at = np.linspace(0, 1, KNOTS)
+    knots = [np.quantile((sample - centre) @ t, at, axis=0) for t in turns]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -92,12 +101,14 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, curves: int =
                 v = b.column(0)
                 x = v.flatten().to_numpy().reshape(b.num_rows, -1) - centre
                 for c in range(curves):
-                    y = x @ turns[c] / (8 * wide) + 0.5 + shifts[c]
+                    y = x @ turns[c]
+                    y = np.stack([np.interp(y[:, j], knots[c][:, j], at) for j in range(dims)], axis=1)
+                    y = (y - 0.5) * FILL + 0.5 + shifts[c]
                     cells = np.clip(y * (1 << BITS), 0, (1 << BITS) - 1).astype(U)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(hilbert_keys(cells, BITS)), v, b.column(1)], names=["curve", "key", "v", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(hilbert_keys(cells, BITS)), pa.array(x @ ties[c]), v, b.column(1)], names=["curve", "key", "tie", "v", "ids"])
 
-    laid = points.mapInArrow(keys, "curve int, key long, v array<double>, ids array<long>")
-    laid = laid.repartitionByRange("curve", "key", "v").sortWithinPartitions("curve", "key", "v")
+    laid = points.mapInArrow(keys, "curve int, key long, tie double, v array<double>, ids array<long>")
+    laid = laid.repartitionByRange("curve", "key", "tie", "v").sortWithinPartitions("curve", "key", "tie", "v")
     laid = written(laid.select("curve", "key", "v", "ids", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("nth")))
     # ranks: rows of the partitions before, less those of earlier curves
     parts = laid.groupBy("part", "curve").agg(F.count(F.lit(1)).alias("c"), F.min("nth").alias("from"))  # a row per partition and curve

@@ -41,6 +41,26 @@ def test_nearest_recall_on_embeddings(spark):
             assert all(abs(exact[c] - s) < 1e-9 for s, c in got[q])
 
 
+@pytest.mark.parametrize("shape", ["group", "outlier"])
+def test_nearest_recall_on_uneven_vectors(spark, shape):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if shape == "group":  # a third of the rows are near copies of one
+        x[::3] = x[0] + rng.normal(size=(1000, 32)) * 1e-5
+    else:
+        x[5] *= 1e6
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest.neighbours(df, every=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_near(dict(enumerate(x.tolist())), 10, 10)
+    hit = {q: len(got[q] & {c for _, c in want[q]}) / 10 for q in want}
+    assert np.mean(list(hit.values())) >= 0.9
+    assert np.mean([h for q, h in hit.items() if q % 3 == 0]) >= 0.9
+
+
 def test_nearest_odd_rows(spark):
     rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(0, 40)] + [(100, None), (200, [0.0, 0.0, 0.0]), (300, [1.0, None, 2.0]), (400, [1.0, float("nan"), 1.0]),
             (500, [float("inf"), 1.0, 1.0]), (600, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (0, [9.0, 9.0, 9.0]), (0, [0.0, 1.0, 2.0]), (700, [])]
