@@ -7,8 +7,8 @@ product over its words. The language of the largest posterior is predicted, with
 Learning is expectation maximisation from labelled texts: pieces start from the counts of their places in the
 words, then each round sums their expected uses over all segmentations (forward-backward). Words are counted and
 expectations summed by Spark; the driver gets piece counts per language, bounded by the vocabulary. The
-learning rows are a sample of about ``train_docs`` by a hash of doc_id, without rows whose crc32(doc_id) is
-divisible by five; lang is read there only. Scoring covers every whole text.
+learning rows are all labelled rows of a language, or about ``train_docs`` of them by a hash where it has more, without
+rows whose crc32(doc_id) is divisible by five; lang is read there only. Scoring covers every whole text.
 
 A task scores a batch's unseen words together in a trie, so a prefix that words share is computed once.
 
@@ -158,9 +158,10 @@ def fit(docs: DataFrame, path: str | None = None, train_docs: int = 6000, rounds
     """Languages and pieces x languages probabilities."""
     names = read_pieces(path)
     spark = docs.sparkSession
-    share = min(1.0, train_docs / max(docs.count(), 1))
     sample = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = sample.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    shares = sample.groupBy(F.col("lang").alias("_lang")).agg((F.lit(train_docs) / F.count(F.lit(1))).alias("share"))  # a row per language
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = sample.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(place < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

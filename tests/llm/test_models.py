@@ -130,6 +130,14 @@ def test_language_held_out_accuracy(spark, make_docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_learns_rare_languages(spark, make_docs):
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, 12, "the ing er tion wh ou and"), "en") for i in range(3000)]
+    rows += [(5000 + i, sentence(rng, 12, "é eau ou ment ê la que"), "fr") for i in range(8)] + [(6000 + i, "null lang", None) for i in range(3000)]
+    got = language.identify(make_docs(rows), train_docs=30).select("row.doc_id", "lang_pred").collect()
+    assert all(r["lang_pred"] == ("fr" if r["doc_id"] >= 5000 else "en") for r in got if r["doc_id"] < 6000)
+
+
 def test_language_without_labels(spark, make_docs):
     got = language.identify(make_docs([(1, "some text", None), (2, None, None)])).collect()
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
