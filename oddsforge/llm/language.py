@@ -1,7 +1,7 @@
 """Operator 9: language identification with segmentation-marginalised unigrams.
 
-Each language has probabilities for the pieces of one fixed public vocabulary (byte pieces of up to eight bytes).
-A word's likelihood is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
+Each language has probabilities for the pieces of one fixed public vocabulary; a word keeps the space before it,
+as pieces do. A word's likelihood is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
 product over its words. The language of the largest posterior is predicted, with that posterior as score.
 
 Learning is expectation maximisation from labelled texts: pieces start from the counts of their places in the
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,62 +33,113 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsforge.llm.common import held_out, written
-from oddsforge.llm.words import Pieces, Trie, U, byte_matrix, has_letter, letter_words
+from oddsforge.llm.words import LETTERS, Pieces, Trie, byte_matrix, prefix_hashes, run_hashes
 
-LONGEST_PIECE, WIDE, CACHE = 8, 32, 400_000
+WIDE, CACHE = 24, 400_000  # longer words are summed in logarithms, one by one
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 UND = "und"
+#: As LETTERS, but only a space stays one.
+SPACED = bytes(c if c != 32 or i == 32 else 10 for i, c in enumerate(LETTERS))
+WORD = re.compile(rb" ?[^ \n]+")
+
+
+def spaced_words(text: str | None) -> list[bytes]:
+    """The text's letter_words, each with the space right before it, if there is one."""
+    return WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(SPACED))
+
+
+def has_letter(text: str | None, words: list[bytes]) -> bool:
+    return any(w[-1] < 128 or w.lstrip(b" ")[0] < 128 for w in words) or any(c.isalpha() for c in text or "")
 
 
 def read_pieces(path: str | None = None) -> list[bytes]:
-    """The vocabulary's pieces of at most LONGEST_PIECE bytes; all single bytes are among them."""
+    """All pieces of the vocabulary; all single bytes are among them."""
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return sorted({p for p in pieces if len(p) <= LONGEST_PIECE} | {bytes([i]) for i in range(256)})
+    return sorted({*pieces} | {bytes([i]) for i in range(256)})
 
 
-def places(m: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
-    """Per piece length: the piece that starts at each byte of each row, or -1."""
-    out = []
-    for size in range(1, min(pieces.longest, m.shape[1]) + 1):
-        h = np.full((m.shape[0], m.shape[1] - size + 1), U(size), U)
-        for j in range(size):
-            h = h * (U(0x9E3779B97F4A7C15 | 1)) + m[:, j : j + h.shape[1]] + U(1)
-        out.append(pieces.find(h.ravel()).reshape(h.shape))
+def places(m: np.ndarray, pieces: Pieces) -> list[tuple[int, np.ndarray]]:
+    """Each piece length, and the piece of that length that starts at each byte of each row, or -1."""
+    runs, out = prefix_hashes(m), []
+    for size in pieces.lengths:
+        if size > m.shape[1]:
+            break
+        h = run_hashes(runs[:, :-size], runs[:, size:], size)
+        out.append((size, pieces.find(h.ravel()).reshape(h.shape)))
     return out
 
 
+def ending(word: bytes, pieces: Pieces) -> list[list[tuple[int, int]]]:
+    """Per number of bytes read, (start, piece) of the pieces that end there."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
+    for size, a in places(np.frombuffer(word, np.uint8)[None], pieces):
+        at = np.flatnonzero(a[0] >= 0)
+        for i, k in zip(at.tolist(), a[0, at].tolist(), strict=True):
+            out[i + size].append((i, k))
+    return out
+
+
+def log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(math.fsum(math.exp(t - top) for t in terms))
+
+
+def add_wide(total: np.ndarray, word: bytes, weight: float, pieces: Pieces, log_p: np.ndarray | None) -> None:
+    """Adds one long word's expected uses to ``total``, or without ``log_p`` its pieces' places."""
+    ends = ending(word, pieces)
+    if log_p is None:
+        np.add.at(total, [k for e in ends for _, k in e], weight)
+        return
+    fwd = [0.0]
+    for e in ends[1:]:
+        fwd.append(log_sum([fwd[i] + log_p[k] for i, k in e]))
+    back: list[list[float]] = [[] for _ in ends]
+    back[-1] = [0.0]
+    for j in range(len(word), 0, -1):
+        rest = log_sum(back[j])
+        for i, k in ends[j]:
+            back[i].append(rest + log_p[k])
+            total[k] += weight * math.exp(min(0.0, fwd[i] + log_p[k] + rest - fwd[-1]))
+
+
 def expected_counts(words: list[bytes], weight: np.ndarray, pieces: Pieces, p: np.ndarray | None) -> np.ndarray:
     """Weighted expected uses of each piece over all segmentations of words under ``p``; without ``p``, how often
-    each stands anywhere in them. Words wider than WIDE bytes are left out of learning only."""
+    each stands anywhere in them."""
     total = np.zeros(len(pieces.keys))
+    log_p = None if p is None else np.log(p)
+    for w, n in zip(words, weight, strict=True):
+        if len(w) > WIDE:
+            add_wide(total, w, n, pieces, log_p)
     fit = [i for i, w in enumerate(words) if len(w) <= WIDE]
     fit.sort(key=lambda i: len(words[i]))
     for s in range(0, len(fit), 4096):
         some = fit[s : s + 4096]
         m, n = byte_matrix([words[i] for i in some])
         at, w = places(m, pieces), weight[some]
-        inside = [np.arange(a.shape[1]) + k + 1 <= n[:, None] for k, a in enumerate(at)]
+        inside = [np.arange(a.shape[1]) + k <= n[:, None] for k, a in at]
         if p is None:
-            for a, ok in zip(at, inside, strict=True):
+            for (_, a), ok in zip(at, inside, strict=True):
                 r, c = np.nonzero(ok & (a >= 0))
                 total += np.bincount(a[r, c], w[r], len(total))
             continue
-        q = [np.where(ok & (a >= 0), p[a], 0.0) for a, ok in zip(at, inside, strict=True)]
+        q = [(k, np.where(ok & (a >= 0), p[a], 0.0)) for (k, a), ok in zip(at, inside, strict=True)]
         width = m.shape[1]
         fwd = np.zeros((len(some), width + 1))
         fwd[:, 0] = 1
         for i in range(1, width + 1):
-            for k in range(min(i, len(q))):
-                fwd[:, i] += fwd[:, i - k - 1] * q[k][:, i - k - 1]
+            for k, x in q:
+                if k <= i:
+                    fwd[:, i] += fwd[:, i - k] * x[:, i - k]
         back = np.zeros((len(some), width + 1))
         back[np.arange(len(some)), n] = 1
         for i in range(width - 1, -1, -1):
-            for k in range(min(width - i, len(q))):
-                back[:, i] += q[k][:, i] * back[:, i + k + 1]
+            for k, x in q:
+                if k <= width - i:
+                    back[:, i] += x[:, i] * back[:, i + k]
         scale = w / np.maximum(fwd[np.arange(len(some)), n], 1e-300)
-        for k, a in enumerate(at):
-            uses = fwd[:, : a.shape[1]] * q[k] * back[:, k + 1 :] * scale[:, None]
+        for (k, a), (_, x) in zip(at, q, strict=True):
+            uses = fwd[:, : a.shape[1]] * x * back[:, k:] * scale[:, None]
             r, c = np.nonzero(uses)
             total += np.bincount(a[r, c], uses[r, c], len(total))
     return total
@@ -97,7 +149,7 @@ class Scorer:
     """Log-likelihoods of whole texts under every language."""
 
     def __init__(self, pieces: Pieces, p: np.ndarray):
-        self.pieces, self.p = pieces, p  # p: pieces x languages
+        self.pieces, self.p, self.log_p = pieces, p, np.log(p)  # p: pieces x languages
         self._forget()
 
     def _forget(self) -> None:
@@ -105,23 +157,12 @@ class Scorer:
         self.logs = np.empty((0, self.p.shape[1]))
 
     def _wide(self, word: bytes) -> np.ndarray:
-        """Forward sums of one long word, rescaled as they shrink."""
-        m = np.frombuffer(word, np.uint8)[None]
-        at, k = places(m, self.pieces), self.p.shape[1]
-        f, log = np.zeros((self.pieces.longest + 1, k)), np.zeros(k)
-        f[0] = 1  # ring of the last sums
-        ring = len(f)
-        for i in range(1, len(word) + 1):
-            now = np.zeros(k)
-            for size in range(1, min(i, self.pieces.longest) + 1):
-                piece = at[size - 1][0, i - size]
-                if piece >= 0:
-                    now += f[(i - size) % ring] * self.p[piece]
-            f[i % ring] = now
-            if i % 16 == 0:
-                f /= now
-                log += np.log(now)
-        return log + np.log(f[len(word) % ring])
+        """Logarithms of the forward sums of one long word."""
+        ring = self.pieces.longest + 1
+        f = np.zeros((ring, self.p.shape[1]))  # ring of the last sums
+        for n, e in enumerate(ending(word, self.pieces)[1:], 1):
+            f[n % ring] = np.logaddexp.reduce(f[[i % ring for i, _ in e]] + self.log_p[[k for _, k in e]], axis=0)
+        return f[len(word) % ring].copy()
 
     def _learn(self, new: list[bytes]) -> None:
         order = [w for w in new if len(w) > WIDE]
@@ -144,7 +185,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """One row of log-likelihoods per text; None where there is no letter."""
-        docs = [letter_words(t) for t in texts]
+        docs = [spaced_words(t) for t in texts]
         if len(self.known) > CACHE:
             self._forget()
         new = list({w for d in docs for w in d if w not in self.known})
@@ -167,7 +208,7 @@ def fit(docs: DataFrame, path: str | None = None, train_docs: int = 6000, rounds
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(letter_words(text))
+                seen.setdefault(lang, Counter()).update(spaced_words(text))
             for lang, c in seen.items():
                 words = list(c)
                 for i in range(0, len(words), 20_000):

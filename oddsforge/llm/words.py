@@ -16,10 +16,6 @@ def letter_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
-def has_letter(text: str | None, words: list[bytes]) -> bool:
-    return any(w[0] < 128 or w[-1] < 128 for w in words) or any(c.isalpha() for c in text or "")
-
-
 def byte_matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Words as zero-padded rows of bytes, and their lengths."""
     n = np.fromiter(map(len, words), np.int64, len(words))

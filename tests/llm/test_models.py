@@ -130,6 +130,28 @@ def test_language_held_out_accuracy(spark, make_docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_learns_wide_words_and_every_piece():
+    names = language.read_pieces()
+    with open(public_tokenizers.path(language.VOCABULARY), "rb") as f:
+        assert {base64.b64decode(line.split()[0]) for line in f} <= set(names)
+    assert language.spaced_words("Ab cd\nef-gh  \tñ 1 x") == [b"ab", b" cd", b"ef", b"gh", "ñ".encode(), b" x"]
+    few = [b"a", b"b", b"ab", b" ", b" ab", b"ba" * 6]
+    p = np.array([0.3, 0.2, 0.2, 0.1, 0.15, 0.05])
+    words, weight = [b" " + b"ab" * 15, b"ba" * 30, b" ab"], np.array([2.0, 1.0, 3.0])
+    want = np.zeros(len(few))
+    for w, n in zip(words, weight, strict=True):
+        fwd, back = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+        spots = [(i, k) for i in range(len(w)) for k, x in enumerate(few) if w.startswith(x, i)]
+        for i, k in spots:
+            fwd[i + len(few[k])] += fwd[i] * p[k]
+        for i, k in reversed(spots):
+            back[i] += p[k] * back[i + len(few[k])]
+        for i, k in spots:
+            want[k] += n * fwd[i] * p[k] * back[i + len(few[k])] / fwd[-1]
+    assert np.allclose(language.expected_counts(words, weight, Pieces(few), p), want)
+    assert language.expected_counts(words, weight, Pieces(few), None)[0] == 2 * 15 + 30 + 3
+
+
 def test_language_learns_rare_languages(spark, make_docs):
     rng = random.Random(11)
     rows = [(i, sentence(rng, 12, "the ing er tion wh ou and"), "en") for i in range(3000)]
