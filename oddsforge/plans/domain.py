@@ -13,6 +13,11 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
+    """All events; a look-back is a parameter of the S2 query only."""
+    return L.load_events(tm.raw_events(spark, d), tm.BETS_AS_OF, all_history=True)
+
+
+def recent_events(spark: SparkSession, d: str) -> DataFrame:
     return L.load_events(tm.raw_events(spark, d), tm.BETS_AS_OF, days_back=tm.EVENTS_DAYS_BACK)
 
 

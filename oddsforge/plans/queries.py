@@ -33,7 +33,7 @@ def s1_load_users(spark, d):
 
 @register("s2_load_events", W(["events_l"], "SELECT * FROM events_l"))
 def s2_load_events(spark, d):
-    return D.events(spark, d)
+    return D.recent_events(spark, d)
 
 
 @register("s3_load_bets", W(["bets"], f"SELECT * FROM bets WHERE bet_timestamp >= {O.BET_SINCE}"))

@@ -40,8 +40,8 @@ def load_users(raw_users: DataFrame, as_of: str, limit: int | None = None,
 
 
 def load_events(raw_events: DataFrame, as_of: str, days_back: int = 2,
-                limit: int | None = None) -> DataFrame:
-    """Events with ``hours_until_event`` (whole hours) in a look-back range."""
+                limit: int | None = None, all_history: bool = False) -> DataFrame:
+    """Events with ``hours_until_event`` (whole hours) in a look-back range; ``all_history`` sets no bound."""
     start = F.col("event_start_time")
     now = lit_ts(as_of)
     cols = [F.col(c) for c in ("event_id", "sport", "competition") if c in raw_events.columns]
@@ -56,8 +56,8 @@ def load_events(raw_events: DataFrame, as_of: str, days_back: int = 2,
     cols += [start, F.col("event_status"),
              F.when(start > now, F.timestamp_diff("HOUR", now, start)).otherwise(F.lit(0))
              .cast("long").alias("hours_until_event")]
-    df = raw_events.filter((start >= days_ago(as_of, days_back))
-                           & F.col("event_status").isin(*EVENT_STATUSES))
+    recent = F.lit(True) if all_history else start >= days_ago(as_of, days_back)
+    df = raw_events.filter(recent & F.col("event_status").isin(*EVENT_STATUSES))
     return _limit(df.select(*cols), limit)
 
 

@@ -265,3 +265,13 @@ def test_entry_needs_no_jar_and_no_session():
             "assert e.queries() and e.oracle_sql() and SparkSession.getActiveSession() is None")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
+def test_old_events_leave_the_s2_query_alone(spark, monkeypatch):
+    from oddsforge.plans import domain as D
+    from oddsforge.sources import testmap as tm
+    rows = [(1, "s", dt.datetime(1950, 1, 1), "finished"), (2, "s", dt.datetime.fromisoformat(str(tm.BETS_AS_OF)), "live"), (3, "s", dt.datetime(1950, 1, 1), "void")]
+    raw = spark.createDataFrame(rows, "event_id long, sport string, event_start_time timestamp, event_status string")
+    monkeypatch.setattr(tm, "raw_events", lambda *_: raw)
+    assert sorted(r["event_id"] for r in D.events(spark, "").collect()) == [1, 2]
+    assert [r["event_id"] for r in D.recent_events(spark, "").collect()] == [2]
