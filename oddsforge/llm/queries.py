@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsforge.llm import bpe, chat, decontaminate, filter_audit, language, line_dedup, near_dedup, nearest, secrets, token_counts, toxicity
+from oddsforge.llm import bpe, chat, collocations, decontaminate, filter_audit, language, line_dedup, near_dedup, nearest, ngram_join, secrets, token_counts, toxicity
 from oddsforge.llm.common import table
 
 
@@ -55,6 +55,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=4).drop("text_hash")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
@@ -106,6 +116,40 @@ f AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op12_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(ws) >= size)),
+t AS (
+  SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase HAVING count(*) >= 100),
+k AS (
+  SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (
+  SELECT k.lang, k.phrase, k.size, k.a, k.k, x.a AS l, y.a AS r, n,
+         (CAST(1000 AS HUGEINT) * k.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM k JOIN t ON k.lang = t.lang
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+c AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, ws, m, unnest(range(1, size - m + 2)) AS j
+        FROM (SELECT lang, a, size, string_split(phrase, ' ') AS ws, unnest(range(2, size)) AS m FROM f WHERE size > 2))
+  GROUP BY ALL),
+o AS (
+  SELECT c.* FROM c LEFT JOIN i ON c.lang = i.lang AND c.phrase = i.phrase WHERE NOT coalesce(100 * longer >= 100 * a, false)),
+r AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+         phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o)
+SELECT * FROM r WHERE rank <= 2000""",
     "op13_filter_interaction_audit": r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
