@@ -7,8 +7,8 @@
    step a selection vector on each axis (pass, fail or all) is contracted with it by one einsum.
 
 Only 32 cells a part leave Spark's aggregation, so the contraction costs the same however many documents there are;
-parts are dealt over tasks. Equal texts are found by SHA-256; the smallest doc_id of each repeated text is joined
-back, and the planner splits that join where one text has very many copies.
+parts are dealt over tasks. Equal texts are found by SHA-256; copies are counted
+together before their smallest doc_id is joined to them, so a text of very many copies is a few rows there.
 
 Defined results: null texts are empty, null sources the part ''; a null doc_id neither fails E nor makes another
 fail; rows that share a doc_id count each, and none of them is a copy of another; of a document's several labels any 1
@@ -45,17 +45,22 @@ def text_failures(text: Column, min_words: int = 50, distinct_percent: int = 65,
 
 
 def failure_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc, part, mask, good, toxic."""
+    """part, mask, good, toxic, n: documents counted. Copies of a text are counted before the smallest doc_id of
+    their text is joined to them, so that join meets a row for each text, part and label."""
     text = F.coalesce("text", F.lit(""))
-    own = written(docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("source", F.lit("")).alias("part"),
-                              text_failures(text).alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest")))
-    first = own.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    own = own.join(first.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("source", F.lit("")).alias("part"),
+                      text_failures(text).alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    own = own.groupBy("doc", "part", "mask", "digest").agg(F.count(F.lit(1)).alias("n"))
     one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int"))
     marked = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(one("quality").alias("good"), one("toxic").alias("toxic")).filter("good + toxic > 0")
     own = own.join(marked, F.col("doc") == F.col("id"), "left")
-    copy = F.when(F.col("doc") > F.col("first"), BIT["E"]).otherwise(0)
-    return own.select("doc", "part", (F.col("mask") + copy).alias("mask"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    own = own.groupBy("part", "mask", "digest", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.isnull("doc").alias("nameless"))
+    own = written(own.agg(F.sum("n").alias("n"), F.min(F.struct("doc", "n")).alias("least")))
+    first = own.groupBy(F.col("digest").alias("d")).agg(F.min("least.doc").alias("first"))
+    own = own.join(first, F.col("digest") == F.col("d"))
+    originals = F.when(F.col("nameless"), F.col("n")).when(F.col("least.doc") == F.col("first"), F.col("least.n")).otherwise(0)
+    cells = F.explode(F.array(F.struct("mask", originals.alias("n")), F.struct((F.col("mask") + BIT["E"]).alias("mask"), (F.col("n") - originals).alias("n"))))
+    return own.select("part", "good", "toxic", cells.alias("c")).select("part", "c.mask", "good", "toxic", "c.n").filter("n > 0")
 
 
 def selections() -> tuple[list[tuple[str, int]], dict[str, np.ndarray]]:
@@ -78,7 +83,7 @@ def contracted(cells: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def audit(masks: DataFrame) -> DataFrame:
-    """part, filter_order, step and the seven counts from rows of part, mask, good, toxic."""
+    """part, filter_order, step and the seven counts from rows of part, mask, good, toxic, n."""
     rows, chosen = selections()
     owns = np.array([order[step - 1] for order, step in rows])
 
@@ -103,7 +108,7 @@ def audit(masks: DataFrame) -> DataFrame:
                         [pa.array([part] * len(rows)), pa.array([o for o, _ in rows]), pa.array([s for _, s in rows], pa.int32()), *(pa.array(out[m][:, p]) for m in MEASURES)],
                         names=["part", "filter_order", "step", *MEASURES])
 
-    cells = masks.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
+    cells = masks.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.expr("good * n")).alias("good"), F.sum(F.expr("toxic * n")).alias("toxic"))
     parts = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))  # 32 a part at most
     return parts.mapInArrow(tables, "part string, filter_order string, step int, " + ", ".join(f"{m} long" for m in MEASURES))
 
