@@ -185,3 +185,16 @@ r AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
+
+#: Queries without SQL, and why; tests/llm holds each against brute force, an exact round trip or held-out accuracy.
+ROWS_ONLY: dict[str, str] = {
+    "op2_benchmark_decontamination": "SimHash windows and weighted shingle similarity",
+    "op3_nearest_neighbours": "approximate search; held to its recall",
+    "op4_bpe_encoding": "byte-pair ids of a public vocabulary",
+    "op5_secret_scan": "character models learnt from the corpus",
+    "op6_token_counts": "dynamic programme over a public vocabulary",
+    "op7_toxicity": "a classifier fitted on a sample",
+    "op9_language_id": "models fitted by expectation maximisation",
+    "op10_minhash_near_dedup": "connected components",
+    "op11_ngram_jaccard_join": "connected components",
+}

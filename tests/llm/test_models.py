@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from oddsforge.llm import bpe, language, token_counts, toxicity
+from oddsforge.llm import bpe, language, token_counts, toxicity, words
 from oddsforge.llm.words import Pieces
 
 from .conftest import sentence
@@ -199,3 +199,60 @@ def test_soft_maximum():
     got = toxicity.soft_maximum(np.array([1.0, 2.0, -3.0]), np.array([0, 2]))
     assert np.allclose(got, [math.log(math.exp(4) + math.exp(8)) / 4, -3])
     assert isinstance(pd.Series(got).sum(), float)
+
+
+def brute_margin(word, margins):
+    marked = b"<" + word + b">"
+    found = []
+    for i in range(len(marked)):
+        for n in toxicity.SIZES:
+            if i + n <= len(marked):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h * int(words.BASE) + c + 1) % 2**64
+                h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+                found.append(margins[(h ^ h >> 29) >> 64 - toxicity.BUCKET_BITS])
+    return sum(map(float, found)) / len(found)
+
+
+def test_toxicity_score_is_the_soft_maximum_of_window_averages(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 61)
+    margins = np.random.default_rng(3).normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32)
+    texts = ["sh1t a$$ (really) 'quoted', é日本語 x", "w " * 40 + "ünsp" * 100, "", None, ". , !"]
+    got = toxicity.Scorer(margins, 0.25).scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        ws = [brute_margin(w, margins) for w in toxicity.toxic_words(text)] or [0.0]
+        windows = [sum(ws[i : i + 16]) / len(ws[i : i + 16]) + 0.25 for i in range(0, len(ws), 16)]
+        top = math.log(sum(math.exp(4 * x) for x in windows)) / 4
+        assert abs(score - 1 / (1 + math.exp(-top))) < 1e-6
+    assert toxicity.toxic_words("Sh1t, a$$! (it's) -- x-y.") == [b"sh1t", b"a$$", b"it's", b"x-y"]
+
+
+def test_toxicity_of_long_unspaced_text(spark, make_docs):
+    """A run of a million characters beside normal texts, in scoring and among the labelled rows: no word widens others."""
+    import tracemalloc
+
+    margins = np.zeros(1 << toxicity.BUCKET_BITS, np.float32)
+    run = "的是不了人我在有他这" * 100_000
+    tracemalloc.start()
+    toxicity.Scorer(margins, 0.0).scores(["one two three"] * 500 + [run])
+    long = ["的是不了人我在有他这" * 1000 + str(i) for i in range(40)]
+    toxicity.train([*long, "plain words here"] * 2, np.array([0.0] * 41 + [1.0] * 41), epochs=1)
+    assert tracemalloc.get_traced_memory()[1] < 10**9
+    tracemalloc.stop()
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 30, "the ing er tion") + (" grumblefux" if i % 3 == 0 else "")) for i in range(150)] + [(900, run), (901, run[:9999])]
+    lab = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)] + [(900, 1, 1), (901, 1, 0)], "doc_id long, quality int, toxic int")
+    lab = lab.selectExpr("*", "'x' as text", "'x' as _text", "'x' as rank", "'x' as _doc", "'x' as _n")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(make_docs(rows), lab).collect()}
+    assert len(got) == 152 and got[3] > 0.5 > got[4]
+
+
+def test_toxicity_sample_is_refilled_and_bounded(spark, make_docs):
+    """Texts beyond the bound on characters leave before the ids are chosen; the bound on bytes ends a class's sample."""
+    rows = [(i, ("long " * 50 if i % 2 else "short") + f" {i}") for i in range(400)]
+    lab = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(400)], "doc_id long, toxic int")
+    texts, y = toxicity.training_sample(make_docs(rows), lab, 30, 100, 10**6)
+    assert len(texts) == 60 and y.sum() == 30 and all(t.startswith("short") for t in texts)
+    texts, y = toxicity.training_sample(make_docs(rows), lab, 30, 100, 100)
+    assert 0 < len(texts) < 60 and all(sum(len(t) for t, k in zip(texts, y, strict=True) if k == c) <= 100 for c in (0, 1))
