@@ -37,11 +37,11 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_declared():
-    from oddsforge.plans.registry import ROWS_ONLY
+    from oddsforge.plans.registry import ORACLE, QUERIES, ROWS_ONLY
 
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == set(ROWS_ONLY) and all(ROWS_ONLY.values())
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLE) == set(ROWS_ONLY) and all(ROWS_ONLY.values())
 
 
 @pytest.mark.parametrize("name", FAST)
