@@ -36,7 +36,7 @@ from oddsforge.llm.common import written
 LONGEST = 5         # words of a phrase
 PREFIX = 3          # words that decide on a phrase's range
 MAP_BITS = 26       # 8 MB of bits
-SHARD = 12 << 20    # bytes of text of which a task builds one transducer a language
+SHARD = 8 << 20     # bytes of text of which a task builds one transducer a language
 CHUNK = 2 << 20     # bytes tokenised at once
 RANGE = 16 << 20    # characters of the corpus for each prefix range
 U = np.uint64
@@ -267,14 +267,17 @@ def shard_phrases(t: Tokens, text: bytes, lang: str, bits: np.ndarray, ranges: i
     return [words[i] for i in order], np.concatenate(paths), np.concatenate(counts), np.concatenate(spans)
 
 
-def prefix_range(phrase: bytes, lang: str, ranges: int) -> int:
-    """The range of a phrase, as ``shard_phrases`` has it."""
-    t = Tokens(phrase)
+def prefix_ranges(phrases: list[bytes], lang: str, ranges: int) -> np.ndarray:
+    """The ranges of phrases, as ``shard_phrases`` has them; the phrases are tokenised as the lines of one text."""
+    t = Tokens(b"\n".join(phrases))
     word = keys_of(t, lang)[0]
-    key = word[:1]
-    for d in range(1, min(PREFIX, len(word))):
-        key = mixed(key * STEP + word[d : d + 1])
-    return int(in_range(key, ranges)[0])
+    first = np.searchsorted(t.piece, np.arange(len(phrases)))
+    size = np.searchsorted(t.piece, np.arange(len(phrases)), side="right") - first
+    key = word[first]
+    for d in range(1, PREFIX):
+        more = np.flatnonzero(size > d)
+        key[more] = mixed(key[more] * STEP + word[first[more] + d])
+    return in_range(key, ranges)
 
 
 def frequent_map(own: DataFrame, min_count: int) -> np.ndarray:
@@ -345,8 +348,12 @@ def part_counts(parts: DataFrame, ranges_table: DataFrame, ranges: int) -> DataF
     """lang, p, f: counts of the distinct phrases ``p`` asked for, from the ranges that hold them."""
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = [prefix_range(p.encode("utf-8", "surrogatepass"), lang, ranges) for lang, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part, pa.int32()), b.column(1)], names=["lang", "part", "p"])
+            raw = [p.encode("utf-8", "surrogatepass") for p in b.column(1).to_pylist()]
+            lang, part = np.array(b.column(0).to_pylist(), object), np.zeros(b.num_rows, np.int32)
+            for x in set(lang):
+                own = np.flatnonzero(lang == x)
+                part[own] = prefix_ranges([raw[i] for i in own], x, ranges)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part), b.column(1)], names=["lang", "part", "p"])
 
     def lookup(asked: pa.Table, held: pa.Table) -> pa.Table:
         p = asked.column("p").to_pylist()
