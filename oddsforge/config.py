@@ -26,8 +26,14 @@ class ModelConfig:
     n_factors: int = 50
     reg: float = 0.01
     max_iter: int = 10
+    mf_turns: int = 10           # turns of biases and factors, ended early on validation rows,
+    mf_patience: int = 2         # after so many without a lower loss
     n_trees: int = 1000          # the fit stops early on its validation rows
     max_depth: int = 6
+    tree_patience: int = 50      # trees without a lower validation loss
+    network_hidden: int = 64
+    network_width: int = 16
+    network_steps: int = 60
     hybrid_weights: dict = field(default_factory=lambda: dict(HYBRID_WEIGHTS))
     ucb_alpha: float = 1.0
     epsilon: float = 0.1

@@ -59,6 +59,28 @@ def ucb_scores(state: DataFrame, alpha: float = 1.0) -> DataFrame:
                     F.col("chosen").isNotNull().cast("int").alias("selected")))
 
 
+def choose_available(state: DataFrame, decisions: DataFrame, alpha: float = 1.0, decision: str = "decision_id",
+                     actions: str = "actions") -> DataFrame:
+    """M19 (choice): one action per decision out of its own list of available actions.
+
+    The first arm of the list that is untested (or unknown) is taken; without one, the arm of the largest mean +
+    α·sqrt(2 ln T / n), ties to the first in the list; T counts the pulls of all arms. A decision with no
+    available action has none (NULL). Each decision is exploded into its own actions, joined with the arms' state and
+    reduced by one partial aggregate, so neither the arms nor the decisions are held anywhere whole.
+    """
+    pulls = state.agg(F.sum("n")).collect()[0][0] or 0
+    arms = state.select(F.col("action").alias("_arm"), "n", "reward_sum")
+    offered = decisions.select(decision, F.posexplode_outer(actions).alias("_at", "_action"))
+    seen = offered.join(arms, F.col("_action") == F.col("_arm"), "left")
+    tested = F.coalesce(F.col("n"), F.lit(0)) > 0
+    mean = F.col("reward_sum") / F.col("n")
+    score = mean + F.lit(alpha) * F.sqrt(F.lit(2.0) * F.log(F.lit(float(pulls))) / F.col("n")) if pulls > 0 else mean
+    order = F.struct(tested.cast("int").alias("tested"), F.when(tested, -score).alias("loss"), F.col("_at").alias("at"),
+                     F.col("_action").alias("action"), F.when(tested, score).alias("score"))
+    best = seen.groupBy(decision).agg(F.min(F.when(F.col("_action").isNotNull(), order)).alias("_b"))
+    return best.select(decision, F.col("_b.action").alias("action"), F.col("_b.score").alias("ucb_score"))
+
+
 def predict_pairs(state: DataFrame, pairs: DataFrame, item_col: str = "item_id") -> DataFrame:
     """Mean reward of the arm, 0.5 when unknown or untested."""
     s = state.select(F.col("action").alias(item_col), "n", "reward_sum")

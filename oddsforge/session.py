@@ -62,16 +62,17 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing a parquet table in the shared checkpoint folder.
 
     The plan runs once (an un-persisted ``checkpoint()`` would run it twice:
     once for the action, once for the write), the result survives executor
-    loss, and later scans of it get column pruning and filter pushdown. The
+    loss, and later scans of it get column pruning and filter pushdown (and, with
+    ``partition_by``, read only the folders that a filter leaves). The
     folder is this application's own and goes when the application ends.
     Never a local checkpoint.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
     return spark.read.parquet(path)
