@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "lit_ts", "days_ago", "floor_days_between", "hours_between", "weekday_mon0",
     "cyclic_sin", "cyclic_cos", "safe_double", "safe_long", "clean_key_text",
-    "null_safe_flag", "finite_or", "nan_to_null", "round6", "round2",
+    "null_safe_flag",
     "exact_sum", "exact_avg", "EXACT_DECIMAL",
 ]
 
@@ -102,27 +102,3 @@ def null_safe_flag(cond: Column) -> Column:
     """Boolean condition to 0/1 where an unknown (NULL) comparison counts as 0."""
     return F.coalesce(cond.cast("int"), F.lit(0))
 
-
-def nan_to_null(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
-def finite_or(c, nan_value: float, pos_value: float, neg_value: float) -> Column:
-    """Replace NaN/NULL, +inf and -inf by fixed values."""
-    c = F.col(c) if isinstance(c, str) else c
-    return (F.when(c.isNull() | F.isnan(c), F.lit(nan_value))
-            .when(c == F.lit(float("inf")), F.lit(pos_value))
-            .when(c == F.lit(float("-inf")), F.lit(neg_value))
-            .otherwise(c))
-
-
-def round6(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
-
-
-def round2(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 2)
-

@@ -81,6 +81,14 @@ def combine_views(classic: DataFrame, direct: DataFrame) -> DataFrame:
     return kept
 
 
+def first_payload(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: of several, the smallest, column by column (NULLs first)."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def combined_view(events: DataFrame, markets: DataFrame, outcomes: DataFrame, bets: DataFrame,
                   users: DataFrame) -> DataFrame:
     """J1–J5 + U1 + W1 in one pass over the bets: the rows of :func:`combine_views` over the two views.
@@ -112,9 +120,9 @@ def combined_view(events: DataFrame, markets: DataFrame, outcomes: DataFrame, be
     loose = (matched.filter(F.col("bet_id").isNull()).unionByName(idle, allowMissingColumns=True)
              .unionByName(bare, allowMissingColumns=True))
     rows = kept.unionByName(first_per_key(loose, "bet_id", order)).drop("_view")
-    mk = markets.drop("event_id").dropDuplicates(["market_id"])
-    oc = outcomes.dropDuplicates(["outcome_id", "market_id"])
-    rows = rows.join(events.dropDuplicates(["event_id"]), "event_id", "left")
+    mk = first_payload(markets.drop("event_id"), ["market_id"])
+    oc = first_payload(outcomes, ["outcome_id", "market_id"])
+    rows = rows.join(first_payload(events, ["event_id"]), "event_id", "left")
     rows = rows.join(mk.drop(*[c for c in rows.columns if c != "market_id"]), "market_id", "left")
     rows = rows.join(oc.drop(*[c for c in rows.columns if c not in ("outcome_id", "market_id")]), ["outcome_id", "market_id"], "left")
     return with_users(rows, users).withColumn("outcome_id", F.coalesce("outcome_id", "bet_outcome_id"))
@@ -219,28 +227,22 @@ def with_hierarchy_aggregates(df: DataFrame) -> DataFrame:
 
 
 def build_hierarchy(events: DataFrame, markets: DataFrame, outcomes: DataFrame, bets: DataFrame,
-                    users: DataFrame, odds_history: DataFrame | None, as_of: str,
-                    materialize: bool = True) -> DataFrame:
-    """P1 → J1…J5 → U1 → W1 → P2…P4 → J8 → J9.
-
-    With ``materialize`` the deduplicated view is written once (reliable
-    checkpoint in the shared checkpoint folder) before the event and market
-    aggregates branch off it, instead of re-planning the five-table join three
-    times.
-    """
+                    users: DataFrame, odds_history: DataFrame | None, as_of: str, stage: str = "full") -> DataFrame:
+    """F21 over any six tables: P1 → J1…J5 → U1 → W1 ('combined') → P2…P4 ('temporal') → J8 ('odds') → J9 ('full').
+    The view is written before the event and market aggregates branch off it."""
+    from oddsforge.session import cut_lineage
+
     markets = clean_text_keys(markets, TEXT_KEYS["markets"])
     outcomes = clean_text_keys(outcomes, TEXT_KEYS["outcomes"])
     bets = clean_text_keys(bets, TEXT_KEYS["bets"])
-    catalogue = events_markets_outcomes(events, markets, outcomes)
-    classic = with_users(classic_view(catalogue, bets), users)
-    direct = with_users(direct_view(events, bets), users)
-    combined = combine_views(classic, direct)
-    combined = temporal_features(combined, as_of)
-    combined = with_odds(combined, odds_history)
-    if materialize:
-        from oddsforge.session import cut_lineage
-        combined = cut_lineage(combined)
-    return with_hierarchy_aggregates(combined)
+    view = combined_view(events, markets, outcomes, bets, users)
+    if stage == "combined":
+        return view
+    view = temporal_features(view, as_of)
+    if stage == "temporal":
+        return view
+    view = with_odds(view, odds_history)
+    return view if stage == "odds" else with_hierarchy_aggregates(cut_lineage(view))
 
 
 def strict_hierarchy(events: DataFrame, markets: DataFrame, outcomes: DataFrame, bets: DataFrame,

@@ -114,10 +114,32 @@ def fill_in_order(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFr
     return rows.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
-def forward_fill(df: DataFrame, col: str, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    """Last non-null value so far within each partition, in the given order."""
-    w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(col, F.last(col, ignorenulls=True).over(w))
+def forward_fill(df: DataFrame, col: str, partition_by: list[str], order_by: list[str], shares: int = 4) -> DataFrame:
+    """Last non-null value so far within each key of ``partition_by``, in the given order (NULL keys are one key).
+
+    A segmented prefix scan: rows are range-partitioned by key and order into ``shares`` buckets for each shuffle
+    partition, so a hot key is spread over many buckets; the fill runs inside (bucket, key); and what a
+    bucket's first key had before is carried in by a table of two rows per bucket.
+    """
+    from oddsforge.session import cut_lineage
+
+    n = shares * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket id that is read back from files does not change when a task runs again
+    laid = cut_lineage(df.repartitionByRange(n, *partition_by, *order_by).sortWithinPartitions(*partition_by, *order_by)
+                       .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nth"),
+                               F.struct(*partition_by).alias("_key")))
+    ends = cut_lineage(laid.groupBy("_part").agg(F.min_by("_key", "_nth").alias("_first"), F.max_by("_key", "_nth").alias("_last")))
+    last = laid.join(F.broadcast(ends), "_part").filter(F.col("_key") == F.col("_last"))                  # a row per bucket
+    known = last.groupBy("_part").agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col("_nth"))).alias("_value"))
+    gives = ends.join(known, "_part").select("_part", F.lit(1).alias("_at"), F.col("_last").alias("_key"), "_value")
+    asks = ends.select("_part", F.lit(0).alias("_at"), F.col("_first").alias("_key"), F.lit(None).cast(df.schema[col].dataType).alias("_value"))
+    before = Window.partitionBy("_key").orderBy("_part", "_at").rowsBetween(Window.unboundedPreceding, -1)   # two rows a bucket
+    carried = (asks.unionByName(gives).withColumn("_carried", F.last("_value", ignorenulls=True).over(before))
+               .filter("_at = 0").select("_part", F.col("_key").alias("_first"), "_carried"))
+    inside = Window.partitionBy("_part", "_key").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = laid.withColumn("_own", F.last(col, ignorenulls=True).over(inside)).join(F.broadcast(carried), "_part")
+    filled = F.coalesce("_own", F.when(F.col("_key") == F.col("_first"), F.col("_carried")))
+    return rows.select(*[filled.alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def label_table(df: DataFrame, col: str, reserve_unknown: bool = True) -> DataFrame:

@@ -126,7 +126,3 @@ def matrix_statistics(coo: DataFrame) -> DataFrame:
                 F.max("rating").alias("rating_max"), F.avg("rating").alias("rating_mean"))
     return g.withColumn("sparsity", F.lit(1.0) - F.col("nnz") / (F.col("n_users") * F.col("n_events")))
 
-
-def build_ratings(hierarchy: DataFrame) -> DataFrame:
-    """F13 composition: P6 → A9 → F12 → W6 → COO."""
-    return rating_matrix(composite_scores(user_event_stats(valid_interactions(hierarchy))))

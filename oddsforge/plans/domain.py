@@ -12,18 +12,18 @@ def users(spark: SparkSession, d: str) -> DataFrame:
     return L.load_users(tm.raw_users(spark, d), tm.BETS_AS_OF)
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    """All events; a look-back is a parameter of the S2 query only."""
-    return L.load_events(tm.raw_events(spark, d), tm.BETS_AS_OF, all_history=True)
+def events(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """All events; a look-back is a parameter of the S2 query only. ``lines``: the written line catalogue."""
+    return L.load_events(tm.raw_events(spark, d, lines), tm.BETS_AS_OF, all_history=True)
 
 
 def recent_events(spark: SparkSession, d: str) -> DataFrame:
     return L.load_events(tm.raw_events(spark, d), tm.BETS_AS_OF, days_back=tm.EVENTS_DAYS_BACK)
 
 
-def bets(spark: SparkSession, d: str) -> DataFrame:
+def bets(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
     """All bets; a look-back is a parameter of the S3 and Q queries only."""
-    return L.load_bets(tm.raw_bets(spark, d), tm.raw_events(spark, d), tm.BETS_AS_OF, all_history=True)
+    return L.load_bets(tm.raw_bets(spark, d), tm.raw_events(spark, d, lines), tm.BETS_AS_OF, all_history=True)
 
 
 def recent_bets(spark: SparkSession, d: str) -> DataFrame:
@@ -31,12 +31,12 @@ def recent_bets(spark: SparkSession, d: str) -> DataFrame:
                        days_back=tm.BETS_DAYS_BACK)
 
 
-def markets(spark: SparkSession, d: str) -> DataFrame:
-    return L.load_markets(tm.raw_markets(spark, d))
+def markets(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    return L.load_markets(tm.raw_markets(spark, d, lines))
 
 
-def outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return L.load_outcomes(tm.raw_outcomes(spark, d))
+def outcomes(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    return L.load_outcomes(tm.raw_outcomes(spark, d, lines))
 
 
 def odds_history(spark: SparkSession, d: str) -> DataFrame:
@@ -48,35 +48,23 @@ def behaviour_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hierarchy(spark: SparkSession, d: str, stage: str = "full") -> DataFrame:
-    """F21 and its stages over the mapped tables."""
-    from oddsforge.operators import hierarchy as H
+    """F21 and its stages over the mapped tables.
 
-    ev, mk, oc = events(spark, d), markets(spark, d), outcomes(spark, d)
-    bt, us = bets(spark, d), users(spark, d)
-    mk = H.clean_text_keys(mk, H.TEXT_KEYS["markets"])
-    oc = H.clean_text_keys(oc, H.TEXT_KEYS["outcomes"])
-    bt = H.clean_text_keys(bt, H.TEXT_KEYS["bets"])
-    cat = H.events_markets_outcomes(ev, mk, oc)
-    if stage == "catalogue":
-        return cat
-    classic = H.with_users(H.classic_view(cat, bt), us)
-    if stage == "classic":
-        return classic
-    direct = H.with_users(H.direct_view(ev, bt), us)
-    if stage == "direct":
-        return direct
+    From the combined view on, the fact table is read twice: once for the narrow (part, supplier, line) catalogue, from
+    which events, markets, outcomes and the bets' event dates come, and once for the bets; both are written.
+    """
+    from oddsforge.operators import hierarchy as H
     from oddsforge.session import cut_lineage
 
-    comb = H.combined_view(cut_lineage(ev), mk, oc, cut_lineage(bt), us)
-    if stage == "combined":
-        return comb
-    comb = H.temporal_features(comb, tm.BETS_AS_OF)
-    if stage == "temporal":
-        return comb
-    comb = H.with_odds(comb, odds_history(spark, d))
-    if stage == "odds":
-        return comb
-    return H.with_hierarchy_aggregates(cut_lineage(comb))
+    parts = stage in ("catalogue", "classic", "direct")
+    lines = None if parts else cut_lineage(tm.line_catalogue(spark, d))
+    ev, mk, oc, bt, us = events(spark, d, lines), markets(spark, d, lines), outcomes(spark, d, lines), bets(spark, d, lines), users(spark, d)
+    if parts:
+        mk, oc, bt = (H.clean_text_keys(t, H.TEXT_KEYS[k]) for k, t in (("markets", mk), ("outcomes", oc), ("bets", bt)))
+        cat = H.events_markets_outcomes(ev, mk, oc)
+        return {"catalogue": lambda: cat, "classic": lambda: H.with_users(H.classic_view(cat, bt), us),
+                "direct": lambda: H.with_users(H.direct_view(ev, bt), us)}[stage]()
+    return H.build_hierarchy(cut_lineage(ev), cut_lineage(mk), oc, cut_lineage(bt), us, odds_history(spark, d), tm.BETS_AS_OF, stage)
 
 
 def hierarchy_table(spark: SparkSession, d: str) -> DataFrame:

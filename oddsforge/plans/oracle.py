@@ -13,6 +13,8 @@ BETS_AS_OF = f"TIMESTAMP '{tm.BETS_AS_OF}'"
 LOG_AS_OF = f"TIMESTAMP '{tm.LOG_AS_OF}'"
 
 CTE = {}
+#: CTEs that several later ones read; evaluated once.
+WRITTEN = {"hier_o", "hier", "prep_in", "combined", "ues", "scored"}
 CTE["users_raw"] = """
   SELECT c.c_custkey AS user_id, f.registration_date, n.n_name AS country,
          c.c_acctbal AS total_deposits, CAST(c.c_mktsegment = 'BUILDING' AS INTEGER) AS vip_status
@@ -64,9 +66,8 @@ CTE["events_l"] = f"""
   SELECT event_id, sport, competition, teams, popularity_index, event_start_time, event_status,
          CAST(CASE WHEN event_start_time > {BETS_AS_OF} THEN date_sub('hour', {BETS_AS_OF}, event_start_time)
               ELSE 0 END AS BIGINT) AS hours_until_event
-  FROM events_raw
-  WHERE event_start_time >= {BETS_AS_OF} - INTERVAL {tm.EVENTS_DAYS_BACK} DAY
-    AND event_status IN ('scheduled', 'live', 'finished')"""
+  FROM events_raw WHERE event_status IN ('scheduled', 'live', 'finished')"""
+EVENTS_SINCE = f"{BETS_AS_OF} - INTERVAL {tm.EVENTS_DAYS_BACK} DAY"
 CTE["bets"] = f"""
   SELECT b.bet_id, b.user_id, b.event_id, b.outcome_id, b.bet_amount, b.odds AS odds_used, b.bet_timestamp,
          b.settlement_timestamp, b.outcome AS outcome_label, b.market, b.bet_result,
@@ -102,7 +103,7 @@ def with_ctes(names: list[str], body: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in WRITTEN else ''}({CTE[n]})" for n in order) + "\n" + body
 
 
 def rounded(inner: str, cols6=(), cols2=()) -> str:
@@ -435,9 +436,8 @@ RANKING_SQL = """
 
 DIVERSITY_SQL = """
   , recs10 AS (SELECT * FROM recs WHERE rank <= 10), pop AS (SELECT item_id, COUNT(*) AS pop FROM test_i GROUP BY item_id),
-  su AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM recs10)
-         ORDER BY ((user_id % 2147483648) * 2654435761 + 42) % 4294967296, user_id LIMIT 10),
-  sets AS (SELECT user_id, list(DISTINCT item_id) AS s FROM recs10 WHERE user_id IN (SELECT user_id FROM su) GROUP BY user_id),
+  su AS (SELECT DISTINCT user_id FROM recs10),
+  sets AS (SELECT user_id, list(DISTINCT item_id) AS s FROM recs10 GROUP BY user_id),
   iud AS (SELECT AVG(1.0 - CAST(len(list_intersect(a.s, b.s)) AS DOUBLE)
                      / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE)) AS iud
           FROM sets a JOIN sets b ON a.user_id < b.user_id)
@@ -448,6 +448,11 @@ DIVERSITY_SQL = """
                                FROM (SELECT DISTINCT item_id FROM recs10) x LEFT JOIN pop p ON x.item_id = p.item_id)
                               / (SELECT MAX(pop) FROM pop)) AS novelty
   FROM recs10"""
+COVERAGE_SQL = """
+  , recs10 AS (SELECT * FROM recs WHERE rank <= 10)
+  SELECT CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(DISTINCT item_id) AS DOUBLE) / COUNT(*) ELSE 0.0 END AS diversity,
+         CAST(COUNT(DISTINCT item_id) AS DOUBLE) / (SELECT COUNT(DISTINCT item_id) FROM test_i) AS coverage
+  FROM recs10"""
 
 
 # ---------------------------------------------------------------------------
@@ -555,6 +560,57 @@ MARKET_SQL = f""", st AS (SELECT {_ms} FROM mkt_raw)
 SELECT market_id, event_id, market_name, outcome_id, outcome_name, {_mx} FROM mkt_raw, st"""
 
 
+# ---------------------------------------------------------------------------
+# Training sets
+_WINDOWED = ["bet_count", "total_stake", "avg_stake", "stake_std", "avg_odds", "odds_std", "min_odds", "max_odds", "total_wins",
+             "win_rate", "sports_diversity", "market_diversity", "live_bet_rate"]
+_USER_WINDOWS = [f"{m}_{n}d" for n in (7, 30, 90) for m in _WINDOWED]
+TRAINING_FEATURES = (["total_deposits", "vip_status", "days_since_registration", *_USER_WINDOWS, "sports_entropy", "user_segment", "sport", "competition",
+                      "popularity_index", "days_until_event", "hours_until_event", "event_hour_sin", "event_hour_cos", "event_month_sin",
+                      "event_month_cos", "event_hour", "event_day_of_week", "is_weekend_event", "bet_hour", "bet_day_of_week", "is_bet_weekend",
+                      "bet_timing_hours_before", "bet_amount", "odds_used", "is_live_bet", "market_type_encoded", "outcome_type_encoded",
+                      "market_popularity"])
+TRAINING_RATIOS = ["bet_ratio", "implied_probability", "odds_log"]
+SIMPLE_TRAINING_FEATURES = [*_USER_WINDOWS, "bet_amount", "odds_used", "is_live_bet", "event_hour", "event_day_of_week", "is_weekend_event",
+                            "days_until_event", "sport", "market_name", "user_country"]
+
+
+def training_sql(clip: bool = False, simple: bool = False) -> str:
+    """F17, F18 with the clip, and F18's simplified preset, over the CTEs hier and mkt_raw."""
+    texts = ["sport", "market_name", "user_country"] if simple else ["user_segment", "sport", "competition"]
+    feats = SIMPLE_TRAINING_FEATURES if simple else TRAINING_FEATURES + TRAINING_RATIOS
+    base = [c for c in feats if c not in TRAINING_RATIOS]
+    keys = ["bet_id", "user_id", "event_id", "outcome_id"]
+    codes = ", ".join(f"""lab_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (
+        SELECT COALESCE(CAST({c} AS VARCHAR), 'Unknown') AS v FROM tr UNION SELECT 'Unknown'))""" for c in texts)
+    plain = [f"(SELECT code FROM lab_{c} WHERE v = COALESCE(CAST(tr.{c} AS VARCHAR), 'Unknown'))" if c in texts else f"tr.{c}" for c in base]
+    ratios = [] if simple else ["tr.bet_amount / (tr.total_deposits + 1.0) AS bet_ratio", "1.0 / least(greatest(tr.odds_used, 1.01), 1000.0) AS implied_probability",
+                                "ln(least(greatest(tr.odds_used, 1.01), 1000.0)) AS odds_log"]
+    x = ", ".join([f"CAST({e} AS DOUBLE) AS {c}" for e, c in zip(plain, base, strict=True)] + ratios)
+    fill = ", ".join(f"COALESCE(x.{c}, {'0' if simple else f'COALESCE(m.{c}, 0)'}) AS {c}" for c in feats)
+    low = {c: f"q.{c}_1 - 1.5 * (q.{c}_3 - q.{c}_1)" for c in feats}
+    high = {c: f"q.{c}_3 + 1.5 * (q.{c}_3 - q.{c}_1)" for c in feats}
+    cut = ", ".join(f"CASE WHEN q.{c}_3 = q.{c}_1 THEN y.{c} ELSE least(greatest(y.{c}, {low[c]}), {high[c]}) END AS {c}" for c in feats) if clip else ", ".join(f"y.{c}" for c in feats)
+    quart = lambda t: ", ".join(f"quantile_cont({c}, 0.25) AS {c}_1, quantile_cont({c}, 0.5) AS {c}_2, quantile_cont({c}, 0.75) AS {c}_3" for c in feats) + f" FROM {t}"
+    scaled = ", ".join(f"(z.{c} - s.{c}_2) / CASE WHEN s.{c}_3 = s.{c}_1 THEN 1.0 ELSE s.{c}_3 - s.{c}_1 END AS {c}" for c in feats)
+    key = ", ".join(keys)
+    market = "" if simple else " LEFT JOIN (SELECT outcome_id, market_type_encoded, outcome_type_encoded, market_popularity FROM mkf) f ON h.outcome_id = f.outcome_id"
+    extra = "" if simple else ", f.market_type_encoded, f.outcome_type_encoded, f.market_popularity"
+    mkf = "" if simple else f", mkf AS MATERIALIZED (WITH {MARKET_SQL.lstrip(', ')})"
+    user = ", ".join(f"b.{c}" for c in [*_USER_WINDOWS, *([] if simple else ["sports_entropy", "user_segment"])])
+    return f""", beh AS MATERIALIZED (WITH {behaviour_sql('hier', BETS_AS_OF)}){mkf},
+tr AS MATERIALIZED (SELECT h.*, {user}{extra} FROM hier h LEFT JOIN beh b ON h.user_id = b.user_id{market}
+       WHERE lower(h.bet_result) IN ('won', 'lost') AND h.outcome IS NOT NULL),
+{codes},
+x AS MATERIALIZED (SELECT {key}, CAST(tr.outcome AS DOUBLE) AS label, {x} FROM tr),
+m AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS {c}' for c in feats)} FROM x),
+y AS MATERIALIZED (SELECT {key}, label, {fill} FROM x, m),
+q AS (SELECT {quart('y')}),
+z AS MATERIALIZED (SELECT {key}, label, {cut} FROM y, q),
+s AS (SELECT {quart('z')})
+SELECT {key}, label, {scaled} FROM z, s"""
+
+
 # ---------------------------------------------------------------------------
 # Event content features (F4 event codes, F5 TF-IDF, F6-F8 numeric block)
 # The English stop words, written out apart from the plan's own list so
@@ -648,7 +704,7 @@ def ranker_metrics_sql(name: str) -> str:
       (SELECT auc FROM (WITH lscores AS ({pred}) {AUC_SQL})) AS auc,
       r.precision AS precision_at_5, r.recall AS recall_at_5, v.diversity, v.coverage
     FROM (WITH recs AS ({recs}), test_i AS ({test}) {RANKING_SQL}) r,
-         (WITH recs AS ({recs}), test_i AS ({test}) {DIVERSITY_SQL}) v
+         (WITH recs AS ({recs}), test_i AS ({test}) {COVERAGE_SQL}) v
     WHERE r.k = 5"""
 
 

@@ -31,7 +31,7 @@ def s1_load_users(spark, d):
     return D.users(spark, d)
 
 
-@register("s2_load_events", W(["events_l"], "SELECT * FROM events_l"))
+@register("s2_load_events", W(["events_l"], f"SELECT * FROM events_l WHERE event_start_time >= {O.EVENTS_SINCE}"))
 def s2_load_events(spark, d):
     return D.recent_events(spark, d)
 
@@ -400,7 +400,7 @@ def e6_e8_ranking_metrics(spark, d):
 def e9_e11_diversity_metrics(spark, d):
     """E9 + E10 + E11 (+A12, U3, U4, J13): diversity, coverage, inter-user diversity, novelty."""
     test, recs = _test_and_recs(spark, d, 10)
-    return E.diversity_metrics(recs, test, sample_users=10)
+    return E.diversity_metrics(recs, test)
 
 
 # ------------------------------------------------------- bandit + streaming
@@ -442,6 +442,23 @@ def m19_ucb_scores(spark, d):
     return BD.ucb_scores(_arm_state(spark, d))
 
 
+@register("m19_choose_available", W(["rewards"], """
+  , off AS (SELECT DISTINCT user_id, event_type AS action FROM events),
+  arms AS (SELECT action, COUNT(*) AS n, CAST(SUM(reward) AS DOUBLE) AS s FROM rewards WHERE user_id % 3 > 0 AND action <> (SELECT MIN(action) FROM rewards) GROUP BY action),
+  t AS (SELECT SUM(n) AS t FROM arms),
+  sc AS (SELECT user_id AS decision_id, off.action, n, CASE WHEN n > 0 THEN s / n + sqrt(2.0 * ln(CAST(t AS DOUBLE)) / n) END AS ucb,
+                row_number() OVER (PARTITION BY user_id ORDER BY off.action DESC) AS place FROM off LEFT JOIN arms ON off.action = arms.action, t)
+  SELECT decision_id, action, ucb AS ucb_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY CASE WHEN ucb IS NULL THEN 0 ELSE 1 END, ucb DESC, place) AS r FROM sc) WHERE r = 1"""), cols6=["ucb_score"])
+def m19_choose_available(spark, d):
+    """M19 (choice): for every user the arm to play among those offered to that user; one arm has never been played."""
+    r = tm.bandit_rewards(spark, d)
+    first = r.agg(F.min("action").alias("a"))
+    played = r.filter(F.col("user_id") % 3 > 0).join(F.broadcast(first), F.col("action") != F.col("a")).select("action", "reward")
+    offered = r.groupBy(F.col("user_id").alias("decision_id")).agg(F.sort_array(F.collect_set("action"), asc=False).alias("actions"))
+    return BD.choose_available(BD.update_arms(BD.init_arms(played), played), offered)
+
+
 @register("m20_predict_pairs", W(["arm_state", "rewards"], """
   SELECT r.user_id, r.action AS item_id,
          CASE WHEN s.n > 0 THEN s.reward_sum / s.n ELSE 0.5 END AS prediction
@@ -494,6 +511,19 @@ def f1_impute_smart(spark, d):
     return PR.impute(_prep_in(spark, d), "smart", numeric=_PN, categorical=_PC)
 
 
+@register("f1_impute_times", W(["prep_in"], f""", f AS ({O.impute_sql().split(chr(10), 1)[1]}),
+  o AS (SELECT *, row_number() OVER (ORDER BY bet_id, user_id, bet_timestamp NULLS FIRST) AS o FROM f)
+  SELECT * EXCLUDE (o) REPLACE (
+    COALESCE(last(registration_date IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             first(registration_date IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS registration_date,
+    COALESCE(last(bet_timestamp IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             first(bet_timestamp IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bet_timestamp)
+  FROM o""".replace(", f AS (SELECT", "{STATS}, f AS (SELECT", 1).replace("{STATS}", O.impute_sql().split(chr(10), 1)[0], 1)), cols6=_PN)
+def f1_impute_times(spark, d):
+    """F1 with times: median / mode, and times filled forward (then backward) in bet order."""
+    return PR.impute(_prep_in(spark, d), "smart", numeric=_PN, categorical=_PC, order_by=["bet_id", "user_id", "bet_timestamp"])
+
+
 @register("f2_impute_zero", W(["prep_in"], "SELECT " + ", ".join(
     [f"COALESCE({c}, 0) AS {c}" for c in ["bet_id", "event_id", "user_id"] + _PN] + _PC
     + ["registration_date", "bet_timestamp"]) + " FROM prep_in"), cols6=_PN)
@@ -584,6 +614,7 @@ from oddsforge.models import content as CT  # noqa: E402
 from oddsforge.models import contextual as CX  # noqa: E402
 from oddsforge.models import hybrid as HY  # noqa: E402
 from oddsforge.models import mf as MF  # noqa: E402
+from oddsforge.models import network as NN  # noqa: E402
 from oddsforge.sources.tables import read_table  # noqa: E402
 
 
@@ -620,6 +651,31 @@ def m6_m8_content_scores(spark, d):
     return CT.score_pairs(model, pairs).select("user_id", "item_id", "rating", "prediction")
 
 
+def _network(spark, d):
+    """The network and its inputs: rated pairs, user profiles, scaled item vectors."""
+    from oddsforge.session import cut_lineage
+    ratings, items = _content_inputs(spark, d)
+    items = cut_lineage(CT.scale_items(items).select("item_id", F.col("embedding").alias("item")))
+    prof = cut_lineage(CT.profile_arrays(CT.user_profiles(ratings, items, vec_col="item")))
+    pairs = ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating"))
+    model = NN.fit(pairs.join(prof, "user_id").join(items, "item_id"))
+    return model, pairs, prof, items
+
+
+@register("m7_m8_network_scores", rows_only="iterative model fit (network)")
+def m7_m8_network_scores(spark, d):
+    """M7 + M8: the dense network fitted on profile and item vectors, its score of every rated pair."""
+    model, pairs, prof, items = _network(spark, d)
+    return NN.score_pairs(model, pairs, prof, items).select("user_id", "item_id", "rating", "prediction")
+
+
+@register("m9_network_recommendations", rows_only="iterative model fit (network); search tested against brute force")
+def m9_network_recommendations(spark, d):
+    """M9: every user's ten best items under the network, by the exact bounded search."""
+    model, _, prof, items = _network(spark, d)
+    return NN.recommend_all(model, prof, items, 10).table
+
+
 def _hyb_in(spark, d):
     sc = _scored(spark, d)
     return sc.select("user_id", F.col("event_id").alias("item_id"), F.col("frequency_score").alias("s_collaborative"),
@@ -651,8 +707,9 @@ def _mf_ratings(spark, d):
 
 @register("m1_m4_mf_recommendations", rows_only='iterative model fit (ALS)')
 def m1_m4_mf_recommendations(spark, d):
-    """M1 + M4 + J12: biased MF (ALS on residuals), top-10 per user (rows-only)."""
-    model = MF.fit(_mf_ratings(spark, d))
+    """M1 + M4 + J12: biased MF, stopped on a fifth of the pairs, top-10 per user by the whole score (rows-only)."""
+    r = _mf_ratings(spark, d).withColumn("_h", F.pmod(F.xxhash64("user_idx", "item_idx", F.lit(42)), F.lit(5)))
+    model = MF.fit(r.filter("_h > 0").drop("_h"), val=r.filter("_h = 0").drop("_h"))
     return MF.recommend(model, 10)
 
 
@@ -703,9 +760,10 @@ def s14_latest_features(spark, d):
         .select("user_id", "event_id", "ts", "event_type", "value", "feature_timestamp")
 
 
-@register("s11_bounded_sample", rows_only='sample order uses xxhash64, which the SQL engine lacks')
+@register("s11_bounded_sample", W(["bets_raw"], """
+  SELECT * FROM bets_raw ORDER BY md5(concat_ws('|', bet_id, outcome_id, '42')), bet_id, outcome_id LIMIT 100000"""), cols6=["bet_amount", "odds"])
 def s11_bounded_sample(spark, d):
-    """Seeded bounded sample (≤100 000 rows) of the bet table (rows-only)."""
+    """Seeded bounded sample (≤100 000 rows) of the bet table."""
     return SK.bounded_sample(tm.raw_bets(spark, d), ["bet_id", "outcome_id"], 100_000)
 
 
@@ -721,10 +779,15 @@ def s10_s13_sinks_roundtrip(spark, d):
     return spark.read.parquet(f"{base}/coo")
 
 
-@register("f19_stratified_split", rows_only='split order uses xxhash64, which the SQL engine lacks; invariants tested')
+@register("f19_stratified_split", W(["ues"], """
+  , l AS (SELECT user_id, event_id, CASE WHEN user_id % 11 > 0 THEN CAST(wins > 0 AS INTEGER) END AS label FROM ues),
+  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY substr(md5(concat_ws('|', user_id, event_id, '42')), 1, 15), user_id, event_id) AS r,
+               round_even(0.2 * COUNT(*) OVER (PARTITION BY label), 0) AS t, COUNT(*) OVER (PARTITION BY label) AS n FROM l)
+  SELECT user_id, event_id, label, CASE WHEN r <= t THEN 'test' WHEN r <= t + round_even((0.2 / 0.8) * (n - t), 0) THEN 'val' ELSE 'train' END AS split
+  FROM r"""))
 def f19_stratified_split(spark, d):
-    """exact stratified 60/20/20 split of user–event statistics by win label (rows-only)."""
-    st = _ues(spark, d).withColumn("label", (F.col("wins") > 0).cast("int"))
+    """exact stratified 60/20/20 split of user–event statistics by win label; pairs without a label are a class."""
+    st = _ues(spark, d).withColumn("label", F.when(F.col("user_id") % 11 > 0, (F.col("wins") > 0).cast("int")))
     return SK.stratified_split(st, "label", ["user_id", "event_id"]).select("user_id", "event_id", "label", "split")
 
 
@@ -920,7 +983,7 @@ def s8_parameterised_sql(spark, d):
 
 @register("s9_table_info", rows_only='schema metadata, engine-specific type names')
 def s9_table_info(spark, d):
-    """Column metadata of the bet table (rows-only)."""
+    """Column metadata of the bet table, with each column's number of values (rows-only)."""
     from oddsforge.sources.loaders import table_info
     return table_info(tm.raw_bets(spark, d))
 
@@ -937,18 +1000,28 @@ def _training_inputs(spark, d):
     return h, uf, mf
 
 
-@register("f17_training_set", rows_only='composition of exact-checked parts; checked rows-only')
+_F17 = O.TRAINING_FEATURES + O.TRAINING_RATIOS
+
+
+@register("f17_training_set", W(["hier", "mkt_raw"], O.training_sql()), cols6=_F17)
 def f17_training_set(spark, d):
-    """the full training set (P7 → joins → P8 → F4 → P9 → P11 → F1 → P10 → F8), rows-only."""
+    """the full training set (P7 → joins → P8 → F4 → P9 → P11 → F1 → P10 → F8)."""
     return TR.training_set(*_training_inputs(spark, d))
 
 
-@register("f18_training_set_iqr", rows_only='composition of exact-checked parts; checked rows-only')
+@register("f18_training_set_iqr", W(["hier", "mkt_raw"], O.training_sql(clip=True)), cols6=_F17)
 def f18_training_set_iqr(spark, d):
-    """training set with the IQR outlier step, rows-only."""
+    """training set with the IQR outlier step."""
     return TR.training_set(*_training_inputs(spark, d), outliers="iqr")
 
 
+@register("f18_simple_training_set", W(["hier"], O.training_sql(simple=True)), cols6=O.SIMPLE_TRAINING_FEATURES)
+def f18_simple_training_set(spark, d):
+    """F18, simplified preset: window columns, bet context and three encoded texts, missing as 0, robust scaling."""
+    h = D.hierarchy_table(spark, d)
+    return TR.simple_training_set(h, B.user_behavioural_features(h, tm.BETS_AS_OF))
+
+
 # ---------------------------------------------------- model comparison E12-E14
 RANKERS = ("frequency", "success", "timing")
 
@@ -968,7 +1041,7 @@ def _model_metrics(spark, d):
                            .select("user_id", "item_id", "rank"))
         at5 = (E.ranking_metrics(recs, test).filter(F.col("k") == 5)
                .select(F.col("precision").alias("precision_at_5"), F.col("recall").alias("recall_at_5")))
-        div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test, sample_users=10).select("diversity", "coverage")
+        div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test, inter_user=False).select("diversity", "coverage")
         frames.append(E.metrics_long(n, [E.regression_metrics(pred).select("mse", "mae"), E.auc_ap(pred).select("auc"), at5, div]))
     return _r(lambda a, b: a.unionByName(b), frames)
 
@@ -1005,7 +1078,7 @@ def e12_full_evaluation(spark, d):
                                  "as (m, value)") \
         .select(F.lit("timing_rank").alias("model"), F.concat_ws("_at_", "m", F.col("k").cast("string")).alias("metric"),
                 "value")
-    div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test, sample_users=10)
+    div = E.diversity_metrics(recs.filter(F.col("rank") <= 10), test)
     base = E.metrics_long("timing_rank", [E.regression_metrics(ls), E.auc_ap(ls), div])
     return base.unionByName(rk_long)
 
@@ -1168,3 +1241,105 @@ def s14_feature_snapshot_roundtrip(spark, d):
     SK.write_parquet(feats, path, partition_by=["feature_date"])
     snaps = spark.read.parquet(path)
     return SK.latest_features(snaps, ["user_id"], tm.LOG_AS_OF, 90)
+
+
+@register("s13_best_model_facts", f"""
+SELECT metric, best_model AS model_name, best_value AS score, 'models/' || best_model AS original_path FROM ({O.BEST_SQL})""", cols6=["score"])
+def s13_best_model_facts(spark, d):
+    """The best model of each metric written as JSON records and read back."""
+    import uuid
+
+    from oddsforge.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/best-models-{uuid.uuid4().hex}"
+    SK.write_best_models(E.best_models(_model_metrics(spark, d)), path, "models")
+    return SK.read_best_models(spark, path)
+
+
+_SIMPLE_NAMES = ["bet_count", "total_stake", "avg_stake", "stake_std", "avg_odds", "odds_std", "win_rate", "total_wins", "sports_diversity",
+                 "markets_diversity", "live_bet_rate"]
+
+
+def _simple_windows_sql():
+    per = []
+    for n in (7, 30, 90):
+        per.append(f"""w{n} AS (SELECT user_id, COUNT(bet_amount) AS bet_count_{n}d, COALESCE({O.xsum('bet_amount')}, 0) AS total_stake_{n}d,
+          {O.xavg('bet_amount')} AS avg_stake_{n}d, STDDEV_SAMP(bet_amount) AS stake_std_{n}d, {O.xavg('odds_used')} AS avg_odds_{n}d,
+          STDDEV_SAMP(odds_used) AS odds_std_{n}d, CAST(SUM(outcome) AS DOUBLE) / COUNT(outcome) AS win_rate_{n}d,
+          CAST(COALESCE(SUM(outcome), 0) AS DOUBLE) AS total_wins_{n}d, COUNT(DISTINCT sport) AS sports_diversity_{n}d,
+          COUNT(DISTINCT market_name) AS markets_diversity_{n}d, CAST(SUM(is_live_bet) AS DOUBLE) / COUNT(is_live_bet) AS live_bet_rate_{n}d
+          FROM blog WHERE user_id IS NOT NULL AND bet_timestamp >= {O.LOG_AS_OF} - INTERVAL {n} DAY GROUP BY user_id)""")
+    return ", " + ", ".join(per) + """
+  SELECT *, win_rate_7d - win_rate_30d AS win_rate_trend, avg_stake_7d / (avg_stake_30d + 1e-8) AS stake_trend
+  FROM w7 FULL OUTER JOIN w30 USING (user_id) FULL OUTER JOIN w90 USING (user_id)"""
+
+
+@register("a4_w3_simple_windows", W(["blog"], _simple_windows_sql()),
+          cols6=[f"{m}_{n}d" for n in (7, 30, 90) for m in _SIMPLE_NAMES if m not in ("bet_count", "sports_diversity", "markets_diversity")] + ["win_rate_trend", "stake_trend"])
+def a4_w3_simple_windows(spark, d):
+    """A4 + W3, second forms: 11 measures per window, win rate as a mean, trend denominator + 1e-8."""
+    return B.add_trends(B.simple_window_stats(D.behaviour_log(spark, d), tm.LOG_AS_OF), 1e-8)
+
+
+def _q6_columns_sql():
+    kind = "CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'integer' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'text' WHEN 'DATE' THEN 'date' ELSE 'time' END"
+    tables = {"users": ("users_raw", ["user_id", "registration_date", "country", "total_deposits", "vip_status"]),
+              "bets": ("bets_raw", ["bet_id", "user_id", "event_id", "outcome_id", "bet_amount", "odds", "bet_timestamp", "settlement_timestamp", "outcome", "market", "bet_result"]),
+              "events": ("events_raw", ["event_id", "sport", "competition", "teams", "popularity_index", "event_start_time", "event_status"]),
+              "markets": ("markets_raw", ["market_id", "event_id", "market_name"]), "outcomes": ("outcomes_raw", ["outcome_id", "market_id", "outcome_name"])}
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS position, {kind.format(c=c)} AS kind, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls FROM {src}"
+                              for t, (src, cols) in tables.items() for i, c in enumerate(cols))
+
+
+@register("q6_all_columns", W(["users_raw", "bets_raw", "events_raw", "markets_raw", "outcomes_raw"], _q6_columns_sql()))
+def q6_all_columns(spark, d):
+    """Q6 over all tables: kind of every column's type, rows and nulls."""
+    return Q.table_columns({"users": tm.raw_users(spark, d), "bets": tm.raw_bets(spark, d), "events": tm.raw_events(spark, d),
+                            "markets": tm.raw_markets(spark, d), "outcomes": tm.raw_outcomes(spark, d)})
+
+
+@register("p2_string_timestamps", """
+  SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS bet_timestamp FROM orders""")
+def p2_string_timestamps(spark, d):
+    """Timestamps that come as text; what does not parse is NULL."""
+    from oddsforge.operators import hierarchy as H
+    o = read_table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("bet_timestamp"))
+    return H.coerce_timestamps(o).select("o_orderkey", F.col("bet_timestamp").cast("timestamp_ntz").alias("bet_timestamp"))
+
+
+@register("p9_ratios_second_form", """
+  SELECT l_orderkey, l_linenumber, l_extendedprice / (l_quantity * 100 + 1.0) AS bet_ratio, 1.0 / greatest(l_discount * 20000, 1.01) AS implied_probability,
+         ln(greatest(l_discount * 20000, 1.01)) AS odds_log, CAST(l_partkey AS DOUBLE) / (l_quantity * 365.0 + 1.0) AS experience_ratio FROM lineitem""",
+          cols6=["bet_ratio", "implied_probability", "odds_log", "experience_ratio"])
+def p9_ratios_second_form(spark, d):
+    """Ratios with odds clipped from below only, and the experience ratio."""
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("bet_amount"), (F.col("l_quantity") * 100).alias("total_deposits"),
+                                                 (F.col("l_discount") * 20000).alias("odds_used"), F.col("l_quantity").alias("age"), F.col("l_partkey").alias("days_since_registration"))
+    return PR.derived_ratios(li, clip_upper=False).select("l_orderkey", "l_linenumber", "bet_ratio", "implied_probability", "odds_log", "experience_ratio")
+
+
+@register("p10_replace_nonfinite", """
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 5 = 0 THEN 1.0 WHEN l_quantity % 5 = 1 THEN -1.0 WHEN l_quantity % 5 = 2 THEN 0.0
+         WHEN l_quantity % 5 = 3 THEN 0.0 ELSE l_tax END AS x FROM lineitem""", cols6=["x"])
+def p10_replace_nonfinite(spark, d):
+    """P10: +inf, -inf, NaN and NULL replaced."""
+    k = F.col("l_quantity") % 5
+    x = F.when(k == 0, float("inf")).when(k == 1, float("-inf")).when(k == 2, float("nan")).when(k == 3, F.lit(None)).otherwise(F.col("l_tax"))
+    return PR.replace_nonfinite(read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.cast("double").alias("x")), ["x"])
+
+
+@register("p11_text_target", """
+  SELECT l_orderkey, l_linenumber, CAST((SELECT COUNT(*) FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem UNION SELECT 'Unknown') u WHERE u.f < lineitem.l_returnflag) AS DOUBLE) AS label
+  FROM lineitem""")
+def p11_text_target(spark, d):
+    """A target that never parses as a number becomes sorted label codes."""
+    from oddsforge.operators import training as TR2
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return TR2.coerce_target(li, "l_returnflag").select("l_orderkey", "l_linenumber", "label")
+
+
+@register("p15_bare_id", W(["direct"], "SELECT bet_id, event_id, user_id, bet_amount FROM direct"), cols6=["bet_amount"])
+def p15_bare_id(spark, d):
+    """P15 + J4: bets whose id column is called ``id`` in the direct view."""
+    from oddsforge.operators import hierarchy as H
+    b = D.bets(spark, d).withColumnRenamed("bet_id", "id")
+    return H.direct_view(D.events(spark, d), b).select("bet_id", "event_id", "user_id", "bet_amount")

@@ -162,8 +162,9 @@ def execute_query(spark: SparkSession, query: str, args: dict | None = None, **t
 
 
 def table_info(df: DataFrame) -> DataFrame:
-    """Column metadata (name, type, nullable, position) of a table as a DataFrame."""
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    schema = "ordinal_position int, column_name string, data_type string, is_nullable boolean"
-    return spark.createDataFrame(rows, schema)
+    """Column metadata (name, type, nullable, position) of a table, and how many values each column holds, from
+    one aggregate over the table."""
+    wide = df.agg(*[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    each = [F.struct(F.lit(i).alias("ordinal_position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                     F.lit(f.nullable).alias("is_nullable"), F.col(f"_{i}").alias("n_values")) for i, f in enumerate(df.schema.fields)]
+    return wide.select(F.inline(F.array(*each)))

@@ -39,19 +39,19 @@ def raw_users(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("c_mktsegment") == "BUILDING").cast("int").alias("vip_status")))
 
 
-def _line_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """One aggregate over lineitem shared by events, markets and outcomes:
-    (part, supplier, line number) -> first ship date. Building every catalogue
-    table from this single plan lets Spark reuse one exchange instead of
-    scanning the fact table once per catalogue table."""
+def line_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """One aggregate over lineitem shared by events, markets and outcomes: (part, supplier, line number) -> first ship
+    date. The catalogue tables take it as ``lines``; a caller that needs several of them writes it once
+    (:func:`oddsforge.session.cut_lineage`) and so reads the fact table once for all."""
     return (read_table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey", "l_linenumber")
             .agg(F.min("l_shipdate").alias("first_ship")))
 
 
-def raw_events(spark: SparkSession, d: str) -> DataFrame:
+def raw_events(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
     """part ⟕ first ship date -> event summary table."""
     p = read_table(spark, d, "part")
-    start = (_line_catalogue(spark, d).groupBy("l_partkey")
+    lines = line_catalogue(spark, d) if lines is None else lines
+    start = (lines.groupBy("l_partkey")
              .agg(F.min("first_ship").alias("event_start_time")))
     return (p.join(start, p.p_partkey == start.l_partkey, "left")
             .select(F.col("p_partkey").alias("event_id"),
@@ -71,7 +71,7 @@ def _market_id(partkey="l_partkey", suppkey="l_suppkey"):
 
 def raw_markets_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (part, supplier, line) -> market/outcome catalogue rows."""
-    li = _line_catalogue(spark, d).select("l_partkey", "l_suppkey", "l_linenumber")
+    li = line_catalogue(spark, d).select("l_partkey", "l_suppkey", "l_linenumber")
     s = read_table(spark, d, "supplier").select("s_suppkey", "s_name")
     return (li.join(s, li.l_suppkey == s.s_suppkey, "left")
             .select(_market_id().alias("market_id"),
@@ -81,16 +81,16 @@ def raw_markets_outcomes(spark: SparkSession, d: str) -> DataFrame:
                     F.col("l_linenumber").cast("string").alias("outcome_name")))
 
 
-def raw_markets(spark: SparkSession, d: str) -> DataFrame:
-    li = _line_catalogue(spark, d).select("l_partkey", "l_suppkey").distinct()
+def raw_markets(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    li = (line_catalogue(spark, d) if lines is None else lines).select("l_partkey", "l_suppkey").distinct()
     s = read_table(spark, d, "supplier").select("s_suppkey", "s_name")
     return (li.join(s, li.l_suppkey == s.s_suppkey, "left")
             .select(_market_id().alias("market_id"), F.col("l_partkey").alias("event_id"),
                     F.col("s_name").alias("market_name")))
 
 
-def raw_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    li = _line_catalogue(spark, d).select("l_partkey", "l_suppkey", "l_linenumber")
+def raw_outcomes(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    li = (line_catalogue(spark, d) if lines is None else lines).select("l_partkey", "l_suppkey", "l_linenumber")
     return li.select((_market_id() * F.lit(OUTCOME_KEY_FACTOR) + F.col("l_linenumber")).alias("outcome_id"),
                      _market_id().alias("market_id"),
                      F.col("l_linenumber").cast("string").alias("outcome_name"))
