@@ -12,7 +12,7 @@ together before their smallest doc_id is joined to them, so a text of very many
 
 Defined results: null texts are empty, null sources the part ''; a null doc_id neither fails E nor makes another
 fail; rows that share a doc_id count each, and none of them is a copy of another; of a document's several labels any 1
-counts; unlabelled documents are neither good nor toxic; an empty table gives no rows. Other columns are ignored.
+counts; unlabelled documents and those of a null doc_id are neither good nor toxic; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

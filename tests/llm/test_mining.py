@@ -153,6 +153,8 @@ def brute_audit(rows, labels):
     texts = [t or "" for _, t, _ in rows]
     of = {}
     for d, q, x in labels:
+        if d is None:
+            continue
         good, toxic = of.get(d, (0, 0))
         of[d] = max(good, int(q == 1)), max(toxic, int(x == 1))
     fails = []
