@@ -1,9 +1,10 @@
 """Operator 5: secret scan, in DataFrame functions only.
 
-Base spans come from three patterns (assignments, access keys, long hex). Beyond them, every long run of
-key characters is scored by two first-order character Markov models, one of random strings and one of
-ordinary identifiers; where the log-likelihood ratio of its characters favours "random" by ``min_llr`` nats
-or more, the run is a span of kind ``markov`` unless it overlaps a base span.
+Base spans come from three patterns (assignments, access keys, long hex). Beyond them, every run of ``min_run`` key
+characters or more is scored by two first-order character Markov models, one of random strings and one of ordinary
+identifiers; where the log-likelihood ratio of its characters favours "random" by ``min_llr`` nats or more, the run is a
+span of kind ``markov``. Base spans are blanked out first, so of a run that meets one the parts outside it are scored.
+``min_run`` is about the shortest run whose pairs can reach ``min_llr``.
 
 Training: the labelled samples are the values of base matches (random) and the other runs of key characters
 that occur more than once (ordinary) in a sample of about ``train_docs`` documents, taken by a hash of doc_id. Only counts of
@@ -16,6 +17,7 @@ learn from both models are uniform and add nothing. Columns besides doc_id and t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,10 @@ BACK_OFF = 20.0  # pairs that the characters' own shares count for after each ch
 PAIRS = r"(?=([A-Za-z0-9+/_=-]{2}))"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
+def _spans(text: Column, pattern: str, kind: int, keep=None, passes: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start,kind,end,value>> of the pattern's leftmost matches: what ``split`` leaves and what
-    the pattern matches alternate, so their lengths give the places, in code points."""
+    the pattern matches alternate, so their lengths give the places, in code points. Matches that do not
+    pass are never appended, so many of them cost no more than their number."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if keep else found
     state = "struct<at:bigint,out:array<struct<start:bigint,kind:int,end:bigint,value:string>>>"
@@ -43,7 +46,8 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
-        out = F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one))
+        good = x["hit"].isNotNull() if passes is None else x["hit"].isNotNull() & passes(x["hit"])
+        out = F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"])
         return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), out.alias("out")).cast(state)
 
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>").alias("out")).cast(state)
@@ -60,8 +64,18 @@ def base_spans(docs: DataFrame) -> DataFrame:
                        _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"))
 
 
-def _overlaps(start: Column, end: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < end) & (start < b["end"]))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a space for every character inside the spans: all other characters keep their places."""
+    state = "struct<at:bigint,out:string>"
+
+    def step(acc, x):
+        start, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        between = F.substring(text, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], between, F.repeat(F.lit(" "), (end - start).cast("int"))).alias("out")).cast(state)
+
+    all_of = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")).cast(state), step)
+    rest = F.substring(text, (all_of["at"] + 1).cast("int"), F.char_length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(all_of["out"], rest))
 
 
 def train_models(docs: DataFrame, train_docs: int = 4000) -> list[float]:
@@ -97,14 +111,14 @@ def llr(run: Column, model: list[float]) -> Column:
         ratios, F.get(places, F.ascii(p)) * N + F.get(places, F.ascii(F.substring(p, 2, 1)))))
 
 
-def scan_secrets(docs: DataFrame, train_docs: int = 4000, min_run: int = 20, min_llr: float = 10.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, train_docs: int = 4000, min_run: int = 8, min_llr: float = 10.0) -> DataFrame:
     """Per row of ``docs``: doc_id and the arrays assign, access, hex and markov of struct<start,kind,end,value>
     (code points, end exclusive; kind indexes KINDS)."""
     model = train_models(docs, train_docs)
     base = base_spans(docs)
-    runs = base.withColumn("runs", _spans(F.col("text"), "[A-Za-z0-9+/_=-]{%d,}" % min_run, 3))
-    known = F.concat("assign", "access", "hex")
-    return runs.select("doc_id", "assign", "access", "hex", F.filter("runs", lambda s: ~_overlaps(s["start"], s["end"], known) & (llr(s["value"], model) >= min_llr)).alias("markov"))
+    left = base.withColumn("left", blanked(F.col("text"), F.concat("assign", "access", "hex")))
+    random = _spans(F.col("left"), "[A-Za-z0-9+/_=-]{%d,}" % min_run, 3, passes=lambda run: llr(run, model) >= min_llr)
+    return left.select("doc_id", "assign", "access", "hex", random.alias("markov"))
 
 
 def written_spans(spans: Column) -> Column:

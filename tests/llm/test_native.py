@@ -125,6 +125,27 @@ def test_secrets_markov_finds_random_strings(make_docs):
     assert sum(r["n_markov"] for i, r in got.items() if i != 1000) == 0
 
 
+def test_secrets_markov_short_runs_and_rests(make_docs):
+    """Secrets of 12 to 19 characters, and the part of a run that lies outside a base span; long and odd texts."""
+    rng = random.Random(13)
+    alphabet = secrets.ALPHABET[:62]
+    draw = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = lambda n: " ".join("".join(rng.choice(["the", "ing", "er", "tion", "an", "or", "wh"]) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    rows = [(i, words(60) + f" token={draw(30)} ") for i in range(80)]
+    hidden = {1000 + n: draw(n) for n in range(12, 20)}
+    rows += [(i, "é " + words(8) + " " + h + " " + words(3)) for i, h in hidden.items()]
+    key = "AKIA" + "Z9" * 9
+    rest = draw(30).replace("Z", "y").lower() + "q"
+    rows += [(2000, f"{words(4)} {rest}{key}-{rest} {words(4)}"), (2001, words(60_000)), (2002, f"password=abcdefgh token=password=abcdefgh {words(5)}")]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.secret_digest(make_docs(rows)).collect()}
+    text = dict(rows)
+    found = sum(f"markov:{text[i].index(h)}:{text[i].index(h) + len(h)}" in got[i] for i, h in hidden.items())
+    assert found >= 7
+    at = text[2000].index(key)
+    assert f"access:{at}:{at + len(key)}" in got[2000] and sum(x.startswith("markov") for x in got[2000]) == 2
+    assert not any(x.startswith("markov") for i in (*range(80), 2001, 2002) for x in got[i])
+
+
 def test_secrets_empty(make_docs):
     assert secrets.secret_digest(make_docs([])).count() == 0
 
