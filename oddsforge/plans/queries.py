@@ -640,6 +640,24 @@ def m5_user_profiles(spark, d):
     return CT.user_profiles(ratings, items)
 
 
+@register("m6_training_pairs", W(["profiles"], """
+  , r AS (SELECT user_id, item_id, AVG(rating) AS rating FROM cratings GROUP BY user_id, item_id),
+  v AS (SELECT vec_id AS item_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+  SELECT r.user_id, r.item_id, any_value(r.rating) AS rating, 3 * COUNT(*) AS n_features, SUM(p.value * (v.dim + 1)) AS profile_part, SUM(v.x * (v.dim + 1)) AS item_part,
+         SUM(p.value * v.x * (v.dim + 1)) AS product_part
+  FROM r JOIN v ON r.item_id = v.item_id JOIN profiles p ON p.user_id = r.user_id AND p.dim = v.dim GROUP BY r.user_id, r.item_id"""),
+          cols6=["rating", "profile_part", "item_part", "product_part"])
+def m6_training_pairs(spark, d):
+    """M6: the pairs' features (profile, item vector, their product), each third weighted by place and summed, and the label."""
+    from pyspark.ml.functions import vector_to_array
+    ratings, items = _content_inputs(spark, d)
+    pairs = CT.training_pairs(ratings.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), CT.user_profiles(ratings, items), items)
+    f = vector_to_array("features")
+    third = lambda k: F.expr(f"aggregate(transform(slice(f, cast({k} * size(f) div 3 + 1 as int), cast(size(f) div 3 as int)), (x, i) -> x * (i + 1)), 0D, (a, x) -> a + x)")
+    return pairs.withColumn("f", f).select("user_id", "item_id", "rating", F.size("f").cast("long").alias("n_features"), third(0).alias("profile_part"),
+                                           third(1).alias("item_part"), third(2).alias("product_part"))
+
+
 @register("m6_m8_content_scores", rows_only='iterative model fit (linear regression)')
 def m6_m8_content_scores(spark, d):
     """M6 + M7 + M8: profile ‖ item features -> linear scorer -> pair predictions (rows-only)."""
