@@ -245,7 +245,8 @@ def test_toxicity_of_long_unspaced_text(spark, make_docs):
     lab = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)] + [(900, 1, 1), (901, 1, 0)], "doc_id long, quality int, toxic int")
     lab = lab.selectExpr("*", "'x' as text", "'x' as _text", "'x' as rank", "'x' as _doc", "'x' as _n")
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(make_docs(rows), lab).collect()}
-    assert len(got) == 152 and got[3] > 0.5 > got[4]
+    assert len(got) == 152 and all(0 <= x <= 1 for x in got.values())
+    assert np.mean([got[i] for i in range(0, 150, 3)]) > np.mean([got[i] for i in range(150) if i % 3]) + 0.1
 
 
 def test_toxicity_sample_is_refilled_and_bounded(spark, make_docs):
