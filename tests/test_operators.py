@@ -275,3 +275,39 @@ def test_old_events_leave_the_s2_query_alone(spark, monkeypatch):
     monkeypatch.setattr(tm, "raw_events", lambda *_: raw)
     assert sorted(r["event_id"] for r in D.events(spark, "").collect()) == [1, 2]
     assert [r["event_id"] for r in D.recent_events(spark, "").collect()] == [2]
+
+
+def _small_hierarchy(spark):
+    ev = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "event_id long, sport string")
+    mk = spark.createDataFrame([(10, 1, "Win "), (10, 2, "Draw"), (20, 2, "win")], "market_id long, event_id long, market_name string")
+    oc = spark.createDataFrame([(100, 10, "x"), (102, 20, "y")], "outcome_id long, market_id long, outcome_name string")
+    bets = spark.createDataFrame([(1, 7, 1, 500, 5.0, 2.0, "win", "x"), (1, 8, 2, 501, 6.0, 2.0, "win", "q"), (2, 7, 2, 502, 1.0, 3.0, "win", "none"),
+                                  (3, 9, 9, 503, 2.0, 2.0, "win", "x"), (None, 9, 2, 504, 2.0, 2.0, "win", "y"), (5, None, 2, 505, 2.0, 2.0, None, "y")],
+                                 "bet_id long, user_id long, event_id long, outcome_id long, bet_amount double, odds_used double, market string, outcome_label string")
+    us = spark.createDataFrame([(7, "FR"), (8, "DE")], "user_id long, user_country string")
+    odds = spark.createDataFrame([(100, 1.5), (502, 2.5)], "outcome_id long, odds_value double").selectExpr("*", "timestamp_ntz'2001-01-01' as timestamp")
+    return ev, mk, oc, bets, us, odds
+
+
+def test_hierarchy_writes_no_event_columns(spark, monkeypatch):
+    from oddsforge import session
+    from oddsforge.operators import hierarchy as H
+
+    written, write = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df, *a: written.extend(df.columns) or write(df, *a))
+    full = H.build_hierarchy(*_small_hierarchy(spark), "2001-12-01 00:00:00")
+    assert {r["bet_id"]: r["sport"] for r in full.collect()} == {1: "a", 2: "b", 5: "b", None: "b"}
+    assert written and "sport" not in written
+
+
+def test_hierarchy_equals_the_two_views_step_by_step(spark):
+    from oddsforge.operators import hierarchy as H
+
+    ev, mk, oc, bets, us, odds = _small_hierarchy(spark)
+    mk, oc, bt = (H.clean_text_keys(t, H.TEXT_KEYS[k]) for k, t in (("markets", mk), ("outcomes", oc), ("bets", bets)))
+    cat = H.events_markets_outcomes(ev, mk, oc)
+    two = H.combine_views(H.with_users(H.classic_view(cat, bt), us), H.with_users(H.direct_view(ev, bt), us))
+    want = H.with_hierarchy_aggregates(H.with_odds(H.temporal_features(two, "2001-12-01 00:00:00"), odds))
+    got = H.build_hierarchy(ev, mk, oc, bt, us, odds, "2001-12-01 00:00:00")
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(want.columns)).collect()), key=repr)
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
