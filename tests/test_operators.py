@@ -311,3 +311,14 @@ def test_hierarchy_equals_the_two_views_step_by_step(spark):
     got = H.build_hierarchy(ev, mk, oc, bt, us, odds, "2001-12-01 00:00:00")
     rows = lambda df: sorted(map(tuple, df.select(*sorted(want.columns)).collect()), key=repr)
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_catalogue_left_join_runs_the_matched_join_once(spark):
+    from oddsforge.operators.joins import catalogue_left_join
+
+    cat = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, x string")
+    facts = spark.createDataFrame([(1, 5), (1, 6), (9, 7), (None, 8)], "k long, y long")
+    got = catalogue_left_join(cat, facts, ["k"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a", 5), (1, "a", 6), (2, "b", None), (None, "c", None)], key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.count("Join LeftAnti") == 1
