@@ -322,3 +322,18 @@ def test_catalogue_left_join_runs_the_matched_join_once(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a", 5), (1, "a", 6), (2, "b", None), (None, "c", None)], key=repr)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1 and plan.count("Join LeftAnti") == 1
+
+
+def test_hierarchy_moves_rows_once_for_events_and_markets(spark):
+    from oddsforge.operators import hierarchy as H
+
+    ev, mk, oc, bt, us, odds = _small_hierarchy(spark)
+    full = H.build_hierarchy(ev, mk, oc, bt, us, odds, "2001-12-01 00:00:00")
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan                       # no aggregate moves copies of every row
+    moved = [line for line in plan.split("\n") if "RepartitionByExpression [event_id" in line]
+    assert any("Union" in plan.split("\n")[i + 1] for i, line in enumerate(plan.split("\n")) if line in moved)
+    cols = ["user_id", "event_id", "bet_amount", "outcome", "market_name", "is_live_bet", "market_volume", "num_outcomes"]
+    few = H.build_hierarchy(ev, mk, oc, bt, us, odds, "2001-12-01 00:00:00", columns=cols).select(*cols)
+    key = lambda r: str(tuple(r))
+    assert sorted(few.collect(), key=key) == sorted(full.select(*cols).collect(), key=key)
