@@ -333,7 +333,7 @@ def test_hierarchy_moves_rows_once_for_events_and_markets(spark):
     assert "Expand" not in plan                       # no aggregate moves copies of every row
     moved = [line for line in plan.split("\n") if "RepartitionByExpression [event_id" in line]
     assert any("Union" in plan.split("\n")[i + 1] for i, line in enumerate(plan.split("\n")) if line in moved)
-    cols = ["user_id", "event_id", "bet_amount", "outcome", "market_name", "is_live_bet", "market_volume", "num_outcomes"]
+    cols = ["user_id", "event_id", "bet_amount", "market_name", "sport", "user_country", "market_volume", "num_outcomes"]
     few = H.build_hierarchy(ev, mk, oc, bt, us, odds, "2001-12-01 00:00:00", columns=cols).select(*cols)
     key = lambda r: str(tuple(r))
     assert sorted(few.collect(), key=key) == sorted(full.select(*cols).collect(), key=key)
