@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from oddsforge.llm.common import written
 from oddsforge.llm.near_dedup import common_counts, components, mixed, shingle_set
+from oddsforge.session import release
 
 SMALL = 32                # members of a key that are compared pair by pair
 BLOCK = 1024              # sets of one block,
@@ -407,9 +408,13 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     every = written(shingle_rows(docs, k, "keys array<long>", lambda sets: keys_column(sets, percent)))
     real = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
     classes = every.filter(real).groupBy("fp").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"))
-    classes = written(classes.select("fp", F.col("r.doc_id").alias("id"), "r.size", "r.keys"))
-    shared = written(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = written(mapped_keys(classes, map_of(shared.select(F.col("key").alias("h")))).join(shared, "key"))
+    wide = written(classes.select("fp", F.col("r.doc_id").alias("id"), "r.size", "r.keys"))
+    keyed, every = every, written(every.drop("keys"))
+    release(keyed)  # the keys are the widest column; the classes hold those that are asked for
+    classes = written(wide.select("fp", "id"))
+    shared = written(wide.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = written(mapped_keys(wide, map_of(shared.select(F.col("key").alias("h")))).join(shared, "key"))
+    release(wide, shared)
     centre = members.groupBy(F.col("key").alias("c_key")).agg(F.min(F.struct("id", "size")).alias("centre"))
     stars = members.join(centre, F.col("key") == F.col("c_key")).filter((F.col("id") != F.col("centre.id")) & similar_sizes("size", "centre.size", percent))
     stars = written(stars.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct())
@@ -428,7 +433,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     labels = written(components(links))
     still = unresolved(members, labels)
     more = searched(written(small_pairs(still, sizes, percent)), sets, percent).unionByName(large_links(still, sets, percent))
-    out = every.drop("keys").join(classes.select(F.col("fp").alias("c_fp"), "id"), F.col("fp") == F.col("c_fp"), "left")
+    out = every.join(classes.select(F.col("fp").alias("c_fp"), "id"), F.col("fp") == F.col("c_fp"), "left")
     out = out.join(merged_labels(labels, more), F.col("id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))

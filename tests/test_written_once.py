@@ -117,3 +117,15 @@ def test_hierarchy_keeps_only_the_tables_that_it_reads(spark, monkeypatch):
     assert len(wrote) > len(kept)
     assert all(any(k in f for f in full.inputFiles()) for k in kept)
     assert full.count() == full.count() > 0
+
+
+def test_ngram_join_keeps_no_table_of_keys(spark):
+    from oddsforge.llm.ngram_join import similar_documents
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 3 :])) for i in range(6)] + [(6, None), (7, "a b")], "doc_id long, text string")
+    old = _folders(spark)
+    got = {r.doc_id: r.component_id for r in similar_documents(docs).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 6: 6, 7: 7}
+    kept = [spark.read.parquet(x).columns for x in _folders(spark) - old]
+    assert kept and not any("keys" in c for c in kept)
