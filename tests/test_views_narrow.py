@@ -32,7 +32,7 @@ def test_rows_chosen_before_the_last_joins(spark):
     from oddsforge.operators import hierarchy as H
 
     def some(r):
-        return r.filter("bet_amount > 5")
+        return r.filter("bet_amount > 1.5")
 
     ev, mk, oc, bt, us, odds = _small_hierarchy(spark)
     full = H.build_hierarchy(ev, mk, oc, bt, us, odds, AS_OF)
